@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricehist.functions.shared import cut, shared_dir
+
+__all__ = ["bounded", "crc", "cut", "partitions", "shared_dir", "slices", "table", "texts"]
+
 #: Unicode White_Space, as the tokenizers' regex engine understands \s.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Separators that str.split() knows but White_Space does not have.
@@ -19,23 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir.
-
-    Only where a session has none (tests in local mode) a temporary folder is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once, with its lineage cut by files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
