@@ -15,12 +15,12 @@ in order; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricehist.llm.common import bounded, crc, slices, texts
@@ -219,21 +219,32 @@ def train(docs: DataFrame, keep: Column | None = None, rows: int = SAMPLE_ROWS)
     return fit(got["text"].tolist(), got["lang"].tolist())
 
 
-def predict(docs: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id, lang_pred, score of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+def predictor(spark: SparkSession, chain: Chain) -> Callable[[str], Column]:
+    """A function of a text column: lang_pred and score."""
+    sent = spark.sparkContext.broadcast(chain)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            column = texts(b["text"])
-            for lo, hi in slices(column):
-                lang, score = sent.value.predict(column[lo:hi])
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].values, "lang_pred": lang, "score": score})
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(text: pd.Series) -> pd.DataFrame:
+        column, lang, score = texts(text), [], []
+        for lo, hi in slices(column):
+            x, y = sent.value.predict(column[lo:hi])
+            lang += x
+            score += y
+        return pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": pd.Series(score, dtype=float)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return predict
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     held = F.pmod(crc(F.col("doc_id")), F.lit(3)) == 1
-    return predict(docs, train(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    predict = predictor(docs.sparkSession, train(docs, ~held))
+    return docs.select("doc_id", predict("text").alias("p")).select("doc_id", held.alias("held_out"), "p.lang_pred", "p.score")
+
+
+def keep_known(docs: DataFrame, least: float = 0.35) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known: not `und`, and a score of at least `least` (a text
+    that switches between two languages is above it)."""
+    held = F.pmod(crc(F.col("doc_id")), F.lit(3)) == 1
+    p = predictor(docs.sparkSession, train(docs, ~held))("text")
+    return docs.filter(F.when(p["lang_pred"] == "und", F.lit(-1.0)).otherwise(p["score"]) >= least)

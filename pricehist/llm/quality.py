@@ -13,14 +13,14 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricehist.llm.common import bounded, crc, texts
@@ -178,26 +178,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Colu
     return fit(np.array(got["x"].tolist()).reshape(len(got), -1), got["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """The columns of docs and score (0 to 1; higher: better)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: AdditiveModel) -> Callable[[str], Column]:
+    """A function of a text column: its score (0 to 1; higher: better)."""
+    sent = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(score=sent.value.score(features(texts(b["text"]))))
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.score(features(texts(text))))
 
-    return docs.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "score") + ", score double")
+    return score
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     held = F.pmod(crc(F.col("doc_id")), F.lit(5)) == 0
-    model = train(docs, labels, keep=~held)
+    score = scorer(docs.sparkSession, train(docs, labels, keep=~held))
+    scored = docs.select("doc_id", score("text").alias("score"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": sent.value.score(features(texts(b["text"])))})
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score at least threshold, with all their columns."""
+    held = F.pmod(crc(F.col("doc_id")), F.lit(5)) == 0
+    return docs.filter(scorer(docs.sparkSession, train(docs, labels, keep=~held))("text") >= threshold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricehist.llm import bpe, dedup_exact, dedup_near, langid, packing, quality, toxicity
+from pricehist.llm import bpe, dedup_exact, dedup_near, langid, packing, quality, token_counts, topk, toxicity, url_filters
 from pricehist.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_edited(token_counts.with_edits(table(spark, sf_dir, "documents")), WORD_BPE)
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = url_filters.dated_captures(table(spark, sf_dir, "pages"))
+    return url_filters.evaluate(captures, url_filters.dated_list(captures))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -42,17 +51,53 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_token_counts": op3_token_counts,
+    "op4_url_filters": op4_url_filters,
     "op5_language_id": op5_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_top_k": op10_top_k,
 }
 
 SQL: dict[str, str] = {
+    "op4_url_filters": r"""
+        WITH captures AS (
+            SELECT page_id, CAST(page_id * 13 % 366 AS INTEGER) AS day, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host FROM pages
+        ), levels AS (
+            SELECT page_id, day, host, array_to_string(string_split(host, '.')[k:], '.') AS domain, len(string_split(host, '.')) AS n, k
+            FROM captures, unnest(range(1, len(string_split(host, '.')) + 1)) AS u(k)
+        ), firsts AS (
+            SELECT domain, min(page_id) AS m FROM levels WHERE host <> '' AND k <= greatest(n - 1, 1) GROUP BY domain HAVING min(page_id) % 3 <> 0
+        ), lines AS (
+            SELECT domain, m * 37 % 200 AS day, true AS added FROM firsts
+            UNION ALL SELECT domain, m * 37 % 200 + m * 11 % 90 + 5, false FROM firsts
+            UNION ALL SELECT domain, m * 37 % 200 + 120, true FROM firsts WHERE m % 2 = 0
+        ), states AS (
+            -- the last line at or before the fetch; of two on one day the removal holds
+            SELECT page_id, l.host, l.day, l.domain, max(x.day) AS since, bool_and(x.added) FILTER (x.day = (SELECT max(y.day) FROM lines y WHERE y.domain = l.domain AND y.day <= l.day)) AS listed
+            FROM levels l LEFT JOIN lines x ON x.domain = l.domain AND x.day <= l.day GROUP BY page_id, l.host, l.day, l.domain
+        )
+        SELECT page_id, host, day, coalesce(bool_or(listed), false) AS listed,
+            arg_max(domain, length(domain)) FILTER (listed) AS domain, CAST(arg_max(since, length(domain)) FILTER (listed) AS INTEGER) AS since
+        FROM states GROUP BY page_id, host, day""",
+    "op10_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )
+        SELECT q.vec_id AS query_id, CAST(row_number() OVER best AS INTEGER) AS rank, c.vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        WINDOW best AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.vec, c.vec) DESC, c.vec_id)
+        QUALIFY row_number() OVER best <= 20""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
