@@ -13,6 +13,7 @@ equal lengths are taken by id; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,9 +28,15 @@ from pricehist.llm.common import INFO_SEPARATORS, cut, slices, texts
 KEEP_CHUNKS = 250_000
 
 
+#: Marks that end many words; behind a letter or digit, a run of them is a pre-token of its own.
+MARKS = ".,;:!?#$%&*|"
+#: Beyond these letters, lower case can depend on the place in a word: such texts are looked up as they are.
+OTHER = re.compile("[^\0-\u017e]")
+
+
 class ChunkEncoder:
-    """Ids of whole texts for a tokenizer that drops white space: texts are cut at white space, which no token crosses, and a
-    chunk's ids are kept in two bounded dictionaries, a young and an old one."""
+    """Ids of whole texts for a tokenizer that lower-cases and drops white space: texts are cut at white space, which no token
+    crosses, and the ids of chunks (without marks at their ends) are kept in two bounded dictionaries, a young and an old one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -38,22 +45,50 @@ class ChunkEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def library(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of words into the young dictionary."""
+        young, parts, new = self.young, {}, set()
+        for w in words:
+            got = self.old.get(w)
+            if got is not None:
+                young[w] = got
+                continue
+            base = w.rstrip(MARKS)
+            if len(base) < len(w) and base and base[-1].lower().isalnum():
+                parts[w] = base, w[len(base) :]
+                for x in parts[w]:
+                    if x not in young:
+                        new.add(x)
+            else:
+                new.add(w)
+        ask = []
+        for x in new:
+            got = self.old.get(x)
+            if got is None:
+                ask.append(x)
+            else:
+                young[x] = got
+        young.update(zip(ask, self.library(ask), strict=True))
+        young.update((w, young[x] + young[y]) for w, (x, y) in parts.items())
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [[t] if INFO_SEPARATORS.search(t) else t.split() for t in batch]
-        here = {w: self.young.get(w) for w in {w for p in parts for w in p}}
-        new = []
-        for w, got in here.items():
-            if got is None:
-                got = here[w] = self.old.get(w)
-                if got is None:
-                    new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            here[w] = np.array(e.ids, "<u4").tobytes()
-        if len(self.young) + len(here) > KEEP_CHUNKS:
+        parts = [
+            [t] if "<|" in t or INFO_SEPARATORS.search(t) else t.split() if not t.isascii() and OTHER.search(t) else t.lower().split()
+            for t in batch
+        ]
+        missing = set().union(*parts).difference(self.young)
+        self.learn(missing)
+        out = [b"".join(map(self.young.__getitem__, p)) for p in parts]
+        for w in missing:
+            if len(w) > 64:
+                del self.young[w]
+        if len(self.young) > KEEP_CHUNKS:
             self.old, self.young = self.young, {}
-        self.young.update((w, x) for w, x in here.items() if len(w) <= 64)
-        return [b"".join([here[w] for w in p]) for p in parts]
+        return out
 
 
 @lru_cache(maxsize=2)
