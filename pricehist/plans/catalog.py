@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pricehist.plans import context, names, panel
+
 FLAGSHIP = "o1_catalog_page"
-MODULES: tuple = ()
+MODULES = (panel, context, names)
 
 
 def queries() -> dict:
