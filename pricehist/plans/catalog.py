@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pricehist.plans import context, names, panel
+from pricehist.plans import context, marts, names, panel
 
 FLAGSHIP = "o1_catalog_page"
-MODULES = (panel, context, names)
+MODULES = (panel, context, names, marts)
 
 
 def queries() -> dict:

@@ -39,7 +39,7 @@ def listing_lines(spark, sf_dir):
     x = a.obs_raw(spark, sf_dir).join(d, "wine_id")
     usd = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
     code, kind = F.lpad(F.col("code").cast("string"), 9, "0"), (F.col("code") + F.col("line")) % 6
-    mdy = lambda days: F.date_format(F.date_add("date", days), "MM/dd/yy")
+    mdy = lambda days: F.when(F.year(F.date_add("date", days)) < 2000, F.date_format(F.date_add("date", days), "MM/dd/yyyy")).otherwise(F.date_format(F.date_add("date", days), "M/d/yy"))
     promo = (
         F.when(F.col("promo_type") == "sale", F.concat_ws(" ", mdy(5), mdy(33), usd(F.col("promo_price")))).when(F.col("promo_type") == "clearance", usd(F.col("promo_price"))).otherwise(F.lit("........"))
     )
@@ -136,7 +136,7 @@ def p5_promo_types(spark, sf_dir):
 
 def p7_dates(spark, sf_dir):
     o = a.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("d", "M/d/yy")).otherwise(F.date_format("d", "MM/dd/yyyy"))
+    text = F.when((F.col("o_orderkey") % 2 == 0) & (F.year("d") >= 2000), F.date_format("d", "M/d/yy")).otherwise(F.date_format("d", "MM/dd/yyyy"))
     return o.select("o_orderkey", day(n.date_of(text)).alias("date"))
 
 
