@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pricehist.plans import context, marts, names, panel, vintages
+from pricehist.plans import context, evaluation, marts, names, panel, vintages
 
 FLAGSHIP = "o1_catalog_page"
-MODULES = (panel, context, names, marts, vintages)
+MODULES = (panel, context, names, marts, vintages, evaluation)
 
 
 def queries() -> dict:
