@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The patterns of the price lists and of their names.
 MONEY = r"\$([\d,]+\.\d{2})"
@@ -105,7 +106,7 @@ def folded(text: Column, apostrophe: str = " ") -> Column:
     return _clean(F.lower(F.regexp_replace(F.translate(text, ACCENTED, BASE), r"[^\x00-\x7F]", "")), apostrophe)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower(), na_action="ignore")
 

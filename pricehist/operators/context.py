@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricehist.operators.panel import BY_WINE, MOVE, diffs
+from pricehist.operators.panel import MOVE, diffs, whole
 
 #: Crop year Y is published by the end of April of Y + 1, so it can be used from May on.
 SUPPLY_LAG_MONTHS = 16
@@ -71,7 +71,7 @@ def brand_stats(series: DataFrame, periods: DataFrame) -> DataFrame:
     four; every brand has a row for every list. series: wine_id, t, date, price, brand.
 
     Changes come from the series' own window, so the wide matrix of lists by wines never exists."""
-    x = diffs(series).withColumn("brand", F.first("brand", ignorenulls=True).over(BY_WINE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    x = diffs(series).withColumn("brand", F.first("brand", ignorenulls=True).over(whole()))
     x = x.filter(F.col("brand").isNotNull())
     counts = x.groupBy("t", "brand").agg(
         F.count(F.lit(1)).cast("double").alias("n_listed"), F.sum("log_price").alias("sum_logp"), F.count("diff").cast("double").alias("n_valid"),

@@ -14,13 +14,22 @@ from pyspark.sql.window import Window
 #: A smaller change of the log list price counts as none.
 MOVE = math.log(1.005)
 LAGS = (1, 2, 4, 8)
-BY_WINE = Window.partitionBy("wine_id").orderBy("t")
-SO_FAR = BY_WINE.rangeBetween(Window.unboundedPreceding, 0)
-ALL = BY_WINE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def back(frame: int) -> Window:
-    return BY_WINE.rangeBetween(-frame, 0)
+def by_wine():
+    return Window.partitionBy("wine_id").orderBy("t")
+
+
+def so_far():
+    return by_wine().rangeBetween(Window.unboundedPreceding, 0)
+
+
+def whole():
+    return by_wine().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def back(frame: int):
+    return by_wine().rangeBetween(-frame, 0)
 
 
 def direction(y: Column) -> Column:
@@ -31,7 +40,7 @@ def direction(y: Column) -> Column:
 def diffs(series: DataFrame) -> DataFrame:
     """log_price and its change since the previous list (null across a gap)."""
     log = series.withColumn("log_price", F.log("price"))
-    return log.withColumn("diff", F.col("log_price") - F.first("log_price").over(BY_WINE.rangeBetween(-1, -1)))
+    return log.withColumn("diff", F.col("log_price") - F.first("log_price").over(by_wine().rangeBetween(-1, -1)))
 
 
 def features(series: DataFrame) -> DataFrame:
@@ -40,12 +49,12 @@ def features(series: DataFrame) -> DataFrame:
     log, diff = F.col("log_price"), F.col("diff")
     changed = F.when(diff.isNotNull(), (F.abs(diff) > 1e-9).cast("double"))
     vint = F.expr("try_cast(vintage AS int)")
-    cols = {f"lr_{k}": log - F.first("log_price").over(BY_WINE.rangeBetween(-k, -k)) for k in LAGS}
+    cols = {f"lr_{k}": log - F.first("log_price").over(by_wine().rangeBetween(-k, -k)) for k in LAGS}
     cols["vol_4"] = F.when(F.count(diff).over(back(3)) >= 2, F.stddev_samp(diff).over(back(3)))
     cols["changes_8"] = F.sum(changed).over(back(7))
-    last = F.max(F.when(F.abs(diff) > 1e-9, F.col("t"))).over(SO_FAR)
-    cols["periods_since_change"] = F.col("t") - F.coalesce(last, F.min("t").over(SO_FAR))
-    cols["age"] = F.count(F.lit(1)).over(SO_FAR)
+    last = F.max(F.when(F.abs(diff) > 1e-9, F.col("t"))).over(so_far())
+    cols["periods_since_change"] = F.col("t") - F.coalesce(last, F.min("t").over(so_far()))
+    cols["age"] = F.count(F.lit(1)).over(so_far())
     own = {"valid": diff.isNotNull(), "up": F.coalesce(diff > MOVE, F.lit(False)), "down": F.coalesce(diff < -MOVE, F.lit(False))}
     for k, v in own.items():
         cols[f"own_{k}"] = v.cast("double")
@@ -57,9 +66,9 @@ def features(series: DataFrame) -> DataFrame:
     cols["vintage_age"] = F.year("date") - vint
     cols["is_nv"] = vint.isNull().cast("double")
     for c in ("region", "brand", "grape", "classification"):
-        cols[c] = F.first(c, ignorenulls=True).over(ALL)
+        cols[c] = F.first(c, ignorenulls=True).over(whole())
     for c in ("style", "tier"):
-        cols[c] = F.coalesce(F.last(c, ignorenulls=True).over(SO_FAR), F.first(c, ignorenulls=True).over(BY_WINE.rangeBetween(0, Window.unboundedFollowing)))
+        cols[c] = F.coalesce(F.last(c, ignorenulls=True).over(so_far()), F.first(c, ignorenulls=True).over(by_wine().rangeBetween(0, Window.unboundedFollowing)))
     return x.withColumns(cols)
 
 
@@ -83,7 +92,7 @@ def horizons(origins: DataFrame, horizon: int, per_year: int) -> DataFrame:
     """Origins with h = 1..horizon, the target list and y, the log change up to it; without a listing there, no row.
 
     The targets are read through the windows' own frames ahead, so there is no join and no further shuffle."""
-    later = {f"_later_{h}": F.first("log_price").over(BY_WINE.rangeBetween(h, h)) for h in range(1, horizon + 1)}
+    later = {f"_later_{h}": F.first("log_price").over(by_wine().rangeBetween(h, h)) for h in range(1, horizon + 1)}
     ahead = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_later_{h}").alias("later")) for h in range(1, horizon + 1)])
     rows = origins.withColumns(later).withColumn("x", F.explode(F.filter(ahead, lambda s: s["later"].isNotNull())))
     target = F.col("t") + F.col("x.h")
