@@ -94,22 +94,23 @@ def search(queries: pd.DataFrame, bucket: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, bucket_rows: int = BUCKET, block_rows: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: rows whose id is divisible by `every` against all rows."""
     all_rows = cut(quantised(vectors))
-    buckets = max(1, -(-all_rows.count() // BUCKET))
+    buckets = max(1, -(-all_rows.count() // bucket_rows))
     # Partitions of the ordered rows are the buckets; equal lengths are split by id.
     ordered = cut(all_rows.repartitionByRange(buckets, F.desc("square"), F.asc("vec_id")).withColumn("bucket", F.spark_partition_id()))
     queries = all_rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "size").agg(F.min("vec").alias("vec"), F.min_by("square", "vec").alias("square"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = max(1, -(-queries.count() // block_rows))
     asked = cut(queries.select(F.col("vec_id").alias("query_id"), "vec", "square", "size", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")))
     last = ordered.agg(F.max("bucket")).first()[0] or 0
 
     def grid(asked: DataFrame, first: int, to: int) -> DataFrame:
         """Every block of queries meets every bucket from first to last, in a task of its own."""
-        left = asked.withColumn("bucket", F.explode(F.sequence(F.lit(first), F.lit(to))))
+        left = asked.select("query_id", "vec", "square", "least", F.col("size").alias("q_size"), F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(first), F.lit(to))).alias("q_bucket"))
         right = ordered.filter(F.col("bucket").between(first, to)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return left.groupBy("block", "bucket", "size").cogroup(right.groupBy("block", "bucket", "size")).applyInPandas(lambda a, b: search(a, b, k), PAIR)
+        pairs = left.groupBy("q_block", "q_bucket", "q_size").cogroup(right.groupBy("block", "bucket", "size"))
+        return pairs.applyInPandas(lambda a, b: search(a, b, k), PAIR)
 
     start = cut(grid(asked.withColumn("least", F.lit(None).cast("double")), 0, 0))
     found = start
