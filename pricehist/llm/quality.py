@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Colu
     got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run, "y int, x array<double>").toPandas()
     order = np.lexsort(np.array([*zip(*got["x"], strict=True)])) if len(got) else []
     got = got.iloc[order]  # in an order that does not depend on the tasks
-    return fit(np.array(got["x"].tolist()).reshape(len(got), -1), got["y"].to_numpy(float))
+    return fit(np.array(got["x"].tolist()).reshape(len(got), len(NAMES)), got["y"].to_numpy(float))
 
 
 def scorer(spark: SparkSession, model: AdditiveModel) -> Callable[[str], Column]:
