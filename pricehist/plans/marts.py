@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pricehist.functions.shared import shared_dir
+from pricehist.functions.shared import cut, shared_dir
 from pricehist.operators import marts as m
 from pricehist.operators.components import connected_components
 from pricehist.plans.context import daily, window_sql
@@ -27,17 +27,17 @@ def _folder(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _wines(spark, sf_dir):
-    """Wines with is_active (on the newest list), is_featured and quarters."""
-    o = a.obs(spark, sf_dir)
+def _wines(spark, sf_dir, o=None):
+    """Wines with is_active (on the newest list), is_featured and quarters. o: the observations, where they are at hand."""
+    o = a.obs(spark, sf_dir) if o is None else o
     newest = o.agg(F.max("date").alias("newest"))
     seen = o.groupBy("wine_id").agg(F.max("date").alias("last"), F.count(F.lit(1)).alias("quarters")).join(F.broadcast(newest), F.lit(True))
     return a.wines(spark, sf_dir).join(seen, "wine_id").select("*", (F.col("last") == F.col("newest")).alias("is_active"), (F.col("wine_id") % 11 == 0).alias("is_featured")).drop("last", "newest")
 
 
-def _forecasts(spark, sf_dir):
+def _forecasts(spark, sf_dir, o=None):
     """Forecasts of two versions that follow from each wine's newest price: a stand-in for a fitted model."""
-    cur = m.latest(a.obs(spark, sf_dir), "price")
+    cur = m.latest(a.obs(spark, sf_dir) if o is None else o, "price")
     x = cur.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("model_version", F.explode(F.array(F.lit("v1"), F.lit("v2"))))
     k = F.col("wine_id") * 37 + F.col("h") * 11 + F.when(F.col("model_version") == "v2", 5).otherwise(0)
     return x.select(
@@ -46,14 +46,16 @@ def _forecasts(spark, sf_dir):
     )
 
 
-def _fair(spark, sf_dir):
-    cur = m.latest(a.obs(spark, sf_dir), "price").filter("wine_id % 9 <> 0").withColumn("model_version", F.explode(F.array(F.lit("v1"), F.lit("v2"))))
+def _fair(spark, sf_dir, o=None):
+    cur = m.latest(a.obs(spark, sf_dir) if o is None else o, "price").filter("wine_id % 9 <> 0").withColumn("model_version", F.explode(F.array(F.lit("v1"), F.lit("v2"))))
     fair = a.cents(F.col("price") * (0.7 + F.col("wine_id") % 60 / 100))
     return cur.select("wine_id", "model_version", fair.alias("fair_p50"), a.cents(fair * 0.85).alias("fair_p10"), a.cents(fair * 1.15).alias("fair_p90"), F.round((F.col("price") / fair - 1) * 100, 1).alias("value_pct"))
 
 
-def _catalog(spark, sf_dir, wines=None):
-    return m.catalog(wines if wines is not None else _wines(spark, sf_dir).drop("quarters"), a.obs(spark, sf_dir), _forecasts(spark, sf_dir), _fair(spark, sf_dir), _runs(spark))
+def _catalog(spark, sf_dir):
+    """The catalog over observations that are deduplicated once and kept as a table."""
+    o = cut(a.obs(spark, sf_dir))
+    return m.catalog(_wines(spark, sf_dir, o).drop("quarters"), o, _forecasts(spark, sf_dir, o), _fair(spark, sf_dir, o), _runs(spark))
 
 
 COLUMNS = ["slug", "name", "vintage", "tier", "price", "promo_price", "change_1y_pct", "change_5y_pct", "p_up_1y", "p_down_1y", "fair_price", "value_pct"]
