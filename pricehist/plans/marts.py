@@ -112,13 +112,23 @@ def p29_window_status(spark, sf_dir):
     return m.window_status(a.wines(spark, sf_dir), YEAR)
 
 
-def j2_price_history(spark, sf_dir):
-    w = m.selected(a.wines(spark, sf_dir), tier="luxury").filter("wine_id % 50 = 7").select("wine_id", "slug")
-    past = a.obs(spark, sf_dir).join(w, "wine_id").select("slug", F.lit("list").alias("kind"), day("date").alias("date"), "price")
-    ahead = m.active(_forecasts(spark, sf_dir), _runs(spark)).join(w, "wine_id").select("slug", F.lit("forecast").alias("kind"), day("target_date").alias("date"), F.col("p50").alias("price"))
+def _price_history(spark, sf_dir, w):
+    """Every listing and active forecast of the wines w. The observations are deduplicated once and kept as a table."""
+    w, o = w.select("wine_id", "slug"), cut(a.obs(spark, sf_dir))
+    past = o.join(w, "wine_id").select("slug", F.lit("list").alias("kind"), day("date").alias("date"), "price")
+    ahead = m.active(_forecasts(spark, sf_dir, o), _runs(spark)).join(w, "wine_id").select("slug", F.lit("forecast").alias("kind"), day("target_date").alias("date"), F.col("p50").alias("price"))
     return past.unionByName(ahead)
 
 
+def j2_price_history(spark, sf_dir):
+    """The selection of the oracle's SQL: one luxury wine in 50. j2_price_history_all has every wine."""
+    return _price_history(spark, sf_dir, m.selected(a.wines(spark, sf_dir), tier="luxury").filter("wine_id % 50 = 7"))
+
+
+def j2_price_history_all(spark, sf_dir):
+    return _price_history(spark, sf_dir, a.wines(spark, sf_dir))
+
+
 def j3_latest(spark, sf_dir):
     return m.latest(a.obs(spark, sf_dir), "price", "promo_type").select("wine_id", day("date").alias("date"), "price", "promo_type", day("first_date").alias("first_date"), "quarters")
 
@@ -291,7 +301,7 @@ def t1_incremental_ingest(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     o1_catalog_page, o2_best_value, o3_family_vintages, o4_md5_sample, o5_capped_sample, f19_year_ahead, f20_total, p21_filters, p22_saved_views, p29_window_status,
-    j2_price_history, j3_latest, j4_price_ago, j5_marts_joined, j6_featured, s7_rules, j14_active_with_forecast, j15_not_seen, j17_parity, a1_components, a2_wine_dimension,
+    j2_price_history, j2_price_history_all, j3_latest, j4_price_ago, j5_marts_joined, j6_featured, s7_rules, j14_active_with_forecast, j15_not_seen, j17_parity, a1_components, a2_wine_dimension,
     a3_family_counts, a4_stickiness, a19_quality, u2_distinct, u4_chart, s4_typed_csv, s5_weather_json, s6_wide_crush, s8_upsert, s9_replace_source, s10_export, s11_publish,
     s12_metrics, m5_facts, t1_incremental_ingest,
 )}
@@ -339,6 +349,8 @@ SQL = {
         FROM (SELECT wine_id, CAST(vintage AS INTEGER) + {window_sql(0)} AS o, CAST(vintage AS INTEGER) + {window_sql(1)} AS c FROM wines WHERE vintage <> 'NV')""",
     "j2_price_history": MARTS + f""", s AS (SELECT wine_id, slug FROM wines WHERE tier = 'luxury' AND wine_id % 50 = 7) SELECT slug, 'list' AS kind, {_day('date', 'date')}, price FROM obs JOIN s USING (wine_id)
         UNION ALL SELECT slug, 'forecast', {_day('target_date', 'date')}, p50 FROM forecasts JOIN s USING (wine_id) WHERE model_version = 'v2'""",
+    "j2_price_history_all": MARTS + f""" SELECT slug, 'list' AS kind, {_day('date', 'date')}, price FROM obs JOIN wines USING (wine_id)
+        UNION ALL SELECT slug, 'forecast', {_day('target_date', 'date')}, p50 FROM forecasts JOIN wines USING (wine_id) WHERE model_version = 'v2'""",
     "j3_latest": MARTS + f" SELECT wine_id, {_day('date', 'date')}, price, promo_type, {_day('first_date', 'first_date')}, quarters FROM cur",
     "j4_price_ago": MARTS + " SELECT * FROM ago",
     "j5_marts_joined": MARTS + " SELECT slug, p_up_1y, p_down_1y, up_pct, down_pct, fair_price, fair_low, fair_high, value_pct FROM catalog",

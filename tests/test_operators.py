@@ -183,3 +183,14 @@ def test_brand_history_bounds(spark):
 def test_folds_keep_families_together(spark):
     x = spark.range(500).select((F.col("id") % 40).cast("string").alias("f")).withColumn("k", metrics.fold_of(F.col("f"), 5))
     assert x.distinct().count() == 40 and x.select("k").distinct().count() == 5
+
+
+def test_price_history_of_every_wine(spark, small):
+    from pricehist.plans import marts as q
+    from pricehist.sources import adapters as a
+
+    wines = {r["slug"]: r["tier"] for r in a.wines(spark, small).join(a.obs(spark, small).select("wine_id").distinct(), "wine_id").select("slug", "tier").collect()}
+    x = q.j2_price_history_all(spark, small).collect()
+    assert set(wines.values()) == {"everyday", "premium", "luxury"}
+    assert {r["slug"] for r in x if r["kind"] == "list"} == set(wines) and sum(r["kind"] == "list" for r in x) == a.obs(spark, small).count()
+    assert {r["slug"] for r in x if r["kind"] == "forecast"} == set(wines) and sum(r["kind"] == "forecast" for r in x) == 4 * len(wines)
