@@ -5,6 +5,9 @@ their own. The learners are Spark's gradient-boosted trees; quantiles come from
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricehist.functions.shared import cut
-from pricehist.operators import metrics
+from pricehist.operators import fair, metrics
 from pricehist.operators.panel import MOVE
 
 SENTINEL = -999.0
@@ -136,17 +139,37 @@ def forecast(latest: DataFrame, change: ChangeModel, band: RangeModel) -> DataFr
     return x.select("wine_id", "h", "target_date", price("p10"), price("p50"), price("p90"), F.round("p_up", 4).alias("p_up"), F.round("p_down", 4).alias("p_down"), F.round("up_pct", 1).alias("up_pct"), F.round("down_pct", 1).alias("down_pct"))
 
 
+def side_by_side(jobs: list[Callable[[], DataFrame]], threads: int = 2) -> DataFrame:
+    """The union of what the jobs return, each written as a table. They run on a few threads: small fits mostly wait for the scheduler."""
+    with ThreadPoolExecutor(threads) as pool:
+        return functools.reduce(DataFrame.unionByName, pool.map(lambda job: cut(job()), jobs))
+
+
 def name_scores(train: DataFrame, target: DataFrame, weights: DataFrame, train_weights: DataFrame, buckets: int = 1 << 10) -> DataFrame:
-    """Key, name_score: a ridge on hashed TF-IDF terms (weights: wine_id, term, w), fitted on train's y less its mean."""
-    mean = train.agg(F.avg("y").alias("mean"), F.count(F.lit(1)).alias("n")).first()
-    x = _vectors(train_weights, buckets).join(train.select("wine_id", (F.col("y") - mean["mean"]).alias("label")), "wine_id")
-    lr = LinearRegression(regParam=1 / max(1, mean["n"]), elasticNetParam=0.0, standardization=False, maxIter=30, solver="l-bfgs").fit(x)
-    return target.select("wine_id").join(lr.transform(_vectors(weights, buckets)).select("wine_id", F.col("prediction").alias("name_score")), "wine_id", "left")
+    """Key, name_score: a ridge on hashed TF-IDF terms (weights: wine_id, term, w), fitted on train's y less its mean. A text without a known term
+    takes part as a vector of zeros."""
+    mean = train.agg(F.avg("y").alias("mean"), F.count(F.lit(1)).alias("n"), F.stddev("y").alias("sd")).first()
+    x = _vectors(train.select("wine_id", (F.col("y") - mean["mean"]).alias("label")), train_weights, buckets)
+    # Spark divides the penalty by the label's deviation: with it, the ridge has the weight 1.
+    lr = LinearRegression(regParam=(mean["sd"] or 1.0) / max(1, mean["n"]), elasticNetParam=0.0, standardization=False, maxIter=30, solver="l-bfgs").fit(x)
+    return lr.transform(_vectors(target.select("wine_id"), weights, buckets)).select("wine_id", F.col("prediction").alias("name_score"))
+
+
+def held_out_scores(rows: DataFrame, groups: list[tuple[int, ...]]) -> DataFrame:
+    """left_out, wine_id, fold, name_score: for each group of folds, the scores of their rows by a model of all other folds. rows: wine_id, text, y, fold."""
+
+    def job(group: tuple[int, ...]) -> DataFrame:
+        train, target = rows.filter(~F.col("fold").isin(*group)), rows.filter(F.col("fold").isin(*group))
+        found = name_scores(train, target, fair.tfidf(train, target), fair.tfidf(train, train))
+        return target.select("wine_id", "fold").join(found, "wine_id").withColumn("left_out", F.array(*[F.lit(k) for k in group]))
+
+    return side_by_side([functools.partial(job, g) for g in groups])
 
 
-def _vectors(weights: DataFrame, buckets: int) -> DataFrame:
-    """wine_id, features: one weight for each hashed term (a name has few terms, so the arrays stay short before they are spread)."""
+def _vectors(rows: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
+    """rows (with wine_id) and features: one weight for each hashed term (a name has few terms, so the arrays stay short before they are spread)."""
     x = weights.groupBy("wine_id", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).agg(F.sum("w").alias("w"))
-    x = x.groupBy("wine_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
+    # Cut before the arrays are spread: the fit reads its rows more than once.
+    x = cut(rows.join(x.groupBy("wine_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m")), "wine_id", "left"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0)))
-    return x.select("wine_id", array_to_vector(dense).alias("features"))
+    return x.withColumn("features", array_to_vector(dense)).drop("m")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pricehist.functions.shared import cut
 from pricehist.operators import fair, metrics, panel
 from pricehist.plans.panel import DENSE
 from pricehist.sources import adapters as a
@@ -137,13 +138,19 @@ def m14_fair_scores(spark, sf_dir):
 
 
 def m12_name_terms(spark, sf_dir):
+    """The selection of the oracle's SQL: the texts of one fold. m12_name_terms_all has every text."""
     x = latest(spark, sf_dir)
     return _rounded(fair.tfidf(x.select("wine_id", "text"), x.filter("fold = 0").select("wine_id", "text")), ["wine_id", "term"], "w")
 
 
+def m12_name_terms_all(spark, sf_dir):
+    x = cut(latest(spark, sf_dir).select("wine_id", "text"))
+    return _rounded(fair.tfidf(x, x), ["wine_id", "term"], "w")
+
+
 QUERIES = {f.__name__: f for f in (
     m1_time_split, m6_conformal, m7_range_scores, m8_change_scores, a16_segment_grid, m9_importance, o6_importance_ranking, a15_cv_summary, f16_latest_rows, m13_family_folds, a12_brand_encoding,
-    a13_baselines, m15_band_scale, m15_value_pct, m14_fair_scores, m12_name_terms,
+    a13_baselines, m15_band_scale, m15_value_pct, m14_fair_scores, m12_name_terms, m12_name_terms_all,
 )}
 
 _up = "ln(1.005)"
@@ -210,4 +217,7 @@ SQL = {
     "m12_name_terms": LATEST + """, w AS (SELECT wine_id, fold, string_split(lower(name), ' ') AS w FROM latest), tm AS (SELECT wine_id, fold, unnest(w || [w[1] || ' ' || w[2]]) AS term FROM w), tf AS (SELECT wine_id, fold, term, count(*) AS tf FROM tm GROUP BY ALL),
         idf AS (SELECT term, ln((1 + (SELECT count(*) FROM latest)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term HAVING count(*) >= 2), x AS (SELECT wine_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term) WHERE fold = 0)
         SELECT wine_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY wine_id)), 6) + 0.0 AS w FROM x""",
+    "m12_name_terms_all": LATEST + """, w AS (SELECT wine_id, string_split(lower(name), ' ') AS w FROM latest), tm AS (SELECT wine_id, unnest(w || [w[1] || ' ' || w[2]]) AS term FROM w), tf AS (SELECT wine_id, term, count(*) AS tf FROM tm GROUP BY ALL),
+        idf AS (SELECT term, ln((1 + (SELECT count(*) FROM latest)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term HAVING count(*) >= 2), x AS (SELECT wine_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term))
+        SELECT wine_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY wine_id)), 6) + 0.0 AS w FROM x""",
 }

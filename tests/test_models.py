@@ -1,6 +1,13 @@
 """Invariants of fitted models on a small panel."""
 
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from pricehist.operators import models
 from pricehist.plans import models as q
+from pricehist.plans.evaluation import latest
 
 
 def test_forecast_invariants(spark, small):
@@ -14,3 +21,39 @@ def test_forecast_invariants(spark, small):
 def test_fair_price_order(spark, small):
     x = q.m14_fair_price(spark, small).toPandas()
     assert len(x) and (x["fair_p10"] <= x["fair_p50"]).all() and (x["fair_p50"] <= x["fair_p90"]).all()
+
+
+def test_name_score_of_every_wine(spark, small):
+    x = q.m12_name_score(spark, small).toPandas()
+    assert sorted(x["wine_id"]) == sorted(r["wine_id"] for r in latest(spark, small).select("wine_id").collect())
+    assert x["name_score"].notna().all()
+
+
+def _brute_scores(train, texts):
+    """Ridge of weight 1 on TF-IDF of words and pairs, with an unpenalised intercept. train: text, y."""
+    terms = lambda t: t.split() + [" ".join(p) for p in zip(t.split(), t.split()[1:], strict=False)]
+    docs = [terms(t) for t, _ in train]
+    df = {w: sum(w in d for d in docs) for d in docs for w in d}
+    names = sorted(w for w in df if df[w] >= 2)
+
+    def vector(t):
+        v = np.array([(1 + math.log(terms(t).count(w))) * (math.log((1 + len(docs)) / (1 + df[w])) + 1) if w in terms(t) else 0.0 for w in names])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    m, y = np.array([vector(t) for t, _ in train]), np.array([v for _, v in train])
+    y = y - y.mean()
+    c = m - m.mean(0)
+    w = np.linalg.solve(c.T @ c + np.eye(len(names)), c.T @ y)
+    return [float((vector(t) - m.mean(0)) @ w) for t in texts]
+
+
+def test_held_out_scores_against_brute_force(spark):
+    words = ["oak", "reserve", "hill", "valley"]
+    rows = [(i, f"{words[i % 4]} {words[i * 7 // 3 % 4]}" if i != 5 else "unseen thing", float(i % 4) + i % 3 / 10, i % 3) for i in range(24)]
+    x = models.held_out_scores(spark.createDataFrame(rows, "wine_id long, text string, y double, fold int"), [(0,), (1,), (2,), (0, 1)]).collect()
+    for group in ([0], [1], [2], [0, 1]):
+        got = {r["wine_id"]: r["name_score"] for r in x if r["left_out"] == group}
+        mine = [r for r in rows if r[3] in group]
+        want = _brute_scores([(r[1], r[2]) for r in rows if r[3] not in group], [r[1] for r in mine])
+        assert set(got) == {r[0] for r in mine}
+        assert max(abs(got[r[0]] - v) for r, v in zip(mine, want, strict=True)) < 2e-3
