@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from pricehist.functions.shared import cut
@@ -90,19 +92,61 @@ def m12_name_score(spark, sf_dir):
     return models.held_out_scores(x, [(k,) for k in range(FOLDS)]).select("wine_id", "name_score")
 
 
-FAIR_NUMBERS = ["vintage_age", "is_nv", "listing_year", "brand_mean_logp", "brand_n_families", "brand_std_logp"]
+BRAND_LEVEL = ["brand_mean_logp", "brand_n_families", "brand_std_logp"]
+FAIR_NUMBERS = ["vintage_age", "is_nv", "listing_year", *BRAND_LEVEL, "name_score"]
+FAIR_CATEGORIES = ["style", "region", "grape", "classification"]
+FAIR_SETS = {"full": FAIR_NUMBERS, "no name text": [c for c in FAIR_NUMBERS if c != "name_score"], "no producer level": [c for c in FAIR_NUMBERS if c not in BRAND_LEVEL]}
 
 
-def m14_fair_price(spark, sf_dir):
-    """Fair prices of the last fold's families from a model of the others."""
-    x = cut(latest(spark, sf_dir).select("wine_id", "brand", "family", "y", "fold", "vintage_age", "is_nv", "listing_year", "style", "region", "grape", "classification"))
-    train, test = x.filter("fold <> 4"), x.filter("fold = 4")
-    rows = lambda d: fair.brand_encoding(train, d).withColumn("h", F.lit(1))
-    band = models.fit_range(rows(train), None, FAIR_NUMBERS, ["style", "region", "grape", "classification"], depth=5, rounds=15)
-    p = band.transform(rows(test))
+def _fair_rows(spark, sf_dir):
+    """A row for every wine and fold left out (`outer`), with its features from the other folds: a wine of that fold is to be priced, the others train.
+
+    A training row's name score is out of fold too: its own fold is left out as well, so one fit serves both folds of a pair."""
+    x = cut(latest(spark, sf_dir).select("wine_id", "date", "tier", "text", "brand", "family", "y", "fold", "vintage_age", "is_nv", "listing_year", *FAIR_CATEGORIES))
+    groups = [(k,) for k in range(FOLDS)] + [(j, k) for j in range(FOLDS) for k in range(j + 1, FOLDS)]
+    scores = models.held_out_scores(x.select("wine_id", "text", "y", "fold"), groups)
+    other = F.coalesce(F.get(F.filter("left_out", lambda k: k != F.col("fold")), F.lit(0)), F.col("fold"))
+    rows = x.join(scores.select("wine_id", other.alias("outer"), "name_score"), "wine_id").drop("text")
+    return cut(fair.brand_encoding(rows.filter("fold <> outer"), rows, ("outer",)).withColumn("h", F.lit(1)))
+
+
+def _fair_predictions(rows, numbers):
+    """p10, p50 and p90 of every wine by the model of the folds that it is not in."""
+
+    def job(k):
+        train, test = rows.filter((F.col("outer") == k) & (F.col("fold") != k)), rows.filter((F.col("outer") == k) & (F.col("fold") == k))
+        band = models.fit_range(train, None, numbers, FAIR_CATEGORIES, depth=5, rounds=15)
+        return band.transform(test).select("wine_id", "date", "tier", "fold", "y", "p10", "p50", "p90")
+
+    return models.side_by_side([partial(job, k) for k in range(FOLDS)])
+
+
+def _fair_prices(p):
     usd = lambda c: F.round(F.exp(c), 2).alias(f"fair_{c}")
     return p.select("wine_id", usd("p10"), usd("p50"), usd("p90"), metrics.value_pct(F.col("y"), F.col("p50")).alias("value_pct"))
 
 
-QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m10_ablation, m11_next_vintage, m12_name_score, m14_fair_price)}
+def m14_fair_price(spark, sf_dir):
+    """Out-of-fold fair prices of every wine."""
+    return _fair_prices(_fair_predictions(_fair_rows(spark, sf_dir), FAIR_NUMBERS))
+
+
+def m14_model_scores(spark, sf_dir):
+    """Scores of the fitted models, of all wines and by tier, for each set of features."""
+    rows, out = _fair_rows(spark, sf_dir), None
+    for name, numbers in FAIR_SETS.items():
+        p = _fair_predictions(rows, numbers).withColumn("tier", F.explode(F.array(F.lit("all"), F.col("tier"))))
+        s = fair.evaluate(p, ["tier"]).select(F.lit(name).alias("set"), "*")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def m15_model_prices(spark, sf_dir):
+    """Fair prices of the wines on the newest list, with the model's band widened to cover 80 percent."""
+    p = _fair_predictions(_fair_rows(spark, sf_dir), FAIR_NUMBERS)
+    x = p.join(F.broadcast(cut(metrics.band_scale(p))), F.lit(True)).join(F.broadcast(p.agg(F.max("date").alias("newest"))), F.lit(True)).filter("date = newest")
+    return _fair_prices(x.withColumns({c: F.col("p50") + F.col("k") * (F.col(c) - F.col("p50")) for c in ("p10", "p90")}))
+
+
+QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m10_ablation, m11_next_vintage, m12_name_score, m14_fair_price, m14_model_scores, m15_model_prices)}
 SQL: dict[str, str] = {}

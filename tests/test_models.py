@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from pricehist.operators import models
 from pricehist.plans import models as q
@@ -57,3 +56,19 @@ def test_held_out_scores_against_brute_force(spark):
         want = _brute_scores([(r[1], r[2]) for r in rows if r[3] not in group], [r[1] for r in mine])
         assert set(got) == {r[0] for r in mine}
         assert max(abs(got[r[0]] - v) for r, v in zip(mine, want, strict=True)) < 2e-3
+
+
+def test_fair_price_of_every_wine(spark, small, monkeypatch):
+    kept = models.cut(q._fair_rows(spark, small))
+    monkeypatch.setattr(q, "_fair_rows", lambda *_: kept)
+    rows = kept.toPandas()
+    wines = {r["wine_id"] for r in latest(spark, small).select("wine_id").collect()}
+    # Every wine once for each fold left out, with a name score.
+    assert len(rows) == q.FOLDS * len(wines) and set(rows["wine_id"]) == wines and not rows.duplicated(["wine_id", "outer"]).any() and rows["name_score"].notna().all()
+    # The brand level comes from other families of the training folds.
+    for r in rows.sample(40, random_state=1).itertuples():
+        y = rows[(rows["outer"] == r.outer) & (rows["fold"] != r.outer) & (rows["brand"] == r.brand) & (rows["family"] != r.family)]["y"]
+        assert abs(r.brand_mean_logp - y.mean()) < 1e-9 if len(y) else math.isnan(r.brand_mean_logp)
+    x = q.m14_fair_price(spark, small).toPandas()
+    assert sorted(x["wine_id"]) == sorted(wines)
+    assert "name_score" in q.FAIR_NUMBERS
