@@ -77,8 +77,8 @@ class ChangeModel:
         return x.withColumns(sizes).select(*rows.columns, "p_up", "p_down", "up_pct", "down_pct")
 
 
-def _trees(kind, label: str, depth: int, rounds: int, **more):
-    return kind(featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=0.1, maxBins=64, seed=42, subsamplingRate=0.8, **more)
+def _trees(kind, label: str, depth: int, rounds: int, seed: int = 42, **more):
+    return kind(featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=0.1, maxBins=64, seed=seed, subsamplingRate=0.8, **more)
 
 
 def fit_change(fit: DataFrame, calibration: DataFrame, numbers: list[str], categories: list[str], depth: int = 4, rounds: int = 10) -> ChangeModel:
@@ -120,10 +120,10 @@ class RangeModel:
         return metrics.widen(x, self.adjust) if self.adjust is not None else x
 
 
-def fit_range(fit: DataFrame, calibration: DataFrame | None, numbers: list[str], categories: list[str], depth: int = 4, rounds: int = 10) -> RangeModel:
+def fit_range(fit: DataFrame, calibration: DataFrame | None, numbers: list[str], categories: list[str], depth: int = 4, rounds: int = 10, seed: int = 42) -> RangeModel:
     encode = Pipeline(stages=encoder(numbers, categories)).fit(prepared(fit, numbers, categories))
     x = cut(encode.transform(prepared(fit, numbers, categories)).select("features", "h", "y"))
-    median = _trees(GBTRegressor, "y", depth, rounds, lossType="absolute").fit(x)
+    median = _trees(GBTRegressor, "y", depth, rounds, seed, lossType="absolute").fit(x)
     res = median.setPredictionCol("p").transform(x).withColumn("e", F.col("y") - F.col("p"))
     spread = cut(res.groupBy("h").agg(F.percentile_approx("e", 0.1, 10_000).alias("lo"), F.percentile_approx("e", 0.9, 10_000).alias("hi")))
     model = RangeModel(encode, median, spread, None, numbers, categories)
@@ -132,6 +132,45 @@ def fit_range(fit: DataFrame, calibration: DataFrame | None, numbers: list[str],
     return model
 
 
+def rolling_predictions(t: DataFrame, sets: dict[str, tuple[list[str], list[str]]], seeds: tuple[int, ...], folds: int = 4, depth: int = 3, rounds: int = 8) -> DataFrame:
+    """Fold, fold_end, set, seed, y, family_mean_change, p10, p50, p90, p_up: the transitions of each of the last `folds` years, scored by models of the
+    transitions up to the year's start. A year without transitions, or without any before it, has no rows.
+
+    t: date, y, h (1), family_mean_change and the features of all sets (numbers, categories)."""
+    last = t.agg(F.max("date").alias("d")).first()["d"]
+    end = F.add_months(F.lit(last), -12 * F.col("k"))
+    years = t.sparkSession.range(folds).withColumnRenamed("id", "k").select("k", end.alias("end"), F.add_months(end, -12).alias("start")).orderBy("k").collect()  # one row for each fold
+    jobs = []
+    for k, to, since in years:
+        train, test = t.filter(F.col("date") <= since), t.filter((F.col("date") > since) & (F.col("date") <= to))
+        if train.take(1) and test.take(1):
+            jobs += [functools.partial(_rolled, train, test, k, to, name, seed, *sets[name], depth, rounds) for name in sets for seed in seeds]
+    if not jobs:
+        raise ValueError("no year has transitions and others before it")
+    return side_by_side(jobs)
+
+
+def _rolled(train: DataFrame, test: DataFrame, fold: int, end, name: str, seed: int, numbers: list[str], categories: list[str], depth: int, rounds: int) -> DataFrame:
+    band = fit_range(train, None, numbers, categories, depth, rounds, seed)
+    x = band.encode.transform(prepared(train, numbers, categories)).select("features", (F.col("y") > MOVE).cast("double").alias("up"))
+    rise = _trees(GBTClassifier, "up", depth, rounds, seed).fit(cut(x))
+    out = rise.setProbabilityCol("v").setRawPredictionCol("r").setPredictionCol("c").transform(band.encode.transform(prepared(band.transform(test), numbers, categories)))
+    keys = [F.lit(v).alias(n) for n, v in (("fold", fold), ("fold_end", end), ("set", name), ("seed", seed))]
+    return out.select(*keys, "y", "family_mean_change", "p10", "p50", "p90", vector_to_array("v")[1].alias("p_up"))
+
+
+def rolling_scores(p: DataFrame) -> DataFrame:
+    """For each fold, set and seed the transitions, their share of rises, the mean absolute errors of the model, of the same price and of the family's
+    mean change (0 without one), the AUC of rises (null with one class) and the band's coverage. p: rolling_predictions."""
+    by, y = ["fold", "fold_end", "set", "seed"], F.col("y")
+    x = p.withColumn("hit", y > MOVE)
+    g = x.groupBy(*by).agg(
+        (F.avg(F.col("hit").cast("double")) * 100).alias("share_up_pct"), F.avg(F.abs(y - F.col("p50"))).alias("mae"), F.avg(F.abs(y)).alias("same_price_mae"),
+        F.avg(F.abs(y - F.coalesce("family_mean_change", F.lit(0.0)))).alias("family_history_mae"), (F.avg(y.between(F.col("p10"), F.col("p90")).cast("double")) * 100).alias("coverage_80"),
+    )
+    return g.join(metrics.ranking(x, by, "p_up", "hit").select(*by, F.col("n").alias("transitions"), F.col("roc_auc").alias("auc")), by)
+
+
 def forecast(latest: DataFrame, change: ChangeModel, band: RangeModel) -> DataFrame:
     """M4: wine_id, h, target_date, prices (to cents, in order), chances and sizes for rows of the latest list with h and target_date."""
     x = change.transform(band.transform(latest))

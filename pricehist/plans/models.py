@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pricehist.functions.shared import cut
 from pricehist.operators import context, fair, metrics, models, panel, vintages
+from pricehist.plans.context import supply
 from pricehist.plans.evaluation import CALIBRATION, CUTOFF, _base, latest
 from pricehist.plans.vintages import dated_series
 from pricehist.sources import adapters as a
@@ -83,6 +84,33 @@ def m11_next_vintage(spark, sf_dir):
     return x.select("wine_id", "new_vintage", F.round("p_up", 4).alias("p_up"), F.round("p_down", 4).alias("p_down"), pct("p10"), pct("p50"), pct("p90"))
 
 
+NEXT_BRAND = ["brand_n_listed", "brand_up_share_4q", "brand_recent_vintage_change", "brand_recent_vintage_n"]
+NEXT_SUPPLY = [c for c in NEXT if not c.startswith("brand_")] + ["new_tons_yoy", "new_grape_price_yoy"]
+NEXT_SETS = {
+    "current": (NEXT_SUPPLY, ["style", "tier"]),
+    "+brand": (NEXT_SUPPLY + NEXT_BRAND, ["style", "tier"]),
+    "+attributes": (NEXT_SUPPLY, ["style", "tier", "grape", "classification"]),
+    "+both": (NEXT_SUPPLY + NEXT_BRAND, ["style", "tier", "grape", "classification"]),
+}
+
+
+def m11_rolling_cv(spark, sf_dir):
+    """Each set of features on the last four years, with two seeds."""
+    s = cut(dated_series(spark, sf_dir))
+    t = vintages.transitions(s)
+    t = vintages.published_supply(vintages.brand_history(t, t), supply(spark, sf_dir))
+    stats = context.brand_stats(s.select("wine_id", "t", "date", "price", "brand"), s.select("t", "date").distinct())
+    stats = stats.select("date", "brand", F.col("n_listed").alias("brand_n_listed"), context.ratio(F.col("n_up_4"), F.col("n_valid_4")).alias("brand_up_share_4q"))
+    t = t.join(stats, ["date", "brand"], "left").withColumn("h", F.lit(1))
+    t = cut(t.select("date", "y", "h", *NEXT_SUPPLY, *NEXT_BRAND, "style", "tier", "grape", "classification"))
+    return models.rolling_scores(models.rolling_predictions(t, NEXT_SETS, (1, 2)))
+
+
+def m11_cv_summary(spark, sf_dir):
+    """The means of m11_rolling_cv by set, against the current one."""
+    return metrics.cv_summary(m11_rolling_cv(spark, sf_dir))
+
+
 FOLDS = 5
 
 
@@ -148,5 +176,5 @@ def m15_model_prices(spark, sf_dir):
     return _fair_prices(x.withColumns({c: F.col("p50") + F.col("k") * (F.col(c) - F.col("p50")) for c in ("p10", "p90")}))
 
 
-QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m10_ablation, m11_next_vintage, m12_name_score, m14_fair_price, m14_model_scores, m15_model_prices)}
+QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m10_ablation, m11_next_vintage, m11_rolling_cv, m11_cv_summary, m12_name_score, m14_fair_price, m14_model_scores, m15_model_prices)}
 SQL: dict[str, str] = {}

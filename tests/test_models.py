@@ -1,10 +1,11 @@
 """Invariants of fitted models on a small panel."""
 
+import datetime as dt
 import math
 
 import numpy as np
 
-from pricehist.operators import models
+from pricehist.operators import metrics, models
 from pricehist.plans import models as q
 from pricehist.plans.evaluation import latest
 
@@ -72,3 +73,23 @@ def test_fair_price_of_every_wine(spark, small, monkeypatch):
     x = q.m14_fair_price(spark, small).toPandas()
     assert sorted(x["wine_id"]) == sorted(wines)
     assert "name_score" in q.FAIR_NUMBERS
+
+
+def test_rolling_windows_train_on_the_past(spark):
+    """The sign of y turns in the last windows: a model that saw it would not be this wrong."""
+    start = dt.date(2016, 3, 1)
+    rows = [(start + dt.timedelta(days=91 * (i // 8)), (0.1 if i % 2 else -0.1) * (-1 if i >= 136 else 1), 1, float(i % 2), 0.05 if i % 3 else None) for i in range(160)]
+    t = spark.createDataFrame(rows, "date date, y double, h int, x double, family_mean_change double")
+    p = models.cut(models.rolling_predictions(t, {"current": (["x"], []), "+same": (["y"], [])}, (1,), rounds=1))
+    got = {(r["fold"], r["set"]): r for r in models.rolling_scores(p).collect()}
+    last = max(r[0] for r in rows)
+    assert {k for k, _ in got} == {0, 1, 2, 3} and {s for _, s in got} == {"current", "+same"}
+    for k in range(4):
+        to, since = last.replace(year=last.year - k), last.replace(year=last.year - k - 1)
+        mine = [r for r in rows if since < r[0] <= to]
+        r = got[k, "current"]
+        assert r["fold_end"] == to and r["transitions"] == len(mine)
+        assert abs(r["same_price_mae"] - 0.1) < 1e-9 and abs(r["family_history_mae"] - np.mean([abs(m[1] - (m[4] or 0)) for m in mine])) < 1e-9
+    assert got[3, "current"]["auc"] == 1 and got[3, "current"]["mae"] < 0.02 and got[3, "current"]["coverage_80"] is not None
+    assert got[0, "current"]["auc"] < 0.5 and got[0, "+same"]["auc"] == 1
+    assert {r["set"] for r in metrics.cv_summary(models.rolling_scores(p)).collect()} == {"current", "+same"}
