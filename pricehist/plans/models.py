@@ -130,7 +130,7 @@ def _fair_rows(spark, sf_dir):
     """A row for every wine and fold left out (`outer`), with its features from the other folds: a wine of that fold is to be priced, the others train.
 
     A training row's name score is out of fold too: its own fold is left out as well, so one fit serves both folds of a pair."""
-    x = cut(latest(spark, sf_dir).select("wine_id", "date", "tier", "text", "brand", "family", "y", "fold", "vintage_age", "is_nv", "listing_year", *FAIR_CATEGORIES))
+    x = cut(latest(spark, sf_dir).select("wine_id", "tier", "text", "brand", "family", "y", "fold", "vintage_age", "is_nv", "listing_year", *FAIR_CATEGORIES))
     groups = [(k,) for k in range(FOLDS)] + [(j, k) for j in range(FOLDS) for k in range(j + 1, FOLDS)]
     scores = models.held_out_scores(x.select("wine_id", "text", "y", "fold"), groups)
     other = F.coalesce(F.get(F.filter("left_out", lambda k: k != F.col("fold")), F.lit(0)), F.col("fold"))
@@ -144,19 +144,16 @@ def _fair_predictions(rows, numbers):
     def job(k):
         train, test = rows.filter((F.col("outer") == k) & (F.col("fold") != k)), rows.filter((F.col("outer") == k) & (F.col("fold") == k))
         band = models.fit_range(train, None, numbers, FAIR_CATEGORIES, depth=5, rounds=15)
-        return band.transform(test).select("wine_id", "date", "tier", "fold", "y", "p10", "p50", "p90")
+        return band.transform(test).select("wine_id", "tier", "y", "p10", "p50", "p90")
 
     return models.side_by_side([partial(job, k) for k in range(FOLDS)])
 
 
-def _fair_prices(p):
-    usd = lambda c: F.round(F.exp(c), 2).alias(f"fair_{c}")
-    return p.select("wine_id", usd("p10"), usd("p50"), usd("p90"), metrics.value_pct(F.col("y"), F.col("p50")).alias("value_pct"))
-
-
 def m14_fair_price(spark, sf_dir):
     """Out-of-fold fair prices of every wine."""
-    return _fair_prices(_fair_predictions(_fair_rows(spark, sf_dir), FAIR_NUMBERS))
+    p = _fair_predictions(_fair_rows(spark, sf_dir), FAIR_NUMBERS)
+    usd = lambda c: F.round(F.exp(c), 2).alias(f"fair_{c}")
+    return p.select("wine_id", usd("p10"), usd("p50"), usd("p90"), metrics.value_pct(F.col("y"), F.col("p50")).alias("value_pct"))
 
 
 def m14_model_scores(spark, sf_dir):
@@ -169,12 +166,5 @@ def m14_model_scores(spark, sf_dir):
     return out
 
 
-def m15_model_prices(spark, sf_dir):
-    """Fair prices of the wines on the newest list, with the model's band widened to cover 80 percent."""
-    p = _fair_predictions(_fair_rows(spark, sf_dir), FAIR_NUMBERS)
-    x = p.join(F.broadcast(cut(metrics.band_scale(p))), F.lit(True)).join(F.broadcast(p.agg(F.max("date").alias("newest"))), F.lit(True)).filter("date = newest")
-    return _fair_prices(x.withColumns({c: F.col("p50") + F.col("k") * (F.col(c) - F.col("p50")) for c in ("p10", "p90")}))
-
-
-QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m10_ablation, m11_next_vintage, m11_rolling_cv, m11_cv_summary, m12_name_score, m14_fair_price, m14_model_scores, m15_model_prices)}
+QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m10_ablation, m11_next_vintage, m11_rolling_cv, m11_cv_summary, m12_name_score, m14_fair_price, m14_model_scores)}
 SQL: dict[str, str] = {}
