@@ -1,25 +1,27 @@
 """Connected components of a graph given as edges (A1).
 
 Alternating large-star and small-star steps: every step links each node's neighbours to the smallest node it knows, until
-all nodes of a component hang on its smallest one. Minima are taken by partial aggregation and joined back, so a hub with very
-many neighbours is neither collected nor sent to one task as a whole (the joins' skewed keys are split at run time)."""
+all nodes of a component hang on its smallest one. Minima are taken by partial aggregation and joined back; those of hubs are
+broadcast to the edges, so a hub with very many neighbours is neither collected nor sent to one task as a whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricehist.functions.shared import cut
+from pricehist.functions.shared import cut, spread_join
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
+    """n: number of edges, each of which is seen upwards once."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).filter("n > 0")
+    moved = spread_join(both.filter("v > u"), cut(least), "u", total=n)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -36,9 +38,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     pairs = cut(pairs.distinct())
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    stars, before = pairs.filter("u <> v"), None
+    stars = cut(pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    before = _mark(stars)
     for _ in range(most_rounds):
-        stars = cut(_small(_large(stars)))
+        stars = cut(_small(_large(stars, before[0])))
         now = _mark(stars)
         if now == before:
             return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
