@@ -5,14 +5,16 @@ round after round; each step fits a tree of three leaves on one feature's bins a
 pairs with the most left to gain then get two-way tables from four-leaf trees in the same way. A score is a sum of table
 entries.
 
-Defined results: null and empty texts are scored as texts without words; documents without a label are scored like others;
-label rows that repeat count as often as they occur, null labels not at all; without usable labels every score is 0.5; other
-columns are ignored.
+Defined results: null and empty texts are scored as texts without words; very long texts are scored whole (memory: about ten times
+their bytes, one text at a time); documents without a label are scored like others, and repeated documents once for each row; label
+rows that repeat count once (two labels of one id both count), null labels not at all; without usable labels every score is 0.5; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -23,9 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricehist.llm.common import bounded, crc, texts
+from pricehist.llm.common import bounded, crc, cut, hand_back, label_sample, texts
 
-#: Labelled rows that the model is fitted on, about.
+#: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS = 32, 8
 CLASSES = {
@@ -48,13 +50,14 @@ def features(column: list[str]) -> np.ndarray:
     out = np.zeros((len(column), len(NAMES)))
     for i, text in enumerate(column):
         raw = text.encode("utf-8", "replace")
-        words, n = raw.split(), max(1, len(raw))
-        sums = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _SUMS
-        w, kinds, lines = max(1, len(words)), set(words), raw.split(b"\n")
-        common = max(map(words.count, sorted(kinds, key=len)[:3]), default=0)
+        words, n, sums = raw.split(), max(1, len(raw)), np.zeros(_SUMS.shape[1])
+        for a in range(0, len(raw), 1 << 20):
+            sums += np.bincount(np.frombuffer(raw, np.uint8, min(1 << 20, len(raw) - a), a), minlength=256) @ _SUMS
+        w, kinds, lines = max(1, len(words)), Counter(words), raw.split(b"\n")
         out[i] = [
             *(sums / n), np.log1p(len(raw)), np.log1p(len(words)), (n - sums[2] - sums[3]) / w, max(map(len, kinds), default=0), len(kinds) / w,
-            sum(map(eq, words, words[1:])) / w, np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), len(zlib.compress(raw, 1)) / (n + 20), np.log1p(w / (1 + sums[4] + sums[6])), common / w,
+            sum(map(eq, words, words[1:])) / w, np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), len(zlib.compress(raw, 1)) / (n + 20), np.log1p(w / (1 + sums[4] + sums[6])),
+            max(kinds.values(), default=0) / w,
         ]
     return out
 
@@ -164,16 +167,16 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.12, pai
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None, rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """The model of a bounded sample of the labelled documents for which keep (a condition on doc_id) holds."""
-    known = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    sample = bounded(known.filter(keep) if keep is not None else known, "doc_id", rows, 8)
+    sample = label_sample(labels, label, keep, rows, 8)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"y": b["y"].to_numpy(), "x": list(features(texts(b["text"])))})
+        hand_back()
 
-    # The sample has about `rows` rows, whatever the table's size.
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run, "y int, x array<double>").toPandas()
-    order = np.lexsort(np.array([*zip(*got["x"], strict=True)])) if len(got) else []
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run, "y int, x array<double>")
+    got = bounded(cut(found), rows, 8, "x", "y").toPandas()  # more than the sample only where ids repeat in docs
+    order = np.lexsort(np.array([*zip(*got["x"], strict=True), got["y"]])) if len(got) else []
     got = got.iloc[order]  # in an order that does not depend on the tasks
     return fit(np.array(got["x"].tolist()).reshape(len(got), len(NAMES)), got["y"].to_numpy(float))
 
@@ -183,8 +186,10 @@ def scorer(spark: SparkSession, model: AdditiveModel) -> Callable[[str], Column]
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(features(texts(text))))
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in parts:
+            yield pd.Series(sent.value.score(features(texts(text))))
+        hand_back()
 
     return score
 

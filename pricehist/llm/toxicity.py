@@ -5,8 +5,10 @@ group, copies with the group swapped for another of the same kind are made, and
 logistic function) is penalised, so that naming a group does not by itself raise a score. An absolute-value penalty leaves
 weights on few words, so that long texts do not add up noise.
 
-Defined results: null and empty texts get the score of a text without known words; repeated label rows count as often as
-they occur, null labels not at all; without usable labels every score is 0.5; other columns are ignored.
+Defined results: null and empty texts get the score of a text without known words; very long texts are scored whole (memory: about
+twenty times their bytes, one text at a time); repeated documents are scored once for each row; repeated label rows count once (two
+labels of one id both count), null labels not at all; without usable labels every score is 0.5; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricehist.llm.common import bounded, crc, cut, texts
+from pricehist.llm.common import bounded, crc, cut, hand_back, label_sample, texts
 
-#: Labelled rows that the model is fitted on, about; words that it may weigh.
+#: Labelled rows that the model is fitted on, at most; words that it may weigh.
 SAMPLE_ROWS, MOST_WORDS = 12_000, 4_000
 #: Identity terms by kind (fixed values): a term is swapped for others of its kind.
 IDENTITY = {
@@ -119,10 +121,9 @@ def fit(column: list[str], y: np.ndarray, least: int = 3, **how: float) -> WordM
 def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = SAMPLE_ROWS, least: int = 3) -> WordModel:
     """The model of a bounded sample of the labelled documents for which keep (a condition on doc_id) holds. Words are counted and chosen by
     Spark; the driver gets the chosen words and, for each sampled row, the places of those it has."""
-    known = labels.filter(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
-    sample = bounded(known.filter(keep) if keep is not None else known, "doc_id", rows, 2)
-    # The sample has about `rows` rows, whatever the table's size.
-    texts_of = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    sample = label_sample(labels, "toxic", keep, rows, 2)
+    # More than the sample only where ids repeat in docs.
+    texts_of = bounded(cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")), rows, 2, "doc_id", "y", "text")
     y = texts_of.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")).first()
     if not y["bad"] or y["bad"] == y["n"]:
         return constant(np.array([1.0 if y["bad"] else 0.0] * y["n"]))
@@ -136,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows:
                 if v:
                     bad.update(s)
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), "bad": [bad[w] for w in seen]})
+        hand_back()
 
     rate = y["bad"] / y["n"]
     far = F.abs(F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
@@ -160,6 +162,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": sent.value.score(texts(b["text"]))})
+        hand_back()
 
     scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
