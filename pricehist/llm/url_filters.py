@@ -4,12 +4,14 @@ A list's dated additions and removals become validity intervals (each addition l
 is looked up under its host and every parent domain, and counts as listed where an entry's interval holds its fetch time; of
 several, the longest domain is reported.
 
-The list is broadcast only up to BROADCAST_ROWS intervals, which is counted first; beyond that the join shuffles by domain and
-Spark splits hot hosts at run time.
+Captures are reduced to different hosts and days before they meet the list, so a hot host is a row a day there. The list is broadcast
+only up to BROADCAST_ROWS intervals, which is counted first; beyond that the join shuffles by domain and Spark splits hot domains at
+run time, as it does with the hot hosts of captures that take up their answer.
 
 Defined results: null and malformed URLs have no host and are not listed, as are captures without a time; repeated lines of a
-list count once; an addition and a removal at one time leave the entry off; repeated captures are one row (page_id is the
-key, so equal ids share one answer: listed if any is); other columns are ignored.
+list count once; an addition and a removal at one time leave the entry off; captures of equal page_id, host and day are one row, any
+others (such as one page fetched from two hosts) a row each; URLs of any length are looked up whole; empty tables give no rows, and an
+empty list lists nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricehist.llm.common import stored
+
 BROADCAST_ROWS = 100_000
 
 
@@ -32,17 +36,18 @@ def intervals(lines: DataFrame) -> DataFrame:
 
 
 def evaluate(captures: DataFrame, lines: DataFrame) -> DataFrame:
-    """page_id, host, day, listed, domain, since of every capture. captures: page_id, url, day."""
-    active = intervals(lines)
+    """page_id, host, day, listed, domain, since of every different capture. captures: page_id, url, day."""
+    active = stored(intervals(lines), "intervals")
     few = active.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = captures.select("page_id", host_of(F.col("url")).alias("host"), "day")
+    rows = captures.select("page_id", host_of(F.col("url")).alias("host"), "day").distinct()
     parts = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    asked = rows.withColumn("domain", F.explode(parents))
+    # Captures of one host and day ask the list once.
+    asked = rows.select("host", "day").distinct().withColumn("domain", F.explode(parents))
     on = (asked["domain"] == active["domain"]) & (asked["day"] >= active["since"]) & (F.col("until").isNull() | (asked["day"] < active["until"]))
-    found = asked.join(F.broadcast(active) if few else active, on, "left").select("page_id", "host", "day", active["domain"].alias("domain"), "since")
-    best = F.max(F.when(F.col("domain").isNotNull(), F.struct(F.length("domain").alias("n"), "domain", "since")))
-    out = found.groupBy("page_id").agg(F.max("host").alias("host"), F.max("day").alias("day"), best.alias("best"))
+    found = asked.join(F.broadcast(active) if few else active, on).select("host", "day", active["domain"].alias("domain"), "since")
+    best = found.groupBy("host", "day").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "since")).alias("best"))
+    out = rows.join(best, ["host", "day"], "left")
     return out.select("page_id", "host", "day", F.col("best").isNotNull().alias("listed"), F.col("best.domain").alias("domain"), F.col("best.since").alias("since"))
 
 
