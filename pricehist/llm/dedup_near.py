@@ -7,15 +7,19 @@
    bucket's smallest one, and the components of these links are families: all pairs that need a look lie within one.
 3. Within a family links are decided on the full sets. Families of usual size are joined in a task with rarest-first
    prefixes, a union-find skipping pairs that already hang together. Larger families are spread out: shingles that a family
-   has once rule out classes that can have no link, the others are compared with the head of each bucket, and only pairs of a
-   bucket that still are in different components are compared one by one.
+   has once rule out classes that can have no link, the others are compared with the head of each bucket, and classes that then
+   are outside their family's largest component are joined with it by their rarest shingles.
 4. Confirmed links are united into components.
 
-Bands miss a pair at the threshold with a probability of about 1e-8 (30 bands of 5 at 0.85).
+Bands miss a pair at the threshold with a probability of about 1e-8 (30 bands of 5 at 0.85), unless both are in one family all the
+same. Rows take up their class by a join that broadcasts the few classes with very many copies.
+
+Memory: texts are hashed in slices of about 1 MB; a very long text takes some 30 times its bytes.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; texts shorter
-than a shingle have their whole word sequence as their one shingle; repeated rows and equal sets are one class; a group's
-representative is its smallest doc_id; other columns are ignored.
+than a shingle have their whole word sequence as their one shingle; repeated rows and equal sets are one class; an id that repeats
+with different texts has a row, and the links, of each; a group's representative is its smallest doc_id; a null doc_id represents
+only groups in which all are null, whose texts are compared with no others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricehist.llm.common import cut, slices, texts
+from pricehist.functions.shared import spread_join
+from pricehist.llm.common import cut, hand_back, slices, stored, texts
 from pricehist.operators.components import connected_components
 
 BANDS, ROWS = 30, 5
@@ -64,26 +70,31 @@ def shingle_sets(column: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
-    """SuperMinHash: one row of m values (rank << 32 | fraction) for each set; the largest number throughout for an empty one."""
+def signatures(sets: list[np.ndarray], m: int, part: int = 1 << 17) -> np.ndarray:
+    """SuperMinHash: one row of m values (rank << 32 | fraction) for each set; the largest number throughout for an empty one.
+
+    Shingles go through `part` at a time, each with a permutation of m positions, so the permutations' memory is bounded; a later
+    part of a long text starts from the minima of those before it."""
     out = np.full((len(sets), m), np.iinfo(np.uint64).max, np.uint64)
     flat = out.reshape(-1)
-    items = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(items), m)).copy()
-    for rank in range(m):
-        if not len(items):
-            break
-        drawn = _mix(items + np.array([2 * rank + 1], np.uint64) * _ODD)
-        row = np.arange(len(items))
-        pick = rank + ((drawn >> np.uint64(32)) % np.uint64(m - rank)).astype(np.int64)
-        place = order[row, pick].astype(np.int64)
-        order[row, pick] = order[row, rank]
-        np.minimum.at(flat, owner * m + place, (np.uint64(rank) << np.uint64(32)) | (drawn & np.uint64(0xFFFFFFFF)))
-        # All positions have a rank of at most this one: later ranks change nothing.
-        more = (out.max(1) >= np.uint64((rank + 1) << 32))[owner]
-        if not more.all():
-            items, owner, order = items[more], owner[more], order[more]
+    all_items = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    for a in range(0, len(all_items), part):
+        items, owner = all_items[a : a + part], owners[a : a + part]
+        order = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(items), m)).copy()
+        for rank in range(m):
+            if not len(items):
+                break
+            drawn = _mix(items + np.array([2 * rank + 1], np.uint64) * _ODD)
+            row = np.arange(len(items))
+            pick = rank + ((drawn >> np.uint64(32)) % np.uint64(m - rank)).astype(np.int64)
+            place = order[row, pick].astype(np.int64)
+            order[row, pick] = order[row, rank]
+            np.minimum.at(flat, owner * m + place, (np.uint64(rank) << np.uint64(32)) | (drawn & np.uint64(0xFFFFFFFF)))
+            # All positions have a rank of at most this one: later ranks change nothing.
+            more = (out.max(1) >= np.uint64((rank + 1) << 32))[owner]
+            if not more.all():
+                items, owner, order = items[more], owner[more], order[more]
     return out
 
 
@@ -94,21 +105,30 @@ def band_keys(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+def fingerprint(shingles: np.ndarray) -> bytes | None:
+    """128 bits that tell sets apart; null for an empty one."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, fingerprint (null for an empty set) and band keys of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = texts(b["text"])
+            column = texts(b.column(1).to_pylist())
             for lo, hi in slices(column, 128):
                 sets = shingle_sets(column[lo:hi], width)
                 keys = band_keys(signatures(sets, bands * rows), bands, rows)
-                yield pd.DataFrame({
-                    "doc_id": b["doc_id"].iloc[lo:hi].values, "n_shingles": [len(s) for s in sets],
-                    "fingerprint": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "bands": list(keys),
-                })
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()),
+                        pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32), pa.array(keys.reshape(-1))),
+                    ],
+                    names=["doc_id", "n_shingles", "fingerprint", "bands"],
+                )
+        hand_back()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
 
 
 def join_family(n: int, sets: list[np.ndarray], least: int) -> np.ndarray:
@@ -151,82 +171,101 @@ def join_family(n: int, sets: list[np.ndarray], least: int) -> np.ndarray:
 
 
 def _families(classes: DataFrame) -> DataFrame:
-    """node, family. classes: doc_id, bands."""
-    keys = classes.select("doc_id", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
-    links = keys.join(heads, "key").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    return connected_components(links).withColumnRenamed("component", "family")
+    """class, family. classes: class, bands."""
+    keys = classes.select("class", F.explode("bands").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
+    links = keys.join(heads, "key").filter("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
+    return connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("family"))
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """The columns of chosen (doc_id first) and the shingle set of each."""
-    kinds = ", ".join(f"{n} {t}" for n, t in chosen.dtypes)
+    """class, doc_id, family, large and the shingle set of each row of chosen (with doc_id and fingerprint); where ids repeat with
+    other texts, only the text of the fingerprint counts."""
+    names = ["class", "doc_id", "family", "large"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo, hi in slices(b):
-                part = b.iloc[lo:hi]
-                yield part.drop(columns="text").assign(shingles=[s.view(np.int64) for s in shingle_sets(texts(part["text"]), width)])
+            column = texts(b["text"])
+            for lo, hi in slices(column):
+                part, sets = b.iloc[lo:hi], shingle_sets(column[lo:hi], width)
+                same = [fingerprint(s) == bytes(f) for s, f in zip(sets, part["fingerprint"], strict=True)]
+                yield part[names].assign(shingles=[s.view(np.int64) for s in sets])[same]
+        hand_back()
 
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select(*chosen.columns, "text").mapInPandas(run, f"{kinds}, shingles array<long>")
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select(*names, "fingerprint", "text")
+    return found.mapInPandas(run, "class long, doc_id long, family long, large boolean, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """a, b of pairs whose sets are as similar as least asks."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
+    one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("s"))
+    two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("s", "t")))
     return both.filter(100 * F.col("common") >= least * (F.size("s") + F.size("t") - F.col("common"))).select("a", "b")
 
 
 def spread_links(sets: DataFrame, bands: DataFrame, least: int) -> DataFrame:
-    """a, b: links that connect all classes of large families. sets: doc_id, family, shingles; bands: doc_id, bands.
+    """a, b: links that connect all classes of large families. sets: class, family, shingles; bands: class, bands.
 
-    No row set here grows with the square of a family, but for pairs of one bucket that are in different components after
-    all have been compared with their bucket's head."""
-    tokens = sets.select("doc_id", "family", F.explode("shingles").alias("t"))
-    once = tokens.groupBy("family", "t").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    Every class is compared with the heads of its buckets first. Classes that then are outside their family's largest component look
+    for partners in other components by their rarest shingles: a partner has one of a class's n - least% n + 1 rarest."""
+    tokens = sets.select("class", "family", F.explode("shingles").alias("t"))
+    counts = cut(tokens.groupBy("family", "t").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class")))
+    once = counts.filter("c = 1").groupBy("class").agg(F.count(F.lit(1)).alias("own"))
     # A partner has none of the shingles that only this class has.
-    alive = sets.join(once, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("n", F.size("shingles"))
+    alive = sets.join(once, "class", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("n", F.size("shingles"))
     alive = cut(alive.filter(100 * (F.col("n") - F.col("own")) >= least * F.col("n")))
-    keys = cut(alive.select("doc_id", "own", "n").join(bands, "doc_id").select("doc_id", "own", "n", F.explode("bands").alias("key")))
-    heads = keys.groupBy("key").agg(F.min(F.struct("own", "doc_id")).alias("head")).select("key", F.col("head.doc_id").alias("b"))
-    first = keys.join(heads, "key").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    keys = alive.select("class", "own", "n").join(bands, "class").select("class", "own", "n", F.explode("bands").alias("key"))
+    keys = cut(keys)
+    heads = keys.groupBy("key").agg(F.min(F.struct("own", "class")).alias("head")).select("key", F.col("head.class").alias("b"))
+    first = keys.join(heads, "key").filter("class <> b").select(F.col("class").alias("a"), "b").distinct()
     links = cut(_verified(first, alive, least))
-    at = connected_components(links).select(F.col("node").alias("doc_id"), "component")
-    placed = keys.join(at, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    torn = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    left = cut(placed.join(torn, "key"))
-    two = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "own", "n", "component")])
-    shared = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
-    rest = left.join(two, "key").filter("doc_id < doc_id2 AND component <> component2").filter((100 + least) * shared >= least * (F.col("n") + F.col("n2")))
-    return links.unionByName(_verified(rest.select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b")).distinct(), alive, least))
+    at = connected_components(links).select(F.col("node").alias("class"), "component")
+    placed = cut(alive.select("class", "family", "n").join(at, "class", "left").withColumn("component", F.coalesce("component", "class")))
+    parts = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("family").agg(F.max(F.struct("k", F.col("component").alias("main"))).alias("x")).select("family", "x.main")
+    strays = cut(placed.join(main, "family").filter("component <> main").select("class", "n", "component"))
+    if not strays.take(1):
+        return links
+    theirs = alive.select("class", "family", F.explode("shingles").alias("t"))
+    rarity = theirs.join(strays, "class").join(counts.select("family", "t", "c"), ["family", "t"])
+    place = F.row_number().over(Window.partitionBy("class").orderBy("c", "t"))
+    rare = rarity.withColumn("place", place).filter(F.col("c") > 1).filter(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") / 100) + 1)
+    one = rare.select("family", "t", F.col("class").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"))
+    two = theirs.join(placed.select("class", "n", "component"), "class").withColumnsRenamed({"class": "b", "n": "n2", "component": "c2"})
+    pairs = one.join(two, ["family", "t"]).filter("c1 <> c2").filter(100 * F.least("n1", "n2") >= least * F.greatest("n1", "n2"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links.unionByName(_verified(pairs, alive, least))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, family_classes: int = FAMILY_CLASSES, family_shingles: int = FAMILY_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row. Links: 100 * intersection >= least * union of the shingle sets."""
-    all_rows = cut(sketch(docs, width))
-    by_set = all_rows.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    members = cut(all_rows.select("doc_id", "n_shingles", "fingerprint").join(by_set, "fingerprint", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
-    classes = all_rows.filter("n_shingles > 0").join(members.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"])
-    classes = cut(classes)
-    families = cut(_families(classes).select(F.col("node").alias("doc_id"), "family").join(classes.select("doc_id", "n_shingles"), "doc_id"))
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    large = cut(sizes.filter((F.col("n") > family_classes) | (F.col("s") > family_shingles)).select("family", F.lit(True).alias("large")))
-    chosen = families.join(large, "family", "left").select("doc_id", "family", "large") if large.take(1) else families.select("doc_id", "family", F.lit(None).cast("boolean").alias("large"))
-    sets = _sets(docs, chosen, width)
+    rows = stored(sketch(docs, width), "sketch")
+    some = rows.filter("fingerprint IS NOT NULL")
+    by_set = some.groupBy("fingerprint", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    classes = cut(by_set.withColumn("class", F.monotonically_increasing_id()))
+    bands = some.select("fingerprint", "doc_id", "bands").join(classes.select("fingerprint", "doc_id", "class", "n_shingles"), ["fingerprint", "doc_id"])
+    bands = cut(bands.select("class", "n_shingles", "doc_id", "fingerprint", "bands").dropDuplicates(["class"]))
+    families = cut(_families(bands).join(bands.drop("bands"), "class"))
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("s"))
+    large = cut(sizes.filter((F.col("k") > family_classes) | (F.col("s") > family_shingles)).select("family", F.lit(True).alias("large")))
+    any_large = bool(large.take(1))
+    chosen = families.join(large, "family", "left") if any_large else families.withColumn("large", F.lit(None).cast("boolean"))
+    sets = _sets(docs, chosen.select("class", "doc_id", "fingerprint", "family", "large"), width)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates("doc_id")
-        ids = b["doc_id"].to_numpy()
+        b = b.drop_duplicates("class")
         c = join_family(len(b), list(b["shingles"]), least)
-        return pd.DataFrame({"class_id": ids, "component_id": pd.Series(ids).groupby(c).transform("min").to_numpy()})
-
-    usual = sets.filter("large IS NULL").groupBy("family").applyInPandas(run, "class_id long, component_id long")
-    found = usual
-    if large.take(1):
-        spread = cut(sets.filter("large").select("doc_id", "family", "shingles").dropDuplicates(["doc_id"]))
-        links = spread_links(spread, classes.select("doc_id", "bands"), least)
-        found = usual.unionByName(connected_components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id")))
-    out = members.join(found, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        return pd.DataFrame({"class": b["class"].to_numpy(), "component_id": b["doc_id"].groupby(c).transform("min").to_numpy()})
+
+    found = sets.filter("large IS NULL").groupBy("family").applyInPandas(run, "class long, component_id long")
+    if any_large:
+        spread = cut(sets.filter("large").select("class", "family", "shingles").dropDuplicates(["class"]))
+        links = spread_links(spread, bands.select("class", "bands"), least)
+        at = cut(connected_components(links).select(F.col("node").alias("class"), "component").join(classes.select("class", "doc_id"), "class"))
+        least_of = cut(at.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+        found = found.unionByName(spread_join(at.select("class", "component"), least_of, "component").select("class", "component_id"))
+    keyed = classes.join(found, "class", "left").select("fingerprint", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = spread_join(some.select("doc_id", "n_shingles", "fingerprint"), cut(keyed), "fingerprint").select("doc_id", "n_shingles", "component_id")
+    alone = rows.filter("fingerprint IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
