@@ -1,15 +1,21 @@
 """Exact top-k search by inner product with norm buckets (operator 10).
 
-Vectors are ordered by length and cut into buckets of bounded size; queries are cut into blocks. The bucket of the longest
-vectors is searched first and gives every query a score that its k-th answer reaches. Each other bucket then is looked at
-with that score: its longest vector turns it into a threshold on the cosine. A bucket whose threshold is over 1 is skipped;
-with a high one, vectors whose coordinate at the query's largest one lies outside the range that such a cosine allows are
-left out, else those too short for the score; products of what is left are computed exactly, and the best k of all buckets
-are merged.
+Vectors are ordered by length and cut into buckets of bounded size. The bucket of the longest vectors is searched first, then rounds
+of 1, 2, 4, ... further ones. After each round a query knows its k-th best so far, and with it how long a vector must be to
+reach that score at all: buckets whose longest vector is shorter are never sent to it, and most queries are done early. Queries that
+are not are put in order of that length and cut into blocks, so that a bucket goes only to the blocks that still need it.
+
+Where a block meets a bucket, the bucket's longest vector turns the score that a query has to reach into a threshold on the cosine.
+Over 1 the bucket is skipped; with a high one, vectors whose coordinate at the query's largest one lies outside the range that such a
+cosine allows are left out, else those too short for the score; products of what is left are computed exactly, and the best k are
+merged with those of the rounds before.
+
+The driver holds one length for each bucket of some 16,000 vectors and for each block of some 4,000 queries.
 
 Defined results: null vectors and vectors with null or non-finite components take no part; a query is compared with vectors
 of its own number of components; repeated rows are candidates each, rows with the query's own id never; a repeated query id
-is answered once, with its smallest vector; equal scores go by vec_id; other columns are ignored.
+is answered once, with its smallest vector; equal scores go by vec_id; an empty table gives no rows; very long vectors only make
+their buckets larger in bytes; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,17 +51,18 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(queries: pd.DataFrame, bucket: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best k of a bucket for each query, but for those that cannot be among its best k of all. queries: query_id, vec, square, and
-    least (a score that its k-th answer reaches, or null)."""
+    """The best k of a bucket for each query, but for those that cannot be among its best k of all. queries: query_id, vec, square,
+    least and last (score and id of its k-th answer so far; least is null before it has one)."""
     if not len(queries) or not len(bucket):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
     bucket = bucket.sort_values(["square", "vec_id"], ascending=[False, True])
     ids, c, length = bucket["vec_id"].to_numpy(), np.stack(bucket["vec"].to_numpy()), np.sqrt(bucket["square"].to_numpy())
     q, qlen = np.stack(queries["vec"].to_numpy()), np.sqrt(queries["square"].to_numpy())
-    least = queries["least"].to_numpy(float)
+    least, last = queries["least"].to_numpy(float), queries["last"].to_numpy(np.int64)
     exact = float(qlen.max()) * float(length.max()) < 2**52
     if not exact:
         c, q = c.astype(np.int64), q.astype(np.int64)
+        least = least - np.abs(least) * 1e-15  # scores so large are not exact as doubles: nothing is left out for its id
     unit = c / np.maximum(length, 1e-300)[:, None]
     out = []
     for lo in range(0, len(q), 256):
@@ -86,7 +93,7 @@ def search(queries: pd.DataFrame, bucket: pd.DataFrame, k: int) -> pd.DataFrame:
                     products = part @ c.T
                 s, some = products[i], ids
             if theta == theta:
-                at = np.flatnonzero((s >= theta) & (some != own))
+                at = np.flatnonzero(((s > theta) | ((s == theta) & ((some < last[lo + i]) | (not exact)))) & (some != own))
             else:
                 at = np.flatnonzero(some != own)
             at = at[best(some[at], s[at], k)]
@@ -94,28 +101,52 @@ def search(queries: pd.DataFrame, bucket: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
 
+def _asked(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """queries with least and last, where k answers are found, and reach: the shortest length that can still matter. found: answers so
+    far, with rank."""
+    kth = found.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"), F.col("vec_id").alias("last"))
+    reach = F.coalesce(F.when(F.col("least") > 0, F.col("least") / F.sqrt("square") * (1 - 1e-9)), F.lit(0.0))
+    return queries.join(kth, "query_id", "left").withColumns({"reach": reach, "last": F.coalesce("last", F.lit(0).cast("long"))})
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, bucket_rows: int = BUCKET, block_rows: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: rows whose id is divisible by `every` against all rows."""
+    spark = vectors.sparkSession
     all_rows = cut(quantised(vectors))
     buckets = max(1, -(-all_rows.count() // bucket_rows))
     # Partitions of the ordered rows are the buckets; equal lengths are split by id.
     ordered = cut(all_rows.repartitionByRange(buckets, F.desc("square"), F.asc("vec_id")).withColumn("bucket", F.spark_partition_id()))
-    queries = all_rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "size").agg(F.min("vec").alias("vec"), F.min_by("square", "vec").alias("square"))
-    blocks = max(1, -(-queries.count() // block_rows))
-    asked = cut(queries.select(F.col("vec_id").alias("query_id"), "vec", "square", "size", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")))
-    last = ordered.agg(F.max("bucket")).first()[0] or 0
-
-    def grid(asked: DataFrame, first: int, to: int) -> DataFrame:
-        """Every block of queries meets every bucket from first to last, in a task of its own."""
-        left = asked.select("query_id", "vec", "square", "least", F.col("size").alias("q_size"), F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(first), F.lit(to))).alias("q_bucket"))
-        right = ordered.filter(F.col("bucket").between(first, to)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = left.groupBy("q_block", "q_bucket", "q_size").cogroup(right.groupBy("block", "bucket", "size"))
-        return pairs.applyInPandas(lambda a, b: search(a, b, k), PAIR)
-
-    start = cut(grid(asked.withColumn("least", F.lit(None).cast("double")), 0, 0))
-    found = start
-    if last:
-        least = start.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id", "least")
-        found = start.unionByName(grid(asked.join(least, "query_id", "left"), 1, last))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    longest = {r["bucket"]: r["x"] for r in ordered.groupBy("bucket").agg(F.sqrt(F.max("square")).alias("x")).collect()}
+    same = all_rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "size").agg(F.min("vec").alias("vec"))
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    queries = cut(same.select(F.col("vec_id").alias("query_id"), "size", "vec", square.alias("square")))
+    best_of = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found, asked, done, width = None, queries.selectExpr("*", "double(null) AS least", "0L AS last", "0D AS reach"), 0, 1
+    end = 1 + max(longest, default=-1)
+    while done < end:
+        now = {b: x for b, x in longest.items() if done <= b < done + width}
+        blocks = max(1, -(-asked.count() // block_rows))
+        asked = cut(asked.repartitionByRange(blocks, "reach", "query_id").withColumn("block", F.spark_partition_id()))
+        least = {r["block"]: r["x"] for r in asked.groupBy("block").agg(F.min("reach").alias("x")).collect()}
+        # Blocks are in order of reach: those that need a bucket are the first ones.
+        reaches = sorted(least.items())
+        last_block = {b: max((i for i, r in reaches if r <= x), default=-1) for b, x in now.items()}
+        plan = [(b, x, last_block[b]) for b, x in now.items() if last_block[b] >= 0]
+        if plan:
+            wanted = F.broadcast(spark.createDataFrame(plan, "bucket int, longest double, last_block int"))
+            left = asked.join(wanted, (asked["reach"] <= wanted["longest"]) & (asked["block"] <= wanted["last_block"]))
+            left = left.select("query_id", "vec", "square", "least", "last", F.col("size").alias("q_size"), F.col("block").alias("q_block"), F.col("bucket").alias("q_bucket"))
+            right = ordered.filter(F.col("bucket").between(done, done + width - 1)).join(wanted, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), "last_block")))
+            right = right.select("vec_id", "vec", "size", "square", "bucket", "block")
+            pairs = left.groupBy("q_block", "q_bucket", "q_size").cogroup(right.groupBy("block", "bucket", "size"))
+            new = pairs.applyInPandas(lambda a, b: search(a, b, k), PAIR)
+            both = new if found is None else found.drop("rank").unionByName(new)
+            found = cut(both.withColumn("rank", F.row_number().over(best_of)).filter(F.col("rank") <= k))
+        done, width = done + width, 2 * width
+        if done < end:
+            # Queries that no later bucket can help are answered.
+            to_come = max(x for b, x in longest.items() if b >= done)
+            asked = _asked(found, queries, k).filter(F.col("reach") <= to_come)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return found.select("query_id", "rank", "vec_id", "score")
