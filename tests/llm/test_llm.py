@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ sys.path.insert(0, __file__.rsplit("/", 2)[0])
 from compare import same
 
 from pricehist.llm import bpe, dedup_exact, dedup_near, langid, packing, quality, queries, token_counts, topk, toxicity, url_filters
+from pricehist.llm.common import bounded, label_sample
 
 BYTE, WORD = queries.BYTE_BPE, queries.WORD_BPE
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, `key` string, n string, bucket string, piece string, lang_pred string, y string, task string"
@@ -74,6 +76,47 @@ def test_packing_takes_the_least_sum_of_squares():
     assert list(sequence) == [0, 0, 1, 1, 1] and list(offset) == [0, 6, 0, 4, 7]
 
 
+def place_by_force(lengths, capacity):
+    """The rule itself: of all open sequences and a new one where none has room, the one that leaves the least sum of squares; ties go to the smallest gap."""
+    gaps, out = [], []
+    for s in lengths:
+        options = []
+        for i in {g: i for i, g in enumerate(gaps) if g >= s}.values():
+            after = [*gaps[:i], gaps[i] - s, *gaps[i + 1 :]]
+            options.append((sum(after.count(g) ** 2 for g in set(after) - {0}), gaps[i], i))
+        if options:
+            i = min(options)[2]
+            gaps[i] -= s
+        else:
+            i = len(gaps)
+            gaps.append(capacity - s)
+        out.append(gaps.copy())
+    return [sorted(g) for g in out]
+
+
+def test_packing_rule_on_random_lists():
+    r = random.Random(6)
+    for _ in range(60):
+        capacity = r.choice([10, 30])
+        lengths = sorted((r.randint(1, capacity - 1) for _ in range(25)), reverse=True)
+        sequence, offset = packing.place(np.array(lengths), capacity)
+        gaps = {}
+        for s, at, o, want in zip(lengths, sequence, offset, place_by_force(lengths, capacity), strict=True):
+            assert o == capacity - gaps.get(at, capacity)
+            gaps[at] = gaps.get(at, capacity) - s
+            assert sorted(gaps.values()) == want
+
+
+def test_word_encoder_against_the_library():
+    t, coder, r = Tokenizer.from_file(WORD), packing.WordEncoder(WORD), random.Random(8)
+    bits = ["the", "Réa", "ÉCOLE", "straße", "İx", "ΑΣ", "'ll", "it's", "!!", "...", "12", "a1b2", "日本。", " ", " ", "\n", "\t ", "\x1c", "\x85", "\u2028", "e\u0301", "<|endoftext|>", "½", ".,", "x" * 80]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    got = [x for _, part in packing.column_slices(pa.array([None, *texts]), 700, 4000) for x in coder.encode(part)]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ["", *texts]]
+    assert got == want
+    assert [coder.count_one(x) for x in texts] == [len(x) // 4 for x in want[1:]] == coder.count(pa.array(texts)).tolist()
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack_documents(empty, WORD).count() == 0
 
@@ -100,6 +143,38 @@ def test_counterfactual_pairs_lower_identity_weights():
     assert tied.score(["we saw vermin"])[0] > 0.9 and tied.score(["the muslims saw the tree"])[0] < 0.5
 
 
+def test_toxicity_weights_against_a_plain_full_gradient_fit():
+    r = random.Random(3)
+    column = [" ".join(r.choice(["good", "bad", "tree", "house", "muslim", "woman"]) for _ in range(4)) for _ in range(120)]
+    y = np.array([float("bad" in t) for t in column])
+    m = toxicity.fit(column, y, pairing=1.0, sparse=0.0, steps=3000)
+    names = sorted({w for t in column for w in toxicity.words(t)} | set(toxicity.KIND))
+    sets, rate = [toxicity.words(t) for t in column], y.mean()
+
+    def loss(weight):
+        """The penalised loss, written out row by row."""
+        total = 0.0
+        for s, v in zip(sets, y, strict=True):
+            z = weight["_"] + sum(weight.get(w, 0.0) for w in s)
+            total += (0.5 / rate if v else 0.5 / (1 - rate)) * (np.log1p(np.exp(z)) - v * z) / len(y)
+        gaps = []
+        for i, s in enumerate(sets):
+            own = [t for t in names if t in s and t in toxicity.KIND]
+            for t in own:
+                others = [o for o in toxicity.IDENTITY[toxicity.KIND[t]] if o not in own]
+                gaps += [(weight.get(t, 0.0) - weight.get(others[(i + k * 7) % len(others)], 0.0)) ** 2 for k in range(min(3, len(others)))]
+        return total + sum(gaps) / max(1, len(gaps))
+
+    weight = {"_": m.base, **m.weight}
+    here = loss(weight)
+    for w in ["_", "good", "tree", "muslim", "woman"]:
+        for d in (-0.3, 0.3):
+            assert loss({**weight, w: weight.get(w, 0.0) + d}) > here - 2e-3
+    for t in column[:20]:
+        z = m.base + sum(m.weight.get(w, 0.0) for w in toxicity.words(t))
+        assert abs(m.score([t])[0] - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 def test_toxicity_edges(messy, empty, labels):
     got = toxicity.classify(messy, labels).toPandas()
     assert len(got) == len(MESSY) and got.score.between(0, 1).all() and set(got.predicted) <= {0, 1}
@@ -111,23 +186,49 @@ def test_toxicity_edges(messy, empty, labels):
 
 
 def test_count_tree_against_whole_encoding():
-    t, coder, r = Tokenizer.from_file(WORD), packing.chunk_encoder(WORD), random.Random(3)
-    count = lambda parts: [len(x) // 4 for x in coder.encode(parts)]
-    for _ in range(150):
-        text = "".join(r.choice(["the ", "réa", " ", "\n", "Ab'll ", "\x1c", "日本", "!! ", "1 2"]) for _ in range(r.randint(0, 120)))
+    t, coder, r = Tokenizer.from_file(WORD), packing.word_encoder(WORD), random.Random(3)
+    bits = ["the ", "réa", " ", "\n", "Ab'll ", "\x1c", "日本", "語。", "!! ", "1 2", "a1", "x.y", "'", "s", "e\u0301", "İ", "Σ", "<|endof", "text|>"]
+    for _ in range(400):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 120)))
         parts = token_counts.blocks_of(text, r.choice([3, 20]))
-        tree = token_counts.CountTree(parts, count(parts), count)
+        tree = token_counts.CountTree(parts, [coder.count_one(p) for p in parts], coder.count_one)
         for _ in range(5):
-            a, n, new = r.randint(0, len(text) + 3), r.randint(0, 12), "".join(r.choice(["the", " ", "\n", "ing "]) for _ in range(r.choice([0, 1, 3, 60])))
+            a, n, new = r.randint(0, len(text) + 3), r.randint(0, 12), "".join(r.choice(["the", " ", "\n", "ing ", "!", ",", "\x1f", "\x1d", "7", "本", "'"]) for _ in range(r.choice([0, 1, 3, 60])))
             tree.edit(a, n, new)
             a = min(a, len(text))
             text = text[:a] + new + text[a + n :]
             assert tree.text() == text and tree.total == len(t.encode(text, add_special_tokens=False).ids)
 
 
+def test_edit_beside_a_separator_that_is_no_white_space():
+    coder, text = packing.word_encoder(WORD), "w" * 398 + "!, \x1f tail"
+    parts = token_counts.blocks_of(text)
+    tree = token_counts.CountTree(parts, [coder.count_one(p) for p in parts], coder.count_one)
+    tree.edit(len(parts[0]), 1, "")
+    assert tree.total == coder.count_one(tree.text())
+
+
+def test_blocks_of_texts_without_spaces():
+    for text in ("これは文です。" * 2000, "line\n" * 5000, "a1" * 5000):
+        parts = token_counts.blocks_of(text)
+        assert len(parts) > 20 and "".join(parts) == text
+    assert token_counts.blocks_of("x" * 5000) == ["x" * 5000]
+
+
+def test_kept_trees_take_a_later_batch_of_edits(spark, messy):
+    docs = token_counts.with_edits(messy)
+    once = token_counts.apply_edits(token_counts.count_trees(docs, WORD), WORD, keep_trees=True)
+    more = once.select("doc_id", "blocks", "counts", F.expr("array(named_struct('start', 1, 'length', 2, 'insert', 'new word'))").alias("edits"))
+    got = token_counts.apply_edits(more, WORD, keep_trees=True).toPandas()
+    t = Tokenizer.from_file(WORD)
+    assert len(got) == len(MESSY)
+    assert list(got["tokens_after"]) == [len(t.encode("".join(b), add_special_tokens=False).ids) for b in got["blocks"]]
+    assert sorted(got["tokens_before"]) == sorted(once.toPandas()["tokens_after"])
+
+
 def test_token_counts(spark, messy, empty, small):
     t = Tokenizer.from_file(WORD)
-    docs = token_counts.with_edits(spark.read.parquet(f"{small}/documents.parquet").unionByName(messy.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id <> 6"))).collect()
+    docs = token_counts.with_edits(spark.read.parquet(f"{small}/documents.parquet").unionByName(messy.select("doc_id", "text", "lang", "source", "n_chars"))).collect()
     got = sorted(map(tuple, token_counts.count_edited(spark.createDataFrame(docs, "doc_id long, text string, edits array<struct<start: int, length: int, insert: string>>"), WORD).select("doc_id", "tokens_before", "tokens_after").collect()))
     want = []
     for r in docs:
@@ -159,6 +260,9 @@ def test_url_filters_edges(spark, monkeypatch):
         monkeypatch.setattr(url_filters, "BROADCAST_ROWS", rows)  # the other join beyond the bound
         assert {(r["page_id"], r["listed"], r["domain"]) for r in url_filters.evaluate(captures, lines).collect()} == want
     assert url_filters.evaluate(captures.limit(0), lines).count() == 0
+    twice = spark.createDataFrame([(1, "http://a.org/", 5), (1, "http://z.org/", 50), (1, "http://a.org/", 5)], "page_id long, url string, day int")
+    listed = spark.createDataFrame([("a.org", 0, "add")], "domain string, day int, action string")
+    assert sorted(map(tuple, url_filters.evaluate(twice, listed).select("host", "day", "listed", "domain").collect())) == [("a.org", 5, True, "a.org"), ("z.org", 50, False, None)]
     assert url_filters.evaluate(captures, lines.limit(0)).filter("listed").count() == 0
 
 
@@ -193,7 +297,7 @@ def test_language_held_out(spark):
 
 
 def test_language_labels_words_of_mixed_text():
-    en, de = ["the house and the tree of the garden"] * 40, ["der hund und die katze im garten mit dem ball"] * 40
+    en, de = ["the house and the tree of the garden".split()] * 40, ["der hund und die katze im garten mit dem ball".split()] * 40
     m = langid.fit(en + de, ["en"] * 40 + ["de"] * 40)
     words = "the house and der hund und die katze the tree of the".split()
     e, _ = m.evidence(words)
@@ -201,6 +305,45 @@ def test_language_labels_words_of_mixed_text():
     assert [m.labels[j] for j in p.argmax(1)] == ["en"] * 3 + ["de"] * 5 + ["en"] * 4
 
 
+def test_language_of_a_long_text_does_not_depend_on_its_slices(monkeypatch):
+    r = random.Random(9)
+    m = langid.fit([["the", "house", "and"], ["der", "hund", "und"]] * 40, ["en", "de"] * 40)
+    texts = [" ".join(r.choice(["the", "house", "hund", "und"]) for _ in range(n)) for n in (5000, 3, 0, 700)]
+    whole = m.predict(texts)
+    monkeypatch.setattr(langid, "GROUP", 1)
+    assert m.predict(texts)[0] == whole[0] and np.allclose(m.predict(texts)[1], whole[1])
+    assert [m.predict([t])[0][0] for t in texts] == whole[0]
+
+
+def test_language_learned_from_long_texts_alone_and_from_rare_languages(spark):
+    en, de = "the house and the tree of the garden ", "der hund und die katze im garten mit dem ball "
+    rows = [(i, (en if i % 2 else de) * 400, "en" if i % 2 else "de") for i in range(40)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    assert (got.lang_pred == np.where(got.doc_id % 2, "en", "de")).all()
+    many = [(i, en, "en") for i in range(400)] + [(i, de, "de") for i in range(400, 408)]
+    chain = langid.train(spark.createDataFrame(many, "doc_id long, text string, lang string"), rows=20)
+    assert chain.labels == ["de", "en"] and chain.predict([de, en])[0] == ["de", "en"]
+    assert langid.shares({"a": 3, "b": 1000, "c": 10**11}, 100) == {"a": 3, "b": 48, "c": 49}
+
+
+@pytest.mark.parametrize("n", [10**11, 10**15])
+def test_samples_of_huge_tables_are_not_empty(spark, n):
+    # A table that is said to have n rows: the rows at hand are what its smallest hashes would look like.
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    share = 20_000 / n
+    low = df.filter(F.xxhash64(F.lit(3), "doc_id") <= F.lit(-(2**63) + int(2**64 * 0.5)))
+    assert bounded(df, 100, 3, "doc_id", known=20_000).count() == 100
+    assert bounded(low, 100, 3, "doc_id", known=n).count() <= 100 and share > 0
+    most = -(2**63) + int(2**64 * min(1.0, 1.2 * 2500 / n + 40 * 2500**0.5 / n)) - 1
+    assert (most + 2**63) / 2**64 * n > 2500
+
+
+def test_a_repeated_label_does_not_fill_the_sample(spark):
+    labels = spark.range(100_000).selectExpr("1L AS doc_id", "1 AS quality").unionByName(spark.range(50).selectExpr("id + 2 AS doc_id", "int(id % 2) AS quality"))
+    got = label_sample(labels, "quality", None, 30, 8).collect()
+    assert len(got) == 30 and len({(r["doc_id"], r["y"]) for r in got}) == 30
+
+
 def test_language_edges(messy, empty):
     got = langid.identify(messy).toPandas().set_index("doc_id")
     assert len(got) == len(MESSY) and set(got.loc[[0, 1, 2, 7], "lang_pred"]) == {"und"} and got.score.between(0, 1).all()
@@ -253,6 +396,19 @@ def test_near_copies(spark, width, least, cap):
     assert got.filter("kept <> (doc_id = component_id)").count() == 0
 
 
+def test_links_of_an_id_with_two_texts_and_of_rows_without_id(spark):
+    r = random.Random(2)
+    a, b = ([f"{x}{r.randrange(10**6)}" for _ in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (7, " ".join([*a, "end"])), (8, " ".join([*b, "end"])), (None, " ".join(a)), (None, "only here it is"), (9, "quite another text")]
+    got = sorted(map(tuple, dedup_near.near_duplicates(docs_of(spark, rows), 3, 85).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (7, 1, False), (8, 1, False), (None, 1, False), (None, None, True), (9, 9, True)], key=str)
+
+
+def test_signatures_do_not_depend_on_their_parts():
+    sets = [np.unique(np.random.default_rng(i).integers(0, 2**63, n).astype(np.uint64)) for i, n in enumerate((900, 0, 5, 300))]
+    assert (dedup_near.signatures(sets, 150) == dedup_near.signatures(sets, 150, part=64)).all()
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
@@ -312,6 +468,37 @@ def test_quality_learns_an_interaction():
     assert ((m.score(x) > 0.5) == y).mean() > 0.9 and (0, 1) in m.pairs
 
 
+def test_quality_scores_by_naive_walk_over_bins():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    m = quality.fit(x, y, rounds=9, pairs=3)
+    for row, got in zip(x[:60], m.score(x[:60]), strict=True):
+        b = [sum(1 for e in edges if e <= v) for edges, v in zip(m.edges, row, strict=True)]
+        z = m.base + sum(t[k] for t, k in zip(m.tables, b, strict=True))
+        z += sum(t[m.coarse[i][b[i]]][m.coarse[j][b[j]]] for (i, j), t in m.pairs.items())
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_quality_step_is_the_best_of_all_cuts():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 7):
+        g, h = rng.normal(size=n), rng.random(n) + 0.1
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 4.0)
+        best, at = quality._split(g, h, 4.0)
+        force = {c: gain(0, c) + gain(c, n) - gain(0, n) for c in range(1, n)}
+        assert abs(best - max(force.values())) < 1e-12 and force[at] == pytest.approx(best)
+        leaves = quality._leaves(g, h, 4.0)
+        cuts = [0, *(np.flatnonzero(np.diff(leaves)) + 1), n]
+        assert len(cuts) <= 4
+        assert all(np.allclose(leaves[a:b], g[a:b].sum() / (h[a:b].sum() + 4.0)) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def test_commonest_word_is_counted_whatever_its_length():
+    at = quality.NAMES.index("commonest")
+    assert quality.features(["a bb ccc extraordinary extraordinary extraordinary"])[0, at] == 3 / 6
+
+
 def test_quality_edges(messy, empty, labels):
     got = quality.classify(messy, labels).toPandas()
     assert len(got) == len(MESSY) and got.score.between(0, 1).all()
@@ -327,27 +514,38 @@ def test_exact_sql(spark, small):
     same(spark, small, queries.QUERIES["op9_exact_dedup"], queries.SQL["op9_exact_dedup"])
 
 
-@pytest.mark.parametrize("capacity", [2, 50_000])
-def test_exact_edges(messy, empty, capacity):
-    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in dedup_exact.dedup(messy, capacity).collect()}
+@pytest.mark.parametrize(("capacity", "size"), [(2, 1 << 20), (50_000, 1 << 26), (50_000, 40)])
+def test_exact_edges(messy, empty, capacity, size):
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in dedup_exact.dedup(messy, capacity, size).collect()}
     assert {(0, 1, 2, False), (1, 1, 2, True), (2, 2, 1, True), (4, 6, 4, False), (5, 6, 4, False), (6, 6, 4, True), (8, 8, 1, True)} <= got
     assert dedup_exact.dedup(messy, capacity).count() == len(MESSY)
     assert dedup_exact.dedup(empty, capacity).count() == 0
 
 
+def test_exact_rows_without_id(spark):
+    big = 2**60 + 1  # not a whole number as a double
+    docs = docs_of(spark, [(None, "a"), (3, "A"), (big, "a"), (None, "b"), (None, "B")]).coalesce(1)
+    got = sorted(map(tuple, dedup_exact.dedup(docs).select("doc_id", "keep_id", "kept").collect()), key=str)
+    assert got == sorted([(None, big, False), (3, big, False), (big, big, True), (None, None, True), (None, None, True)], key=str)
+
+
 def test_colliding_keys_are_told_apart(messy, monkeypatch):
     monkeypatch.setattr(dedup_exact, "key_of", lambda text: -7)  # one chain for all texts
     want = {(4, 6, 4), (5, 6, 4), (6, 6, 4), (0, 1, 2), (1, 1, 2), (8, 8, 1)}
     assert want <= {(r["doc_id"], r["keep_id"], r["group_size"]) for r in dedup_exact.dedup(messy, 1).collect()}
 
 
-def test_directory_splits_until_buckets_fit(spark):
-    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
-    buckets = dedup_exact.directory(keys, 100)
-    starts = [p << (dedup_exact.MOST_BITS - d) for d, p in buckets]
-    assert starts[0] == 0 and starts == sorted(starts) and sum(2.0**-d for d, _ in buckets) == 1.0
-    k = np.array([r["key"] for r in keys.collect()]).astype(np.int64).astype(np.uint64) >> np.uint64(2)
-    assert np.bincount(np.searchsorted(np.array(starts, np.uint64), k, side="right")).max() <= 100
+@pytest.mark.parametrize(("capacity", "size"), [(100, 1 << 40), (10_000, 2_000), (10_000, 1 << 40)])
+def test_directory_splits_until_buckets_fit(spark, capacity, size):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"), F.expr("if(id % 100 = 0, 1500L, 10L)").alias("bytes")).cache()
+    rows = keys.toPandas()
+    k = np.sort(rows["key"].to_numpy(np.int64).view(np.uint64)).view(np.int64)
+    d = dedup_exact.directory(keys, capacity, size)
+    at = d.bucket(k)
+    assert (np.diff(at) >= 0).all() and at.min() >= 0  # buckets are ranges of keys
+    sizes = rows.groupby(d.bucket(rows["key"].to_numpy()))["bytes"].agg(["sum", "count"])
+    assert sizes["count"].max() <= capacity and (sizes["sum"].max() <= size or size == 2_000 and sizes[sizes["sum"] > size]["count"].max() == 1)
+    assert (len(sizes) == 1) == (capacity == 10_000 and size == 1 << 40)
 
 
 # ---- 10: top k ------------------------------------------------------------------------------------------------------
