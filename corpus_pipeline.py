@@ -1,25 +1,32 @@
 """A training-corpus pipeline over `documents`: quality, language, exact copies, near copies, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and reads
-again as the next stage's docs."""
+again as the next stage's docs.
+
+Defined results: null and empty texts are scored by the quality stage like others, have no language and so go with the language stage
+(and count as one empty text in the exact stage, and as no one's copy in the near stage); very long texts are worked on whole; of rows
+with equal texts the one with the largest doc_id stays, of near copies the one with the smallest; where ids repeat or are null, rows are
+told apart by their place in docs instead, and the last or first row stays; empty tables pass through empty; other columns, whatever
+their names, are carried along by all stages but the last, which ignores them."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricehist.llm import dedup_exact, dedup_near, langid, packing, quality
-from pricehist.llm.common import cut, shared_dir, table
+from pricehist.llm.common import stored, table
 from pricehist.llm.queries import WORD_BPE
 
 
-def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose ids are in kept; where ids repeat, one row of each."""
-    kept = cut(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    rows = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return rows.dropDuplicates(["doc_id"]) if kept.filter("n > 1").take(1) else rows
+def _kept(docs: DataFrame, dedup: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that dedup keeps, with all their columns."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").take(1)
+    rows = docs.withColumn("_row", F.monotonically_increasing_id() if odd else F.col("doc_id"))
+    kept = dedup(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept")
+    return rows.join(kept.select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +38,11 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _rows_of(docs, dedup_exact.dedup(docs).filter("kept").select("doc_id"))
+    return _kept(docs, dedup_exact.dedup)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _rows_of(docs, dedup_near.near_duplicates(docs, width=5, least=80).filter("kept").select("doc_id"))
+    return _kept(docs, lambda rows: dedup_near.near_duplicates(rows, width=5, least=80))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ STAGES = [
     ("near_dedup", drop_near_copies),
     ("packing", pack_sequences),
 ]
-#: SQL cannot express the models; the tests hold each stage against a brute-force version.
+#: SQL cannot express the models; tests hold the rows of each stage against a plain version over its own input.
 ORACLE_SQL = None
 
 
@@ -58,7 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stored(docs, name)
     return docs
