@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -39,23 +40,29 @@ STYLES = {
 }
 # Words of names and the grape they stand for; longer ones win.
 GRAPES = {
-    "Cabernet Sauvignon": ["cabernet sauvignon", "cabernet", "cab sauv"], "Cabernet Franc": ["cabernet franc"], "Merlot": ["merlot"], "Pinot Noir": ["pinot noir"],
-    "Syrah": ["syrah", "shiraz"], "Zinfandel": ["zinfandel", "primitivo"], "Malbec": ["malbec"], "Sangiovese": ["sangiovese"], "Nebbiolo": ["nebbiolo"],
-    "Tempranillo": ["tempranillo"], "Grenache": ["grenache", "garnacha"], "Petite Sirah": ["petite sirah"], "Carmenere": ["carmenere"], "Pinotage": ["pinotage"],
-    "Barbera": ["barbera"], "Montepulciano": ["montepulciano d abruzzo"], "Nero d'Avola": ["nero d avola"], "Gamay": ["gamay"], "Mourvedre": ["mourvedre", "monastrell"],
-    "Petit Verdot": ["petit verdot"], "Aglianico": ["aglianico"], "Corvina": ["corvina"], "Touriga Nacional": ["touriga"], "Chardonnay": ["chardonnay"],
-    "Sauvignon Blanc": ["sauvignon blanc", "fume blanc"], "Pinot Gris": ["pinot grigio", "pinot gris"], "Riesling": ["riesling"], "Muscat": ["moscato", "muscat"],
-    "Chenin Blanc": ["chenin blanc"], "Gruner Veltliner": ["gruner veltliner"], "Albarino": ["albarino"], "Viognier": ["viognier"], "Gewurztraminer": ["gewurztraminer"],
-    "Verdejo": ["verdejo"], "Vermentino": ["vermentino"], "Semillon": ["semillon"], "Torrontes": ["torrontes"], "Glera": ["glera"], "Red Blend": ["red blend"],
-    "White Blend": ["white blend"], "Bordeaux Blend": ["meritage"],
+    "cabernet sauvignon": "Cabernet Sauvignon", "cabernet": "Cabernet Sauvignon", "cab sauv": "Cabernet Sauvignon",
+    "cabernet franc": "Cabernet Franc", "merlot": "Merlot", "pinot noir": "Pinot Noir", "syrah": "Syrah", "shiraz": "Syrah", "zinfandel": "Zinfandel",
+    "primitivo": "Zinfandel", "malbec": "Malbec", "sangiovese": "Sangiovese", "nebbiolo": "Nebbiolo", "tempranillo": "Tempranillo",
+    "grenache": "Grenache", "garnacha": "Grenache", "petite sirah": "Petite Sirah", "carmenere": "Carmenere", "pinotage": "Pinotage",
+    "barbera": "Barbera", "montepulciano d abruzzo": "Montepulciano", "nero d avola": "Nero d'Avola", "gamay": "Gamay", "mourvedre": "Mourvedre",
+    "monastrell": "Mourvedre", "petit verdot": "Petit Verdot", "aglianico": "Aglianico", "corvina": "Corvina", "touriga": "Touriga Nacional",
+    "chardonnay": "Chardonnay", "sauvignon blanc": "Sauvignon Blanc", "fume blanc": "Sauvignon Blanc", "pinot grigio": "Pinot Gris",
+    "pinot gris": "Pinot Gris", "riesling": "Riesling", "moscato": "Muscat", "muscat": "Muscat", "chenin blanc": "Chenin Blanc",
+    "gruner veltliner": "Gruner Veltliner", "albarino": "Albarino", "viognier": "Viognier", "gewurztraminer": "Gewurztraminer", "verdejo": "Verdejo",
+    "vermentino": "Vermentino", "semillon": "Semillon", "torrontes": "Torrontes", "glera": "Glera", "red blend": "Red Blend",
+    "white blend": "White Blend", "meritage": "Bordeaux Blend",
 }
+# Places and labels, and the grape that they imply.
 IMPLIED = {
-    "Nebbiolo": ["barolo", "barbaresco", "langhe nebbiolo"], "Sangiovese": ["chianti", "brunello", "vino nobile"], "Tempranillo": ["rioja", "ribera del duero"],
-    "Chardonnay": ["chablis", "pouilly fuisse", "meursault", "puligny", "chassagne"], "Sauvignon Blanc": ["sancerre", "pouilly fume"], "Chenin Blanc": ["vouvray"],
-    "Gamay": ["beaujolais", "morgon", "fleurie"], "Grenache": ["chateauneuf", "cotes du rhone", "gigondas"], "Syrah": ["cote rotie", "hermitage"], "Glera": ["prosecco"],
-    "Champagne Blend": ["champagne"], "Cava Blend": ["cava"], "Corvina": ["amarone", "valpolicella"], "Garganega": ["soave"], "Port Blend": ["port", "porto"],
-    "Semillon": ["sauternes"],
-    "Bordeaux Blend": ["bordeaux", "medoc", "margaux", "pauillac", "saint julien", "saint estephe", "pessac", "graves", "saint emilion", "st emilion", "pomerol", "haut medoc"],
+    "barolo": "Nebbiolo", "barbaresco": "Nebbiolo", "langhe nebbiolo": "Nebbiolo", "chianti": "Sangiovese", "brunello": "Sangiovese",
+    "vino nobile": "Sangiovese", "rioja": "Tempranillo", "ribera del duero": "Tempranillo", "chablis": "Chardonnay", "pouilly fuisse": "Chardonnay",
+    "meursault": "Chardonnay", "puligny": "Chardonnay", "chassagne": "Chardonnay", "sancerre": "Sauvignon Blanc", "pouilly fume": "Sauvignon Blanc",
+    "vouvray": "Chenin Blanc", "beaujolais": "Gamay", "morgon": "Gamay", "fleurie": "Gamay", "chateauneuf": "Grenache", "cotes du rhone": "Grenache",
+    "gigondas": "Grenache", "cote rotie": "Syrah", "hermitage": "Syrah", "prosecco": "Glera", "champagne": "Champagne Blend", "cava": "Cava Blend",
+    "amarone": "Corvina", "valpolicella": "Corvina", "soave": "Garganega", "port": "Port Blend", "porto": "Port Blend", "sauternes": "Semillon",
+    "bordeaux": "Bordeaux Blend", "medoc": "Bordeaux Blend", "margaux": "Bordeaux Blend", "pauillac": "Bordeaux Blend",
+    "saint julien": "Bordeaux Blend", "saint estephe": "Bordeaux Blend", "pessac": "Bordeaux Blend", "graves": "Bordeaux Blend",
+    "saint emilion": "Bordeaux Blend", "st emilion": "Bordeaux Blend", "pomerol": "Bordeaux Blend", "haut medoc": "Bordeaux Blend",
 }
 # Labels, the most prestigious first.
 CLASSIFICATIONS = [
@@ -75,14 +82,48 @@ STOP = (
     "by cellars cellar vineyards vineyard winery wines wine estate estates family company co red white rose brut sparkling reserve reserva riserva grand cru classe "
     "nonvintage blend extra dry sweet limited edition old vine vines single"
 ).split()
-#: A few keywords of growing regions; region_of() takes any table of this form.
+# Words of names and the growing region they stand for; longer ones win. These are the leading keywords of each of the 49
+# regions; region_of() takes any table of this form, and read_regions() reads one of any size from a file.
 REGION_KEYWORDS = {
-    "Napa Valley": ["napa", "oakville", "rutherford", "stags leap", "carneros"], "Sonoma": ["sonoma", "russian river", "alexander valley", "dry creek"],
-    "California Central Valley": ["california"], "Finger Lakes": ["finger lakes", "new york"], "Marlborough": ["marlborough", "new zealand"], "Barossa": ["barossa"],
-    "Mendoza": ["mendoza", "argentina"], "Champagne": ["champagne"], "Bordeaux": ["bordeaux", "medoc", "haut medoc", "margaux", "pauillac"],
-    "Burgundy": ["bourgogne", "burgundy", "chablis", "meursault"], "Rhone": ["cotes du rhone", "chateauneuf", "rhone"], "Tuscany": ["chianti", "brunello", "montepulciano"],
-    "Piedmont": ["barolo", "barbaresco", "langhe", "alba"], "Abruzzo": ["abruzzo", "montepulciano d abruzzo"], "Rioja": ["rioja"], "Priorat": ["priorat"],
-    "Douro": ["douro", "porto", "port"], "Rias Baixas": ["rias baixas", "albarino"], "Mosel": ["mosel", "saar"],
+    "napa": "Napa Valley", "oakville": "Napa Valley", "rutherford": "Napa Valley", "stags leap": "Napa Valley", "howell mountain": "Napa Valley",
+    "carneros": "Napa Valley", "st helena": "Napa Valley", "calistoga": "Napa Valley", "mount veeder": "Napa Valley", "sonoma": "Sonoma",
+    "russian river": "Sonoma", "alexander valley": "Sonoma", "dry creek": "Sonoma", "knights valley": "Sonoma", "north coast": "Sonoma",
+    "lodi": "Lodi", "california": "California Central Valley", "paso robles": "Paso Robles", "santa barbara": "Santa Barbara",
+    "santa rita hills": "Santa Barbara", "santa maria": "Santa Barbara", "santa ynez": "Santa Barbara", "monterey": "Monterey",
+    "arroyo seco": "Monterey", "santa lucia highlands": "Monterey", "central coast": "Central Coast", "san luis obispo": "Central Coast",
+    "edna valley": "Central Coast", "washington": "Washington", "columbia valley": "Washington", "walla walla": "Washington",
+    "horse heaven": "Washington", "red mountain": "Washington", "yakima": "Washington", "oregon": "Oregon", "willamette": "Oregon",
+    "dundee hills": "Oregon", "eola amity": "Oregon", "finger lakes": "Finger Lakes", "new york": "Finger Lakes", "seneca lake": "Finger Lakes",
+    "lake erie": "Lake Erie", "pennsylvania": "Lake Erie", "marlborough": "Marlborough", "new zealand": "Marlborough", "hawkes bay": "Hawke's Bay",
+    "barossa": "Barossa", "eden valley": "Barossa", "mclaren vale": "McLaren Vale", "south australia": "South Australia",
+    "coonawarra": "South Australia", "clare valley": "South Australia", "adelaide hills": "South Australia",
+    "south eastern australia": "Riverland (South Eastern Australia)", "southeastern australia": "Riverland (South Eastern Australia)",
+    "australia": "Riverland (South Eastern Australia)", "riverland": "Riverland (South Eastern Australia)", "mendoza": "Mendoza",
+    "uco valley": "Mendoza", "lujan de cuyo": "Mendoza", "argentina": "Mendoza", "chile": "Chile Central Valley", "maipo": "Chile Central Valley",
+    "colchagua": "Chile Central Valley", "casablanca": "Chile Central Valley", "rapel": "Chile Central Valley", "curico": "Chile Central Valley",
+    "maule": "Chile Central Valley", "stellenbosch": "Western Cape", "western cape": "Western Cape", "south africa": "Western Cape",
+    "swartland": "Western Cape", "paarl": "Western Cape", "champagne": "Champagne", "bordeaux": "Bordeaux", "medoc": "Bordeaux",
+    "haut medoc": "Bordeaux", "margaux": "Bordeaux", "pauillac": "Bordeaux", "saint julien": "Bordeaux", "saint estephe": "Bordeaux",
+    "pessac": "Bordeaux", "graves": "Bordeaux", "sauternes": "Bordeaux", "saint emilion": "Bordeaux", "st emilion": "Bordeaux", "pomerol": "Bordeaux",
+    "bourgogne": "Burgundy", "burgundy": "Burgundy", "chablis": "Burgundy", "cote de beaune": "Burgundy", "cote de nuits": "Burgundy",
+    "meursault": "Burgundy", "puligny": "Burgundy", "chassagne": "Burgundy", "gevrey": "Burgundy", "pommard": "Burgundy", "volnay": "Burgundy",
+    "macon": "Burgundy", "pouilly fuisse": "Burgundy", "vosne": "Burgundy", "beaujolais": "Beaujolais", "morgon": "Beaujolais",
+    "fleurie": "Beaujolais", "moulin a vent": "Beaujolais", "brouilly": "Beaujolais", "cotes du rhone": "Rhone", "cote du rhone": "Rhone",
+    "chateauneuf": "Rhone", "gigondas": "Rhone", "vacqueyras": "Rhone", "crozes hermitage": "Rhone", "hermitage": "Rhone", "cote rotie": "Rhone",
+    "rhone": "Rhone", "condrieu": "Rhone", "provence": "Provence", "bandol": "Provence", "sancerre": "Loire", "vouvray": "Loire", "muscadet": "Loire",
+    "pouilly fume": "Loire", "loire": "Loire", "chinon": "Loire", "anjou": "Loire", "alsace": "Alsace", "languedoc": "Languedoc-Roussillon",
+    "minervois": "Languedoc-Roussillon", "corbieres": "Languedoc-Roussillon", "pays d oc": "Languedoc-Roussillon",
+    "roussillon": "Languedoc-Roussillon", "toscana": "Tuscany", "tuscany": "Tuscany", "chianti": "Tuscany", "brunello": "Tuscany",
+    "montalcino": "Tuscany", "bolgheri": "Tuscany", "maremma": "Tuscany", "vino nobile": "Tuscany", "montepulciano": "Tuscany",
+    "piedmont": "Piedmont", "piemonte": "Piedmont", "barolo": "Piedmont", "barbaresco": "Piedmont", "langhe": "Piedmont", "asti": "Piedmont",
+    "alba": "Piedmont", "gavi": "Piedmont", "veneto": "Veneto", "prosecco": "Veneto", "valpolicella": "Veneto", "amarone": "Veneto",
+    "soave": "Veneto", "delle venezie": "Veneto", "alto adige": "Trentino-Alto Adige", "trentino": "Trentino-Alto Adige", "friuli": "Friuli",
+    "collio": "Friuli", "abruzzo": "Abruzzo", "montepulciano d abruzzo": "Abruzzo", "puglia": "Puglia", "salento": "Puglia", "sicilia": "Sicily",
+    "sicily": "Sicily", "etna": "Sicily", "terre siciliane": "Sicily", "rioja": "Rioja", "ribera del duero": "Ribera del Duero",
+    "rueda": "Rueda / Toro", "toro": "Rueda / Toro", "castilla y leon": "Rueda / Toro", "priorat": "Priorat", "montsant": "Priorat",
+    "penedes": "Penedes (Cava)", "cava": "Penedes (Cava)", "catalunya": "Penedes (Cava)", "rias baixas": "Rias Baixas", "albarino": "Rias Baixas",
+    "douro": "Douro", "porto": "Douro", "port": "Douro", "vinho verde": "Vinho Verde", "mosel": "Mosel", "saar": "Mosel",
+    "rheinhessen": "Rheinhessen / Pfalz", "pfalz": "Rheinhessen / Pfalz", "nahe": "Rheinhessen / Pfalz", "rheingau": "Rheingau",
 }
 
 
@@ -100,10 +141,14 @@ def _clean(ascii_lower: Column, apostrophe: str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(ascii_lower, "'", apostrophe), "[^a-z0-9]+", " "))
 
 
+def _latin(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.translate(text, ACCENTED, BASE), r"[^\x00-\x7F]", ""))
+
+
 def folded(text: Column, apostrophe: str = " ") -> Column:
     """P15 by built-in functions: Latin letters without accents, lower case, one space between words. Other characters outside ASCII (a
     curly apostrophe among them) vanish before apostrophes are treated."""
-    return _clean(F.lower(F.regexp_replace(F.translate(text, ACCENTED, BASE), r"[^\x00-\x7F]", "")), apostrophe)
+    return _clean(_latin(text), apostrophe)
 
 
 @F.pandas_udf(StringType())
@@ -190,30 +235,38 @@ def slug(family: Column, vintage: Column) -> Column:
     return F.concat(family, F.lit("-"), F.lower(vintage))
 
 
-def longest(name: Column, table: dict[str, list[str]], *more: Column) -> Column:
-    """The value of the longest keyword that stands in the folded name (or in one of more) as whole words; ties in table order."""
-    rows = sorted(((k, v) for v, keys in table.items() for k in keys), key=lambda x: -len(x[0]))
-    pairs = F.array(*[F.struct(F.lit(f" {k} ").alias("k"), F.lit(v).alias("v")) for k, v in rows])
-    padded = [F.concat(F.lit(" "), n, F.lit(" ")) for n in (name, *more)]
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    def found(p: Column) -> Column:
-        hit = F.instr(padded[0], p["k"]) > 0
-        for q in padded[1:]:
-            hit = hit | (F.instr(q, p["k"]) > 0)
-        return hit
+def longest(names: Column, *tables: dict[str, str]) -> Column:
+    """The value of the longest keyword of a table that stands in one of some folded names (an array) as whole words; ties in table order.
+    Of several tables the first that has one counts."""
 
-    return F.get(F.filter(pairs, found), F.lit(0))["v"]
+    def first_of(padded: Column, table: dict[str, str]) -> Column:
+        rows = sorted(table.items(), key=lambda x: -len(x[0]))
+        pairs = F.array(*[F.struct(F.lit(f" {k} ").alias("k"), F.lit(v).alias("v")) for k, v in rows])
+        return F.get(F.filter(pairs, lambda p: F.contains(padded, p["k"])), F.lit(0))["v"]
 
+    # One text of all names: no keyword holds the bar between them.
+    joined = F.concat(F.lit(" "), F.array_join(names, " | "), F.lit(" "))
+    return bound(joined, lambda padded: F.coalesce(*[first_of(padded, t) for t in tables]))
 
-def region_of(desc: Column, table: dict[str, list[str]] | None = None) -> Column:
+
+def region_of(desc: Column, table: dict[str, str] | None = None) -> Column:
     """Apostrophes are tried as a space and dropped."""
-    return longest(folded(desc), table or REGION_KEYWORDS, folded(desc, ""))
+    return longest(bound(_latin(desc), lambda x: F.array(_clean(x, " "), _clean(x, ""))), table or REGION_KEYWORDS)
+
+
+def read_regions(spark: SparkSession, path: str) -> dict[str, str]:
+    """A table for region_of() from a CSV file with columns keyword and region (a dimension: a row for each keyword)."""
+    return {r["keyword"]: r["region"] for r in spark.read.csv(path, header=True).select("keyword", "region").collect()}
 
 
 def grape_of(desc: Column) -> Column:
     """P17."""
-    n = folded(desc)
-    return F.coalesce(longest(n, GRAPES), longest(n, IMPLIED))
+    return longest(F.array(folded(desc)), GRAPES, IMPLIED)
 
 
 def classification_of(desc: Column) -> Column:
@@ -226,7 +279,7 @@ def classification_of(desc: Column) -> Column:
 
 def stop_words(extra: tuple[str, ...] = ()) -> list[str]:
     """Words that end a producer's name: generic ones, those of grapes and those given."""
-    grape = {w for table in (GRAPES, IMPLIED) for keys in table.values() for k in keys for w in k.split()}
+    grape = {w for table in (GRAPES, IMPLIED) for k in table for w in k.split()}
     return sorted({*STOP, *extra} | grape)
 
 

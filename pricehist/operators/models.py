@@ -72,7 +72,10 @@ class ChangeModel:
             for (h, s), (w, b) in self.platt.items():
                 if s == side:
                     p = F.when(F.col("h") == h, 1 / (1 + F.exp(-(w * logit(F.col(f"raw_{side}")) + b)))).otherwise(p)
-            x = x.withColumn(f"p_{side}", F.coalesce(p, F.col(f"raw_{side}")))
+            x = x.withColumn(f"q_{side}", F.coalesce(p, F.col(f"raw_{side}")))
+        # A rise, a cut and no change are the three cases: where the two chances are more than certain together, they are scaled down.
+        sure = F.greatest(F.lit(1.0), F.col("q_up") + F.col("q_down"))
+        x = x.withColumns({"p_up": F.col("q_up") / sure, "p_down": F.col("q_down") / sure})
         sizes = {"up_pct": F.expm1(F.greatest("s_up", F.lit(MOVE))) * 100, "down_pct": F.expm1(F.least("s_down", F.lit(-MOVE))) * 100}
         return x.withColumns(sizes).select(*rows.columns, "p_up", "p_down", "up_pct", "down_pct")
 
@@ -81,13 +84,16 @@ def _trees(kind, label: str, depth: int, rounds: int, seed: int = 42, **more):
     return kind(featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=0.1, maxBins=64, seed=seed, subsamplingRate=0.8, **more)
 
 
-def fit_change(fit: DataFrame, calibration: DataFrame, numbers: list[str], categories: list[str], depth: int = 4, rounds: int = 10) -> ChangeModel:
-    """M2 on the fit slice, M3 on the calibration slice: one small logistic fit for each horizon and side (L2 of weight 1 over the slice)."""
+def fit_change(fit: DataFrame, calibration: DataFrame | None, numbers: list[str], categories: list[str], depth: int = 4, rounds: int = 10) -> ChangeModel:
+    """M2 on the fit slice, M3 on the calibration slice: one small logistic fit for each horizon and side (L2 of weight 1 over the slice).
+    Without a calibration slice the chances are the classifiers' own."""
     encode = Pipeline(stages=encoder(numbers, categories)).fit(prepared(fit, numbers, categories))
     x = cut(encode.transform(prepared(fit, numbers, categories)).select("features", "y", (F.col("y") > MOVE).cast("double").alias("up"), (F.col("y") < -MOVE).cast("double").alias("down")))
     m = {side: _trees(GBTClassifier, side, depth, rounds).fit(x) for side in ("up", "down")}
     s = {side: _trees(GBTRegressor, "y", depth, rounds, lossType="absolute").fit(x.filter(F.col(side) == 1)) for side in ("up", "down")}
     model = ChangeModel(encode, m["up"], m["down"], s["up"], s["down"], {}, numbers, categories)
+    if calibration is None:
+        return model
     c = cut(model.raw(calibration).select("h", "y", "raw_up", "raw_down"))
     n = {r["h"]: r["n"] for r in c.groupBy("h").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each horizon
     for h in sorted(n):

@@ -14,6 +14,7 @@ from pricehist.plans.vintages import dated_series
 from pricehist.sources import adapters as a
 from pricehist.sources.adapters import day
 
+# The names of the features.
 BASE = ["log_price", "lr_1", "lr_2", "lr_4", "lr_8", "vol_4", "changes_8", "periods_since_change", "age", "on_sale", "on_clearance", "discount", "vintage_age", "is_nv", "h", "target_period_of_year"]
 WINDOW = ["years_to_window", "years_past_window", "in_window"]
 BRAND = ["brand_n_others", "brand_up_1q", "brand_up_4q", "brand_down_4q", "brand_rel_price"]
@@ -49,25 +50,50 @@ def m3_calibration(spark, sf_dir):
 
 def m4_forecast(spark, sf_dir):
     x = _samples(spark, sf_dir)
-    change = models.fit_change(x.filter("split <> 'holdout'"), x.filter("split = 'calibration'"), BASE + WINDOW, CATEGORIES, depth=3, rounds=8)
+    change = models.fit_change(x.filter("split = 'fit'"), x.filter("split = 'calibration'"), BASE + WINDOW, CATEGORIES, depth=3, rounds=8)
     band = models.fit_range(x.filter("split = 'fit'"), x.filter("split = 'calibration'"), BASE + WINDOW, CATEGORIES, depth=3, rounds=8)
     o = _origins(spark, sf_dir)
     newest = o.agg(F.max("t").alias("newest"))
-    dates = panel.future_dates(a.periods(a.obs(spark, sf_dir)), 4)
+    dates = panel.future_dates(a.lists(spark, sf_dir), 4)
     rows = o.join(F.broadcast(newest), F.col("t") == F.col("newest")).join(F.broadcast(dates), F.lit(True)).withColumn("target_period_of_year", F.pmod(F.col("t") + F.col("h"), F.lit(4)))
     return models.forecast(rows, change, band).withColumn("target_date", day("target_date"))
 
 
+SETS = {
+    "current": (BASE + WINDOW, ["style", "tier"]),
+    "+brand": (BASE + WINDOW + BRAND, ["style", "tier"]),
+    "+attributes": (BASE + WINDOW, CATEGORIES),
+    "+both": (BASE + WINDOW + BRAND, CATEGORIES),
+}
+SEGMENTS = {
+    "all": "true", "with a vintage": "is_nv = 0", "luxury": "tier = 'luxury'", "red": "style = 'red'",
+    "large brand": "brand_n_others >= 10", "small brand": "brand_n_others < 3",
+}
+
+
 def m10_ablation(spark, sf_dir):
-    """Feature sets on one split."""
-    x, out = _samples(spark, sf_dir, brand=True), None
-    for name, numbers in {"current": BASE + WINDOW, "+brand": BASE + WINDOW + BRAND}.items():
-        m = models.fit_change(x.filter("split = 'fit'"), x.filter("split = 'calibration'"), numbers, ["style", "tier"], depth=3, rounds=5)
-        s = metrics.change_scores(m.transform(x.filter("split = 'holdout' AND h IN (1, 4)")), _base(x)).select(F.lit(name).alias("set"), "h", "side", "n", "positives", "roc_auc", "avg_precision", "brier_skill")
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Four feature sets on one split, scored by segment a quarter and a year ahead."""
+    x = _samples(spark, sf_dir, brand=True)
+    base = cut(_base(x))
+
+    def job(name):
+        m = models.fit_change(x.filter("split = 'fit'"), x.filter("split = 'calibration'"), *SETS[name], depth=3, rounds=5)
+        y = metrics.segments(m.transform(x.filter("split = 'holdout' AND h IN (1, 4)")), {k: F.expr(v) for k, v in SEGMENTS.items()})
+        s = metrics.change_scores(y, base, ("segment", "h", "side"))
+        return s.select(F.lit(name).alias("set"), "segment", "h", "side", "n", "positives", "roc_auc", "avg_precision", "brier_skill")
+
+    return models.side_by_side([partial(job, name) for name in SETS])
+
+
+def m9_model_importance(spark, sf_dir):
+    """How much the AUC of the fitted model's rises falls on the holdout when a feature's values change places."""
+    x = _samples(spark, sf_dir)
+    m = models.fit_change(x.filter("split = 'fit'"), x.filter("split = 'calibration'"), BASE + WINDOW, ["style", "tier"], depth=3, rounds=5)
+    rows = x.filter("split = 'holdout'").withColumn("id", F.concat_ws("|", "wine_id", "t", "h"))
+    return metrics.importance(rows.select("id", "y", *BASE, *WINDOW, "style", "tier"), [*BASE, *WINDOW, "style", "tier"], lambda d: m.transform(d))
 
 
+# The names of the features.
 NEXT = ["prev_log_price", "vintage_gap", "prev_life_quarters", "prev_life_change", "prev_changes", "prev_on_sale", "prev_on_clearance", "family_prev_transitions", "family_mean_change", "market_up_share_4q", "brand_recent_vintage_change", "brand_recent_vintage_n"]
 
 
@@ -77,7 +103,7 @@ def m11_next_vintage(spark, sf_dir):
     t = vintages.transitions(s)
     t = cut(vintages.brand_history(t, t).withColumn("h", F.lit(1)).select("wine_id", "date", "y", "h", *NEXT, "style", "tier"))
     band = models.fit_range(t, None, NEXT, ["style", "tier"], depth=3, rounds=8)
-    change = models.fit_change(t, t, NEXT, ["style", "tier"], depth=3, rounds=8)
+    change = models.fit_change(t, None, NEXT, ["style", "tier"], depth=3, rounds=8)
     nxt = vintages.next_vintages(s, vintages.transitions(s)).withColumn("h", F.lit(1))
     x = change.transform(band.transform(nxt))
     pct = lambda c: F.round(F.expm1(c) * 100, 1).alias(f"{c}_pct")
@@ -166,5 +192,5 @@ def m14_model_scores(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m10_ablation, m11_next_vintage, m11_rolling_cv, m11_cv_summary, m12_name_score, m14_fair_price, m14_model_scores)}
+QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m9_model_importance, m10_ablation, m11_next_vintage, m11_rolling_cv, m11_cv_summary, m12_name_score, m14_fair_price, m14_model_scores)}
 SQL: dict[str, str] = {}

@@ -159,7 +159,7 @@ def p24_shelf_price(spark, sf_dir):
 
 
 def p25_labels(spark, sf_dir):
-    d = a.periods(a.obs(spark, sf_dir)).select("t", n.quarter_label(F.col("date")).alias("label"))
+    d = a.lists(spark, sf_dir).select("t", n.quarter_label(F.col("date")).alias("label"))
     w = a.wines(spark, sf_dir).select(n.title(F.col("name"), F.col("vintage")).alias("title"), (F.col("wine_id") % 4).cast("int").alias("t"))
     return w.join(F.broadcast(d), "t").groupBy("title", "label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -243,7 +243,7 @@ def _style_case() -> str:
 
 
 def _longest(table: dict, *names: str) -> str:
-    rows = ", ".join(f"('{k}', '" + v.replace("'", "''") + f"', {i})" for i, (k, v) in enumerate((k, v) for v, keys in table.items() for k in keys))
+    rows = ", ".join(f"('{k}', '" + v.replace("'", "''") + f"', {i})" for i, (k, v) in enumerate(table.items()))
     hit = " OR ".join(f"contains(' ' || f.{x} || ' ', ' ' || k || ' ')" for x in names)
     return f"(SELECT v FROM (VALUES {rows}) AS kw(k, v, i) WHERE {hit} ORDER BY length(k) DESC, i LIMIT 1)"
 

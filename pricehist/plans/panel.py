@@ -48,12 +48,12 @@ def a14_base_rates(spark, sf_dir):
 
 
 def a18_grid(spark, sf_dir):
-    p = a.periods(a.obs(spark, sf_dir))
+    p = a.lists(spark, sf_dir)
     return panel.grid(p).select("lists", "per_year", "step_months", day("last").alias("last"))
 
 
 def a18_future_dates(spark, sf_dir):
-    p = a.periods(a.obs(spark, sf_dir))
+    p = a.lists(spark, sf_dir)
     return panel.future_dates(p, 4).select("h", day("target_date").alias("target_date"))
 
 

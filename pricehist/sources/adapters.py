@@ -68,6 +68,11 @@ def periods(rows: DataFrame) -> DataFrame:
     return rows.select("date").distinct().select((F.row_number().over(Window.orderBy("date")) - 1).alias("t"), "date")
 
 
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t, date of the price lists, from the ship dates alone (every line has a part, so obs() has the same dates)."""
+    return periods(table(spark, sf_dir, "lineitem").select(quarter("l_shipdate").alias("date")))
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     joined = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -92,8 +97,7 @@ def wines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with the list's number t and their wine's attributes."""
-    rows = obs(spark, sf_dir)
-    return rows.join(F.broadcast(periods(rows)), "date").join(wines(spark, sf_dir), "wine_id")
+    return obs(spark, sf_dir).join(F.broadcast(lists(spark, sf_dir)), "date").join(wines(spark, sf_dir), "wine_id")
 
 
 PRELUDE = """
