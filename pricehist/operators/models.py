@@ -23,6 +23,8 @@ from pricehist.operators import fair, metrics
 from pricehist.operators.panel import MOVE
 
 SENTINEL = -999.0
+#: Bins of a feature in a tree.
+BINS = 64
 
 
 def prepared(rows: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
@@ -81,7 +83,30 @@ class ChangeModel:
 
 
 def _trees(kind, label: str, depth: int, rounds: int, seed: int = 42, **more):
-    return kind(featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=0.1, maxBins=64, seed=seed, subsamplingRate=0.8, **more)
+    return kind(featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=0.1, maxBins=BINS, seed=seed, subsamplingRate=0.8, **more)
+
+
+@dataclass
+class Constant:
+    """A model that always gives one value."""
+
+    value: float
+    column: str = "prediction"
+
+    def setPredictionCol(self, column: str) -> Constant:  # noqa: N802  as Spark's models have it
+        self.column = column
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(self.column, F.lit(self.value))
+
+
+def _size_model(rows: DataFrame, side: str, depth: int, rounds: int):
+    """The size of a side's changes; the median where there are fewer rows than a tree has bins."""
+    at = rows.agg(F.count(F.lit(1)).alias("n"), F.median("y").alias("y")).first()
+    if at["n"] < BINS:
+        return Constant(float(at["y"] if at["n"] else MOVE if side == "up" else -MOVE))
+    return _trees(GBTRegressor, "y", depth, rounds, lossType="absolute").fit(rows)
 
 
 def fit_change(fit: DataFrame, calibration: DataFrame | None, numbers: list[str], categories: list[str], depth: int = 4, rounds: int = 10) -> ChangeModel:
@@ -90,7 +115,7 @@ def fit_change(fit: DataFrame, calibration: DataFrame | None, numbers: list[str]
     encode = Pipeline(stages=encoder(numbers, categories)).fit(prepared(fit, numbers, categories))
     x = cut(encode.transform(prepared(fit, numbers, categories)).select("features", "y", (F.col("y") > MOVE).cast("double").alias("up"), (F.col("y") < -MOVE).cast("double").alias("down")))
     m = {side: _trees(GBTClassifier, side, depth, rounds).fit(x) for side in ("up", "down")}
-    s = {side: _trees(GBTRegressor, "y", depth, rounds, lossType="absolute").fit(x.filter(F.col(side) == 1)) for side in ("up", "down")}
+    s = {side: _size_model(x.filter(F.col(side) == 1), side, depth, rounds) for side in ("up", "down")}
     model = ChangeModel(encode, m["up"], m["down"], s["up"], s["down"], {}, numbers, categories)
     if calibration is None:
         return model
