@@ -3,14 +3,14 @@
 Vectors are ordered by length and cut into buckets of bounded size. The bucket of the longest vectors is searched first, then rounds
 of 1, 2, 4, ... further ones. After each round a query knows its k-th best so far, and with it how long a vector must be to
 reach that score at all: buckets whose longest vector is shorter are never sent to it, and most queries are done early. Queries that
-are not are put in order of that length and cut into blocks, so that a bucket goes only to the blocks that still need it.
+are not are put into classes by that length and these into blocks, so that a bucket goes only to the blocks that still need it.
 
 Where a block meets a bucket, the bucket's longest vector turns the score that a query has to reach into a threshold on the cosine.
 Over 1 the bucket is skipped; with a high one, vectors whose coordinate at the query's largest one lies outside the range that such a
 cosine allows are left out, else those too short for the score; products of what is left are computed exactly, and the best k are
 merged with those of the rounds before.
 
-The driver holds one length for each bucket of some 16,000 vectors and for each block of some 4,000 queries.
+The driver holds one length for each bucket of some 16,000 vectors.
 
 Defined results: null vectors and vectors with null or non-finite components take no part; a query is compared with vectors
 of its own number of components; repeated rows are candidates each, rows with the query's own id never; a repeated query id
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pricehist.llm.common import cut
 
 QUERY_BLOCK, BUCKET = 4_096, 16_384
+#: Classes of queries by the length that they still need.
+CLASSES = 64
 #: Cosine from which coordinates prune better than lengths.
 STEEP = 0.6
 PAIR = "query_id long, vec_id long, score long"
@@ -109,6 +111,26 @@ def _asked(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return queries.join(kth, "query_id", "left").withColumns({"reach": reach, "last": F.coalesce("last", F.lit(0).cast("long"))})
 
 
+def _blocks(asked: DataFrame, block_rows: int) -> tuple[DataFrame, list[tuple[float, int]]]:
+    """asked with block, and the shortest reach and the end of the blocks of each class. Queries are put into at most CLASSES classes at
+    quantiles of reach, and those of one class are dealt to blocks of about block_rows by their ids."""
+    blocks = -(-asked.count() // block_rows)
+    share = [k / min(blocks, CLASSES) for k in range(1, min(blocks, CLASSES))]
+    bounds = sorted(set(asked.select(F.percentile_approx("reach", share, 1000)).first()[0])) if share else []
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("reach"))) if bounds else F.lit(0)
+    asked = cut(asked.withColumn("class", place))
+    rows = {r["class"]: r for r in asked.groupBy("class").agg(F.min("reach").alias("reach"), F.count(F.lit(1)).alias("n")).collect()}
+    end, many, classes = 0, {}, []
+    for c in sorted(rows):
+        many[c] = end, -(-rows[c]["n"] // block_rows)
+        end += many[c][1]
+        classes.append((rows[c]["reach"], end))
+    deal = F.lit(0)
+    for c, (first, n) in many.items():
+        deal = F.when(F.col("class") == c, first + F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).otherwise(deal)
+    return asked.withColumn("block", deal), classes
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, bucket_rows: int = BUCKET, block_rows: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: rows whose id is divisible by `every` against all rows."""
     spark = vectors.sparkSession
@@ -125,12 +147,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, bucket_rows: int = B
     end = 1 + max(longest, default=-1)
     while done < end:
         now = {b: x for b, x in longest.items() if done <= b < done + width}
-        blocks = max(1, -(-asked.count() // block_rows))
-        asked = cut(asked.repartitionByRange(blocks, "reach", "query_id").withColumn("block", F.spark_partition_id()))
-        least = {r["block"]: r["x"] for r in asked.groupBy("block").agg(F.min("reach").alias("x")).collect()}
+        asked, classes = _blocks(asked, block_rows)
         # Blocks are in order of reach: those that need a bucket are the first ones.
-        reaches = sorted(least.items())
-        last_block = {b: max((i for i, r in reaches if r <= x), default=-1) for b, x in now.items()}
+        last_block = {b: max((end - 1 for reach, end in classes if reach <= x), default=-1) for b, x in now.items()}
         plan = [(b, x, last_block[b]) for b, x in now.items() if last_block[b] >= 0]
         if plan:
             wanted = F.broadcast(spark.createDataFrame(plan, "bucket int, longest double, last_block int"))
