@@ -84,10 +84,11 @@ class Directory:
         return (top >> low << low).astype(np.int64)
 
 
-def directory(keys: DataFrame, capacity: int, size: int) -> Directory:
-    """keys: key and bytes of distinct texts, a checkpoint. Every round splits the buckets that are overfull by one bit more."""
+def directory(keys: DataFrame, capacity: int, size: int, least: int = 1) -> Directory:
+    """keys: key and bytes of distinct texts, a checkpoint. Every round splits the buckets that are overfull by one bit more. least: of
+    buckets, so that owners get about the same number of them."""
     all_of = keys.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
-    need = max(all_of["n"] / capacity, (all_of["bytes"] or 0) / size, 1)
+    need = max(all_of["n"] / capacity, (all_of["bytes"] or 0) / size, least)
     out = Directory(min(MOST_BITS, max(0, math.ceil(math.log2(need)))))
     left, level = keys, out.depth
     while level < MOST_BITS:
@@ -134,7 +135,7 @@ def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY, size
     texts_of = cut(rows.groupBy("key", "text_sha256").agg(F.max("bytes").alias("bytes")))
     total = texts_of.agg(F.sum("bytes")).first()[0] or 0
     owners = max(partitions(docs.sparkSession), math.ceil(total / size))
-    owned = distinct_in_batches(docs, directory(texts_of, capacity, size), owners).repartitionById(owners, "owner")
+    owned = distinct_in_batches(docs, directory(texts_of, capacity, size, 4 * owners), owners).repartitionById(owners, "owner")
     groups = owned.groupBy("owner", "bucket", "key", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     chained = groups.withColumn("text_sha256", F.sha2("text", 256)).selectExpr("*", "row_number() OVER (PARTITION BY owner, bucket, key ORDER BY text_sha256) - 1 AS chain")
     return stored(chained, "extendible")
