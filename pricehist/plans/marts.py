@@ -270,10 +270,10 @@ def s10_export(spark, sf_dir):
 
 def s11_publish(spark, sf_dir):
     path, f = _folder(spark, "forecasts"), _forecasts(spark, sf_dir)
-    runs = pub.publish(f.filter("model_version = 'v1'"), spark.createDataFrame([], "model_version string, is_active boolean"), "v1", path)
-    runs = pub.publish(f.filter("model_version = 'v2' AND wine_id % 2 = 0"), runs, "v2", path)
-    n = spark.read.parquet(path).groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
-    return runs.join(n, "model_version").select("model_version", "is_active", "n")
+    pub.release(f.filter("model_version = 'v1'"), "v1", path)
+    pub.release(f.filter("model_version = 'v2' AND wine_id % 2 = 0"), "v2", path)
+    n = spark.read.parquet(f"{path}/rows").groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
+    return pub.registry(spark, path).join(n, "model_version").select("model_version", "is_active", "n")
 
 
 def s12_metrics(spark, sf_dir):

@@ -93,6 +93,32 @@ def publish(output: DataFrame, runs: DataFrame, version: str, path: str) -> Data
     return known.withColumn("is_active", F.col("model_version") == version)
 
 
+def registry(spark: SparkSession, root: str) -> DataFrame:
+    """model_version, is_active of the newest registry under root; empty before the first release."""
+    try:
+        x = spark.read.schema("model_version string, is_active boolean, snapshot bigint").parquet(f"{root}/registry")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], "model_version string, is_active boolean")
+        raise
+    newest = x.agg(F.max("snapshot").alias("newest"))
+    return x.join(F.broadcast(newest), F.col("snapshot") == F.col("newest")).select("model_version", "is_active")
+
+
+def release(output: DataFrame, version: str, root: str) -> None:
+    """Writes a version's rows under root/rows, and then a new registry, one file in a folder of its own, in which that version alone is
+    active. Readers take the newest registry, so the flip is the one rename that commits the file: they see the old version or the new one."""
+    spark = output.sparkSession
+    runs = publish(output, registry(spark, root), version, f"{root}/rows")
+    try:
+        last = spark.read.schema("model_version string, is_active boolean, snapshot bigint").parquet(f"{root}/registry").agg(F.max("snapshot")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    cut(runs).coalesce(1).write.parquet(f"{root}/registry/snapshot={(last or 0) + 1}")
+
+
 def metrics_document(metrics: DataFrame) -> DataFrame:
     """One JSON document for each row."""
     return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("value"))
