@@ -137,8 +137,9 @@ def cv_summary(scores: DataFrame, current: str = "current") -> DataFrame:
 def importance(rows: DataFrame, features: list[str], score: Callable[[DataFrame], DataFrame], most: int = 40_000, seed: int = 7) -> DataFrame:
     """Feature and auc_drop, largest first: how much the AUC of p_up falls when a feature's values change places. rows: id, y and features;
     score adds p_up. At most `most` rows take part, chosen by a hash of id (a sampling operator)."""
-    sample = cut(rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most))
-    place = lambda k: F.row_number().over(Window.orderBy(F.xxhash64(F.lit(k), "id"), "id"))  # noqa: E731  at most `most` rows
+    by = lambda k: (F.md5(F.concat_ws("|", F.lit(k), "id")), F.col("id"))
+    sample = cut(rows.orderBy(*by(seed)).limit(most))
+    place = lambda k: F.row_number().over(Window.orderBy(*by(k)))  # noqa: E731  at most `most` rows
     auc = lambda x: ranking(score(x).withColumn("hit", F.col("y") > MOVE).withColumn("g", F.lit(0)), ["g"], "p_up", "hit").select("roc_auc")
     base, out = auc(sample).withColumnRenamed("roc_auc", "base"), None
     for k, f in enumerate(features):

@@ -180,6 +180,19 @@ def _change(source: str, by: str) -> str:
         {_r('1 - avg((score - hit) ** 2) / avg((base_rate - hit) ** 2)', 'brier_skill')} FROM ranked GROUP BY {by}"""
 
 
+_auc = "CASE WHEN sum(hit) BETWEEN 1 AND count(*) - 1 THEN (sum(r) FILTER (hit = 1) - sum(hit) * (sum(hit) + 1) / 2) / (sum(hit) * (count(*) - sum(hit))) END"
+_place = lambda k: f"row_number() OVER (ORDER BY md5('{k}|' || id), id)"
+_moved = lambda k, f: f"SELECT '{f}' AS feature, a.hit, " + ", ".join(f"{'b' if c == f else 'a'}.{c}" for c in ("lr_4", "log_price", "h")) + f" FROM drawn a JOIN drawn b ON b.r{k + 1} = a.r0"
+IMPORTANCE = SCORED + f""", drawn AS (
+    SELECT *, {", ".join(f"{_place(k)} AS r{k}" for k in range(4))} FROM (
+        SELECT wine_id || '|' || t || '|' || hh AS id, lr_4, logp AS log_price, CAST(hh AS DOUBLE) AS h, CAST(y > ln(1.005) AS DOUBLE) AS hit FROM sc ORDER BY md5('7|' || wine_id || '|' || t || '|' || hh), id LIMIT 40000)
+), moved AS (
+    SELECT '' AS feature, hit, lr_4, log_price, h FROM drawn UNION ALL {" UNION ALL ".join(_moved(k, f) for k, f in enumerate(("lr_4", "log_price", "h")))}
+), ranks AS (
+    SELECT *, rank() OVER (PARTITION BY feature ORDER BY score) + (count(*) OVER (PARTITION BY feature, score) - 1) / 2 AS r FROM (SELECT feature, hit, coalesce(lr_4, 0) * -1 + log_price * 0.01::DOUBLE AS score FROM moved)
+), aucs AS (
+    SELECT feature, {_auc} AS auc FROM ranks GROUP BY feature
+) SELECT feature, round((SELECT auc FROM aucs WHERE feature = '') - auc, 4) + 0.0 AS auc_drop FROM aucs WHERE feature <> ''"""
 _mape = lambda p: f"abs(exp({p}) - exp(y)) / exp(y) * 100"
 _drift = "(coalesce(lr_4, 0) / 4 * hh)"
 LATEST = PRELUDE + """, latest AS (
@@ -201,6 +214,8 @@ SQL = {
     "m8_change_scores": SCORED + _change("SELECT * FROM sd", "hh, side"),
     "a16_segment_grid": SCORED + _change("""SELECT 'all' AS segment, * FROM sd WHERE hh IN (1, 4) UNION ALL SELECT 'dated', * FROM sd WHERE hh IN (1, 4) AND vintage <> 'NV' UNION ALL SELECT 'luxury', * FROM sd WHERE hh IN (1, 4) AND tier = 'luxury'
         UNION ALL SELECT 'north', * FROM sd WHERE hh IN (1, 4) AND region IN ('NATION_2', 'NATION_3')""", "segment, hh, side"),
+    "m9_importance": IMPORTANCE,
+    "o6_importance_ranking": IMPORTANCE,
     "a15_cv_summary": SCORED + """, ways AS (SELECT CAST(floor((27 - target_t) / 4) AS BIGINT) AS fold, y, u.set, u.p FROM sc CROSS JOIN LATERAL (VALUES ('current', 0.0::DOUBLE), ('+p50', p50), ('+drift', coalesce(lr_4, 0) / 4 * hh), ('+both', (p50 + coalesce(lr_4, 0)) / 2)) u(set, p)),
         g AS (SELECT fold, set, avg(abs(y - p)) AS mae, avg(CAST(sign(y) = sign(p) AS DOUBLE)) AS auc FROM ways WHERE fold < 4 GROUP BY ALL)
         SELECT a.set, count(*) FILTER (a.mae < c.mae) AS folds_mae_better, count(*) FILTER (a.auc > c.auc) AS folds_auc_better, """ + ", ".join([_r("avg(a.mae)", "mae"), _r("avg(a.auc)", "auc"), _r("avg(a.mae - c.mae)", "mae_vs_current"), _r("avg(a.auc - c.auc)", "auc_vs_current")]) + """

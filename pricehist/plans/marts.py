@@ -333,6 +333,8 @@ MARTS = PRELUDE + """, cur AS (
 )"""
 _view = lambda name, where, order: f"(SELECT '{name}' AS view, slug FROM catalog WHERE {where} ORDER BY {order}, name, slug LIMIT 20)"
 _day = lambda e, n: f"strftime({e}, '%Y-%m-%d') AS {n}"
+_usd = lambda c: f"'$' || format('{{:,.2f}}', {c})"
+_pct = lambda p: f"CASE WHEN {p} < 0.005 THEN 'under 1%' ELSE CAST(CAST(round({p} * 100) AS INTEGER) AS VARCHAR) || '%' END"
 SQL = {
     "o1_catalog_page": MARTS + f" SELECT {', '.join(COLUMNS)}, {_day('latest_date', 'latest_date')} FROM catalog ORDER BY coalesce(promo_price, price) DESC NULLS LAST, name, slug LIMIT 50 OFFSET 10",
     "o2_best_value": MARTS + " SELECT slug, price, fair_low, value_pct FROM catalog ORDER BY coalesce(price < fair_low, false) DESC, value_pct ASC NULLS LAST, name, slug LIMIT 100",
@@ -374,6 +376,16 @@ SQL = {
     "a19_quality": MARTS + """, w AS (SELECT * FROM wines WHERE wine_id % 101 <> 3) SELECT 'price over 0' AS rule, count(*) AS violations FROM obs WHERE wine_id % 97 = 5 UNION ALL SELECT 'known style', count(*) FROM w WHERE wine_id % 89 = 2
         UNION ALL SELECT 'known tier', 0 UNION ALL SELECT 'known promo', 0 UNION ALL SELECT 'unique slug', 0 UNION ALL SELECT 'unique listing', 0 UNION ALL SELECT 'one active run', 0
         UNION ALL SELECT 'listing of a wine', count(*) FROM obs WHERE wine_id % 101 = 3 UNION ALL SELECT 'forecast of a run', count(*) FROM forecasts WHERE wine_id % 83 = 1""",
+    "m5_facts": MARTS + f""", x AS (
+            SELECT c.*, sales, TRY_CAST(vintage AS INTEGER) + {window_sql(0)} AS o, TRY_CAST(vintage AS INTEGER) + {window_sql(1)} AS e
+            FROM catalog c JOIN (SELECT wine_id, count(*) FILTER (promo_type = 'sale') AS sales FROM obs GROUP BY wine_id) USING (wine_id)
+        ) SELECT wine_id, concat_ws(chr(10),
+            'Wine: ' || CASE vintage WHEN 'NV' THEN name ELSE name || ' ' || vintage END || ' (' || concat_ws(', ', style, coalesce(region, 'region not stated'), grape, classification) || ').',
+            'Price tier: ' || tier || '. List price ' || {_usd('price')} || CASE WHEN promo_price IS NOT NULL THEN ', on ' || promo_type || ' at ' || {_usd('promo_price')} ELSE '' END || '.',
+            'Listed ' || quarters || ' times since ' || strftime(first_date, '%Y-%m-%d') || ', on sale in ' || sales || '.',
+            'Drinking window ' || CAST(o AS INTEGER) || '-' || CAST(e AS INTEGER) || '; now ' || CASE WHEN {YEAR} < o THEN 'before' WHEN {YEAR} > e THEN 'past' ELSE 'inside' END || ' it.',
+            'Chance of a higher list price within a year ' || {_pct('p_up_1y')} || ', of a lower one ' || {_pct('p_down_1y')} || '.',
+            'Fair price ' || {_usd('fair_price')} || ' (' || {_usd('fair_low')} || ' to ' || {_usd('fair_high')} || ').') AS facts FROM x""",
     "u2_distinct": MARTS + " SELECT promo_type, count(DISTINCT code) AS codes, count(DISTINCT date) AS lists FROM obs GROUP BY promo_type",
     "u4_chart": MARTS + f""" SELECT o.wine_id, {_day('o.date', 'date')}, 'history' AS kind, o.price, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM obs o JOIN cur c USING (wine_id) WHERE o.date >= CAST(c.date - INTERVAL 2 YEAR AS DATE) - 7
         UNION ALL SELECT wine_id, {_day('date', 'date')}, 'forecast', price, price, price FROM cur UNION ALL SELECT wine_id, {_day('target_date', 'date')}, 'forecast', p50, p10, p90 FROM forecasts WHERE model_version = 'v2'""",

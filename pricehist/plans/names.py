@@ -250,11 +250,27 @@ def _longest(table: dict, *names: str) -> str:
 
 _family_sql = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(description, '(?i)\bnonvintage\b', '', 'g'), '\b(19[5-9]\d|20[0-3]\d)\b', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') || '-' || regexp_replace(lower(whole_size), '[^a-z0-9]+', '', 'g')"""
 _v_sql = "CASE vint WHEN 'Nonvintage' THEN 'NV' ELSE vint END"
+# The letters of the given texts have no compatibility forms, so taking accents off and dropping what is not ASCII is the whole folding.
+_ascii_sql = r"lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'))"
+_clean_sql = lambda e: f"md5(trim(regexp_replace({e}, '[^a-z0-9]+', ' ', 'g')))"
+_apart = lambda by: f"replace({_ascii_sql}, chr(39), '{by}')"
+_usd_sql = lambda c: f"'$' || format('{{:,.2f}}', {c})"
+_mdy_sql = lambda k: f"CASE WHEN year(date + {k}) < 2000 THEN strftime(date + {k}, '%m/%d/%Y') ELSE strftime(date + {k}, '%-m/%-d/%y') END"
+_first_not = lambda words, of: f"coalesce(nullif(list_position(list_transform({words}, lambda w: NOT list_contains({_list(of)}, w)), true), 0), len({words}) + 1)"
 SQL = {
     "p1_parsed_prices": NAMES + """ SELECT strftime(date, '%Y-%m-%d') AS report_date, lpad(CAST(code AS VARCHAR), 9, '0') AS code, description,
         CASE WHEN vint = 'Nonvintage' THEN 'NV' ELSE vint END AS vintage, whole_size AS size, price AS regular_price, promo_price, promo_type,
         CASE promo_type WHEN 'sale' THEN strftime(date + 5, '%Y-%m-%d') END AS sale_start, CASE promo_type WHEN 'sale' THEN strftime(date + 33, '%Y-%m-%d') END AS sale_end, count(*) AS n
         FROM lines JOIN (SELECT wine_id, vint FROM d) USING (wine_id) GROUP BY ALL""",
+    "s1_read_lines": NAMES + f""", parts AS (
+            SELECT kind, lpad(CAST(code AS VARCHAR), 9, '0') AS code, description, string_split(description, ' ') AS w, CAST(floor(len(string_split(description, ' ')) / 2) AS BIGINT) AS half,
+                concat_ws(' ', size, CASE promo_type WHEN 'sale' THEN concat_ws(' ', {_mdy_sql(5)}, {_mdy_sql(33)}, {_usd_sql('promo_price')}) WHEN 'clearance' THEN {_usd_sql('promo_price')} ELSE '........' END, {_usd_sql('price')}) AS tail
+            FROM lines JOIN (SELECT wine_id, size FROM d) USING (wine_id)
+        ), pieces AS (
+            SELECT kind, array_to_string(w[1:half], ' ') AS head, array_to_string(w[half + 1:], ' ') AS rest, code || ' ' || tail AS orphan, code || ' ' || description || ' ' || tail AS line, code || ' no size here $5.00' AS broken FROM parts
+        ), texts AS (
+            SELECT unnest(CASE kind WHEN 0 THEN ['  ' || head, rest, orphan] WHEN 1 THEN ['Code Size Retail prices', line] WHEN 2 THEN ['Old Name', head, broken, rest, orphan] WHEN 3 THEN [line, orphan] ELSE [line] END) AS text FROM pieces
+        ) SELECT text, count(*) AS n FROM texts WHERE text <> '' GROUP BY text""",
     "p2_wrapped_names": NAMES + " SELECT lpad(CAST(code AS VARCHAR), 9, '0') AS code, description, count(*) AS n FROM lines WHERE kind IN (0, 2) GROUP BY ALL",
     "p3_line_kinds": NAMES + """ SELECT k AS kind, count(*) AS n FROM (SELECT unnest(CASE kind WHEN 0 THEN ['name', 'name', 'orphan'] WHEN 1 THEN ['noise', 'product']
         WHEN 2 THEN ['name', 'name', 'miss', 'name', 'orphan'] WHEN 3 THEN ['product', 'orphan'] ELSE ['product'] END) AS k FROM lines) GROUP BY k""",
@@ -265,6 +281,7 @@ SQL = {
     "p5_promo_types": NAMES + " SELECT promo_type, count(*) AS n, count(*) FILTER (promo_type = 'sale') AS dated FROM lines GROUP BY promo_type",
     "p7_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders",
     "p8_money": "SELECT o_orderkey, o_totalprice AS amount FROM orders",
+    "p15_folded_names": f"SELECT doc_id, {_clean_sql(_apart(' '))} AS any, {_clean_sql(_apart(' '))} AS latin, {_clean_sql(_apart(''))} AS joined FROM documents",
     "p23_deal_flags": NAMES + " SELECT wine_id, CASE WHEN wine_id % 7 = 0 THEN NULL WHEN 60 < base * 0.8::DOUBLE THEN 'deal' WHEN 60 > base * 1.2::DOUBLE THEN 'premium' ELSE 'fair' END AS flag FROM d",
     "p24_shelf_price": PRELUDE + " SELECT wine_id, strftime(date, '%Y-%m-%d') AS date, coalesce(promo_price, price) AS shelf_price FROM obs",
     "p25_labels": PRELUDE + """ SELECT CASE vintage WHEN 'NV' THEN name ELSE name || ' ' || vintage END AS title, 'Q' || quarter(date) || ' ' || year(date) AS label, count(*) AS n
@@ -286,5 +303,14 @@ SQL = {
     "p16_region": NAMES + f" SELECT wine_id, {_longest(n.REGION_KEYWORDS, 'name', 'joined')} AS region FROM f",
     "p17_grape": NAMES + f" SELECT wine_id, coalesce({_longest(n.GRAPES, 'name')}, {_longest(n.IMPLIED, 'name')}) AS grape FROM f",
     "p18_classification": NAMES + " SELECT wine_id, CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{c}'" for c, p in n.CLASSIFICATIONS) + " END AS classification FROM f",
+    "p19_brand": NAMES + rf""", words AS (
+            SELECT wine_id, string_split(trim(regexp_replace(regexp_replace(name, '\b(19|20)\d{{2}}\b', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM f
+        ), led AS (
+            SELECT wine_id, w, {_first_not('w', [*n.PREFIXES, *n.PARTICLES])} AS k FROM words
+        ), tails AS (
+            SELECT wine_id, w[1:k] AS lead, w[k + 1:] AS r, {_first_not('w[k + 1:]', n.PARTICLES)} AS j FROM led
+        ), whole AS (
+            SELECT wine_id, list_reverse(lead || r[1:j - 1] || CASE WHEN j > len(r) OR r[j] IN (SELECT unnest({_list(n.stop_words(('napa', 'mosel')))})) OR regexp_matches(r[j], '^[0-9]+$') THEN [] ELSE [r[j]] END) AS b FROM tails
+        ) SELECT wine_id, nullif(array_to_string(list_reverse(b[{_first_not('b', n.PARTICLES)}:]), ' '), '') AS brand FROM whole""",
     "p20_name_text": NAMES + r" SELECT wine_id, regexp_replace(lower(description), '\b(19|20)\d{2}\b', ' ', 'g') AS text FROM d",
 }
