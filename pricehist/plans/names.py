@@ -43,12 +43,12 @@ def listing_lines(spark, sf_dir):
     promo = (
         F.when(F.col("promo_type") == "sale", F.concat_ws(" ", mdy(5), mdy(33), usd(F.col("promo_price")))).when(F.col("promo_type") == "clearance", usd(F.col("promo_price"))).otherwise(F.lit("........"))
     )
-    tail = F.concat_ws(" ", F.col("size"), promo, usd(F.col("price")))
-    half = F.floor(F.size(F.split("description", " ")) / 2).cast("int")
-    first, rest = F.array_join(F.slice(F.split("description", " "), 1, half), " "), F.array_join(F.slice(F.split("description", " "), half + 1, 99), " ")
-    orphan = F.concat_ws(" ", code, tail)
-    noise, broken = F.lit("Code Size Retail prices"), F.concat(code, F.lit(" no size here $5.00"))
-    line = F.concat_ws(" ", code, F.col("description"), tail)
+    # Parts that several lines use are columns of their own, so that each is formatted once a row.
+    x = x.withColumns({"c": code, "kind": kind, "tail": F.concat_ws(" ", F.col("size"), promo, usd(F.col("price"))), "words": F.split("description", " ")})
+    kind, half = F.col("kind"), F.floor(F.size("words") / 2).cast("int")
+    first, rest = F.array_join(F.slice("words", 1, half), " "), F.array_join(F.slice("words", half + 1, 99), " ")
+    orphan, line = F.concat_ws(" ", "c", "tail"), F.concat_ws(" ", "c", "description", "tail")
+    noise, broken = F.lit("Code Size Retail prices"), F.concat("c", F.lit(" no size here $5.00"))
     text = (
         F.when(kind == 0, F.array(F.concat(F.lit("  "), first), rest, orphan)).when(kind == 1, F.array(noise, line))
         .when(kind == 2, F.array(F.lit("Old Name"), first, broken, rest, orphan)).when(kind == 3, F.array(line, orphan)).otherwise(F.array(line))

@@ -50,15 +50,21 @@ def parse(lines: DataFrame) -> DataFrame:
     x = x.withColumn("pend", pend).filter(F.col("kind").isin("product", "orphan", "miss"))
     orphan = F.col("kind") == "orphan"
     x = x.withColumn("miss", (F.col("kind") == "miss") | (orphan & (F.size("pend") == 0)))
-    o = lambda k: F.regexp_extract("text", n.ORPHAN, k)
-    p = lambda k: F.regexp_extract("text", n.LINE, k)
-    pick = lambda a, b: F.nullif(F.when(orphan, o(a)).otherwise(p(b)), F.lit(""))
-    desc = F.when(orphan, F.array_join(F.slice("pend", F.greatest(F.size("pend") - 1, F.lit(1)), 2), " ")).otherwise(F.trim(p(2)))
-    start, promo = pick(3, 4), n.money(pick(5, 6))
+    # Each line is matched once: its groups, with the description last (it alone may hold any character), are written side by side and split.
+    product = F.regexp_replace("text", n.LINE, "\x01".join(["", "$1", "$3", "$4", "$5", "$6", "$7", "$2"]))
+    groups = F.when(orphan, F.regexp_replace("text", n.ORPHAN, "\x01".join(["", "$1", "$2", "$3", "$4", "$5", "$6", ""]))).when(F.col("kind") == "product", product)
+    x = x.withColumn("g", F.split(groups, "\x01", 8))
+    part = lambda k: F.nullif(F.get("g", F.lit(k)), F.lit(""))
+    desc = F.when(orphan, F.array_join(F.slice("pend", F.greatest(F.size("pend") - 1, F.lit(1)), 2), " ")).otherwise(F.trim(F.coalesce(F.get("g", F.lit(7)), F.lit(""))))
+    x = x.select(
+        "file", "page", "line_no", "miss", part(1).alias("code"), desc.alias("desc"), part(2).alias("size"), part(3).alias("start"), part(4).alias("end"),
+        n.money(part(5)).alias("promo_price"), n.money(part(6)).alias("regular_price"),
+    )
+    start, promo = F.col("start"), F.col("promo_price")
     return x.select(
-        "file", "page", "line_no", "miss", report_date(F.col("file")).alias("report_date"), pick(1, 1).alias("code"), F.when(~F.col("miss"), desc).alias("description"),
-        n.vintage_of(desc).alias("vintage"), n.normalized_size(pick(2, 3)).alias("size"), n.money(pick(6, 7)).alias("regular_price"), promo.alias("promo_price"),
-        n.promo_type(promo, start).alias("promo_type"), F.when(promo.isNotNull() | start.isNotNull(), n.date_of(start)).alias("sale_start"), n.date_of(pick(4, 5)).alias("sale_end"),
+        "file", "page", "line_no", "miss", report_date(F.col("file")).alias("report_date"), "code", F.when(~F.col("miss"), F.col("desc")).alias("description"),
+        n.vintage_of(F.col("desc")).alias("vintage"), n.normalized_size(F.col("size")).alias("size"), "regular_price", "promo_price",
+        n.promo_type(promo, start).alias("promo_type"), F.when(promo.isNotNull() | start.isNotNull(), n.date_of(start)).alias("sale_start"), n.date_of(F.col("end")).alias("sale_end"),
     )
 
 
