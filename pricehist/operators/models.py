@@ -1,7 +1,7 @@
 """Spark ML models of price changes, ranges, next vintages and fair prices.
 
 Trees do not route missing values here: a null number becomes a sentinel and a flag of its own. Unknown categories have a bucket of
-their own. The learners are Spark's gradient-boosted trees; quantiles come from residual percentiles around the median model."""
+their own. The learners are Spark's gradient-boosted trees; quantiles are the median model plus percentiles of its errors, each divided by the error that a second model expects of its row."""
 
 from __future__ import annotations
 
@@ -130,34 +130,82 @@ def fit_change(fit: DataFrame, calibration: DataFrame | None, numbers: list[str]
     return model
 
 
+#: The least expected error that a band is scaled by.
+LEAST_WIDTH = 1e-3
+
+
+@dataclass
+class WidthModel:
+    """The expected absolute error of a row."""
+
+    encode: PipelineModel
+    trees: object
+    numbers: list[str]
+    categories: list[str]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with w."""
+        return self.of(self.encode.transform(prepared(rows, self.numbers, self.categories))).select(*rows.columns, "w")
+
+    def of(self, encoded: DataFrame) -> DataFrame:
+        return self.trees.setPredictionCol("w").transform(encoded).withColumn("w", F.greatest("w", F.lit(LEAST_WIDTH)))
+
+
+def fit_width(encode: PipelineModel, errors: DataFrame, numbers: list[str], categories: list[str], depth: int, rounds: int, seed: int = 42) -> WidthModel:
+    """errors: features (by encode) and e, the error of the median."""
+    return WidthModel(encode, _trees(GBTRegressor, "a", depth, rounds, seed).fit(errors.withColumn("a", F.abs("e"))), numbers, categories)
+
+
+def spread(errors: DataFrame, by: str) -> DataFrame:
+    """by, lo, hi: percentiles of errors (e) divided by their expected size (w), on either side of 0."""
+    part = lambda q: F.percentile_approx(F.col("e") / F.col("w"), q, 10_000)
+    return errors.groupBy(by).agg(F.least(part(0.1), F.lit(0.0)).alias("lo"), F.greatest(part(0.9), F.lit(0.0)).alias("hi"))
+
+
+def band(rows: DataFrame, spread: DataFrame, by: str) -> DataFrame:
+    """rows (with p50, w) and p10, p90; without a spread for the row's key there is no width. spread has one row for each horizon or fold."""
+    x = rows.join(F.broadcast(spread), by, "left")
+    return x.withColumns({"p10": F.col("p50") + F.coalesce("lo", F.lit(0.0)) * F.col("w"), "p90": F.col("p50") + F.coalesce("hi", F.lit(0.0)) * F.col("w")}).drop("lo", "hi", "w")
+
+
 @dataclass
 class RangeModel:
-    """M6: a median model, percentiles of its residuals by horizon, and the band's adjustment by horizon."""
+    """M6: a median model, a width for each row, and the band's adjustment by horizon."""
 
     encode: PipelineModel
     median: object
-    spread: DataFrame
+    width: WidthModel | None
+    spread: DataFrame | None
     adjust: DataFrame | None
     numbers: list[str]
     categories: list[str]
 
+    def middle(self, rows: DataFrame) -> DataFrame:
+        x = self.encode.transform(prepared(rows, self.numbers, self.categories))
+        return self.median.setPredictionCol("p50").transform(x).select(*rows.columns, "p50")
+
     def raw(self, rows: DataFrame) -> DataFrame:
-        x = self.median.setPredictionCol("p50").transform(self.encode.transform(prepared(rows, self.numbers, self.categories)))
-        x = x.select(*rows.columns, "p50").join(F.broadcast(self.spread), "h", "left")
-        return x.withColumns({"p10": F.col("p50") + F.coalesce("lo", F.lit(0.0)), "p90": F.col("p50") + F.coalesce("hi", F.lit(0.0))}).drop("lo", "hi")
+        return band(self.width.transform(self.middle(rows)), self.spread, "h")
 
     def transform(self, rows: DataFrame) -> DataFrame:
         x = self.raw(rows)
         return metrics.widen(x, self.adjust) if self.adjust is not None else x
 
 
-def fit_range(fit: DataFrame, calibration: DataFrame | None, numbers: list[str], categories: list[str], depth: int = 4, rounds: int = 10, seed: int = 42) -> RangeModel:
+def fit_range(
+    fit: DataFrame, calibration: DataFrame | None, numbers: list[str], categories: list[str], depth: int = 4, rounds: int = 10, seed: int = 42, median_only: bool = False
+) -> RangeModel:
+    """median_only: only the median is fitted, for bands that come from errors of other rows (fit_width)."""
     encode = Pipeline(stages=encoder(numbers, categories)).fit(prepared(fit, numbers, categories))
     x = cut(encode.transform(prepared(fit, numbers, categories)).select("features", "h", "y"))
     median = _trees(GBTRegressor, "y", depth, rounds, seed, lossType="absolute").fit(x)
-    res = median.setPredictionCol("p").transform(x).withColumn("e", F.col("y") - F.col("p"))
-    spread = cut(res.groupBy("h").agg(F.percentile_approx("e", 0.1, 10_000).alias("lo"), F.percentile_approx("e", 0.9, 10_000).alias("hi")))
-    model = RangeModel(encode, median, spread, None, numbers, categories)
+    model = RangeModel(encode, median, None, None, None, numbers, categories)
+    if median_only:
+        return model
+    errors = median.setPredictionCol("p").transform(x).select("features", "h", (F.col("y") - F.col("p")).alias("e"))
+    errors = cut(errors)
+    model.width = fit_width(encode, errors, numbers, categories, depth, rounds, seed)
+    model.spread = cut(spread(model.width.of(errors), "h"))
     if calibration is not None:
         model.adjust = cut(metrics.conformal_adjust(model.raw(calibration)))
     return model

@@ -1,9 +1,10 @@
-"""Queries of fitted models (M2-M4, M10-M12, M14). Their rows depend on the learner, so they have no oracle; the tests hold their invariants."""
+"""Queries of fitted models (M2-M4, M10-M12, M14, M15). Their rows depend on the learner, so they have no oracle; the tests hold their invariants."""
 
 from __future__ import annotations
 
 from functools import partial
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from pricehist.functions.shared import cut
@@ -165,14 +166,27 @@ def _fair_rows(spark, sf_dir):
 
 
 def _fair_predictions(rows, numbers):
-    """p10, p50 and p90 of every wine by the model of the folds that it is not in."""
+    """p10, p50 and p90 of every wine by models of the folds that it is not in.
 
-    def job(k):
+    Bands come from held-out errors: a fold's widths are fitted on the errors that the wines of the other folds had when they were held out, and its
+    percentiles are those of the other folds' errors over their widths, each by a model that had not seen the wine's error."""
+    args = {"depth": 5, "rounds": 15}
+
+    def middle(k):
         train, test = rows.filter((F.col("outer") == k) & (F.col("fold") != k)), rows.filter((F.col("outer") == k) & (F.col("fold") == k))
-        band = models.fit_range(train, None, numbers, FAIR_CATEGORIES, depth=5, rounds=15)
-        return band.transform(test).select("wine_id", "tier", "y", "p10", "p50", "p90")
+        return models.fit_range(train, None, numbers, FAIR_CATEGORIES, median_only=True, **args).middle(test)
+
+    held_out = models.side_by_side([partial(middle, k) for k in range(FOLDS)]).withColumn("e", F.col("y") - F.col("p50"))
+
+    def width(k):
+        others = models.prepared(held_out.filter(F.col("fold") != k), numbers, FAIR_CATEGORIES)
+        encode = Pipeline(stages=models.encoder(numbers, FAIR_CATEGORIES)).fit(others)
+        m = models.fit_width(encode, cut(encode.transform(others).select("features", "e")), numbers, FAIR_CATEGORIES, **args)
+        return m.transform(held_out.filter(F.col("fold") == k)).select("wine_id", "tier", "fold", "y", "p50", "e", "w")
 
-    return models.side_by_side([partial(job, k) for k in range(FOLDS)])
+    x = models.side_by_side([partial(width, k) for k in range(FOLDS)])
+    others = F.explode(F.expr(f"filter(sequence(0, {FOLDS - 1}), k -> k <> fold)"))
+    return models.band(x, models.spread(x.select(others.alias("fold"), "e", "w"), "fold"), "fold").select("wine_id", "tier", "y", "p10", "p50", "p90")
 
 
 def m14_fair_price(spark, sf_dir):
@@ -182,6 +196,15 @@ def m14_fair_price(spark, sf_dir):
     return p.select("wine_id", usd("p10"), usd("p50"), usd("p90"), metrics.value_pct(F.col("y"), F.col("p50")).alias("value_pct"))
 
 
+def m15_model_prices(spark, sf_dir):
+    """Out-of-fold fair prices of every wine with the band widened k times, so that it covers 80 percent of all."""
+    p = _fair_predictions(_fair_rows(spark, sf_dir), FAIR_NUMBERS)
+    # One row, which is broadcast.
+    p = p.join(F.broadcast(metrics.band_scale(p)), F.lit(True))
+    usd = lambda c: F.round(F.exp(F.col("p50") + F.col("k") * (F.col(c) - F.col("p50"))), 2).alias(f"fair_{c}")
+    return p.select("wine_id", F.round("k", 2).alias("k"), usd("p10"), usd("p50"), usd("p90"), metrics.value_pct(F.col("y"), F.col("p50")).alias("value_pct"))
+
+
 def m14_model_scores(spark, sf_dir):
     """Scores of the fitted models, of all wines and by tier, for each set of features."""
     rows, out = _fair_rows(spark, sf_dir), None
@@ -192,5 +215,5 @@ def m14_model_scores(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m9_model_importance, m10_ablation, m11_next_vintage, m11_rolling_cv, m11_cv_summary, m12_name_score, m14_fair_price, m14_model_scores)}
+QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m9_model_importance, m10_ablation, m11_next_vintage, m11_rolling_cv, m11_cv_summary, m12_name_score, m14_fair_price, m14_model_scores, m15_model_prices)}
 SQL: dict[str, str] = {}

@@ -102,6 +102,25 @@ def test_fair_price_of_every_wine(spark, small, monkeypatch):
     x = q.m14_fair_price(spark, small).toPandas()
     assert sorted(x["wine_id"]) == sorted(wines)
     assert "name_score" in q.FAIR_NUMBERS
+    # Bands come from held-out errors, differ in width and, once scaled, cover 80 percent.
+    y = {r.wine_id: math.exp(r.y) for r in rows.itertuples()}
+    raw = np.mean([r.fair_p10 - 0.01 <= y[r.wine_id] <= r.fair_p90 + 0.01 for r in x.itertuples()])
+    assert 0.65 <= raw <= 0.95 and (x["fair_p90"] / x["fair_p50"]).round(3).nunique() > 5
+    z = q.m15_model_prices(spark, small).toPandas()
+    assert sorted(z["wine_id"]) == sorted(wines) and z["k"].nunique() == 1 and 1 <= z["k"][0] < 3
+    assert np.mean([r.fair_p10 - 0.01 <= y[r.wine_id] <= r.fair_p90 + 0.01 for r in z.itertuples()]) >= 0.8
+
+
+def test_widths_follow_the_row(spark):
+    """Errors of ten times the size where x = 1: the band is wider there, and covers both kinds alike."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 1, float(i % 2), float(v * (0.5 if i % 2 else 0.05))) for i, v in enumerate(rng.normal(size=1200))]
+    m = models.fit_range(spark.createDataFrame(rows, "id int, h int, x double, y double"), None, ["x"], [], depth=2, rounds=5)
+    x = m.transform(spark.createDataFrame(rows, "id int, h int, x double, y double")).toPandas()
+    width = (x["p90"] - x["p10"]).groupby(x["x"]).mean()
+    inside = ((x["p10"] <= x["y"]) & (x["y"] <= x["p90"])).groupby(x["x"]).mean()
+    assert width[1.0] > 5 * width[0.0] and ((inside > 0.7) & (inside < 0.9)).all()
+    assert (x["p10"] <= x["p50"]).all() and (x["p50"] <= x["p90"]).all()
 
 
 def test_rolling_windows_train_on_the_past(spark):

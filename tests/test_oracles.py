@@ -11,7 +11,7 @@ from pricehist.plans import catalog
 
 SQL, QUERIES = catalog.oracle_sql(), catalog.queries()
 # Checked over the larger table as well by the driver; models are in test_models.py.
-SLOW = {"m2_change_model", "m3_calibration", "m4_forecast", "m9_model_importance", "m10_ablation", "m11_next_vintage", "m12_name_score", "m14_fair_price"}
+SLOW = {"m2_change_model", "m3_calibration", "m4_forecast", "m9_model_importance", "m10_ablation", "m11_next_vintage", "m12_name_score", "m14_fair_price", "m15_model_prices"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
