@@ -13,10 +13,12 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from pricehist.functions.shared import cut
 from pricehist.operators import fair, metrics
@@ -263,7 +265,7 @@ def side_by_side(jobs: list[Callable[[], DataFrame]], threads: int = 2) -> DataF
         return functools.reduce(DataFrame.unionByName, pool.map(lambda job: cut(job()), jobs))
 
 
-def name_scores(train: DataFrame, target: DataFrame, weights: DataFrame, train_weights: DataFrame, buckets: int = 1 << 10) -> DataFrame:
+def name_scores(train: DataFrame, target: DataFrame, weights: DataFrame, train_weights: DataFrame, buckets: int = 1 << 18) -> DataFrame:
     """Key, name_score: a ridge on hashed TF-IDF terms (weights: wine_id, term, w), fitted on train's y less its mean. A text without a known term
     takes part as a vector of zeros."""
     mean = train.agg(F.avg("y").alias("mean"), F.count(F.lit(1)).alias("n"), F.stddev("y").alias("sd")).first()
@@ -285,9 +287,11 @@ def held_out_scores(rows: DataFrame, groups: list[tuple[int, ...]]) -> DataFrame
 
 
 def _vectors(rows: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
-    """rows (with wine_id) and features: one weight for each hashed term (a name has few terms, so the arrays stay short before they are spread)."""
-    x = weights.groupBy("wine_id", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).agg(F.sum("w").alias("w"))
-    # Cut before the arrays are spread: the fit reads its rows more than once.
-    x = cut(rows.join(x.groupBy("wine_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m")), "wine_id", "left"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0)))
-    return x.withColumn("features", array_to_vector(dense)).drop("m")
+    """rows (with wine_id) and features: a sparse vector with one weight for each hashed term of the wine's name."""
+    hashed = weights.groupBy("wine_id", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).agg(F.sum("w").alias("w"))
+    x = rows.join(hashed.groupBy("wine_id").agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("m")), "wine_id", "left")
+    x = x.withColumn("m", F.coalesce("m", F.array().cast("array<struct<b:int,w:double>>")))
+    parts = F.struct(F.lit(0).alias("type"), F.lit(buckets).alias("size"), F.col("m.b").alias("indices"), F.col("m.w").alias("values"))
+    # Spark has no function that makes a sparse vector of arrays; its JSON reader knows the vector's type (0: sparse) and keeps doubles exactly.
+    made = F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))
+    return cut(x.withColumn("features", made["v"]).drop("m"))
