@@ -44,6 +44,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         stars = cut(_small(_large(stars, before[0])))
         now = _mark(stars)
         if now == before:
-            return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node",
+                F.coalesce("component", "node").alias("component"))
         before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

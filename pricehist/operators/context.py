@@ -55,7 +55,8 @@ def window(region: Column, style: Column, tier: Column) -> Column:
     aged = F.coalesce(region.isin(AGEWORTHY_WHITES), F.lit(False)) & (tier != "everyday")
     white = F.when(aged & (tier == "luxury"), pair((3, 15))).when(aged, pair((2, 10))).when(tier == "luxury", pair((1, 6))).otherwise(pair((0, 3)))
     dessert = F.when(region.isin("Bordeaux", "Douro"), pair((8, 40))).otherwise(pair((2, 15)))
-    return F.when(style == "red", red).when(style == "white", white).when(style == "sparkling", by_tier(SPARKLING_WINDOWS)).when(style == "dessert", dessert).otherwise(pair((0, 2)))
+    return F.when(style == "red", red).when(style == "white", white).when(style == "sparkling", by_tier(SPARKLING_WINDOWS)).when(style == "dessert",
+        dessert).otherwise(pair((0, 2)))
 
 
 def window_features(rows: DataFrame) -> DataFrame:
@@ -164,11 +165,15 @@ def latest_crush(tables: DataFrame) -> DataFrame:
 
     tables: file, kind ('tons' or 'price'), crop_year, district, value. Files whose two tables name different crop years, or that lack one,
     are left out; a missing state total of tons is the sum of the districts."""
-    file = tables.groupBy("file").agg(F.max(F.when(F.col("kind") == "tons", F.col("crop_year"))).alias("crop_year"), F.max(F.when(F.col("kind") == "price", F.col("crop_year"))).alias("other"))
+    file = tables.groupBy("file").agg(F.max(F.when(F.col("kind") == "tons", F.col("crop_year"))).alias("crop_year"),
+        F.max(F.when(F.col("kind") == "price", F.col("crop_year"))).alias("other"))
     latest = file.filter("crop_year = other").groupBy("crop_year").agg(F.max("file").alias("file"))
     x = tables.join(F.broadcast(latest), ["file", "crop_year"])
-    wide = x.groupBy("crop_year", "district").agg(F.max(F.when(F.col("kind") == "tons", F.col("value"))).alias("tons"), F.max(F.when(F.col("kind") == "price", F.col("value"))).alias("price_per_ton"))
-    total = wide.groupBy("crop_year").agg(F.sum(F.when(F.col("district") != "state", F.col("tons"))).alias("t"), F.max(F.when(F.col("district") == "state", F.col("tons"))).alias("s"), F.max(F.when(F.col("district") == "state", F.col("price_per_ton"))).alias("p"))
+    wide = x.groupBy("crop_year", "district").agg(F.max(F.when(F.col("kind") == "tons", F.col("value"))).alias("tons"),
+        F.max(F.when(F.col("kind") == "price", F.col("value"))).alias("price_per_ton"))
+    total = wide.groupBy("crop_year").agg(F.sum(F.when(F.col("district") != "state", F.col("tons"))).alias("t"),
+        F.max(F.when(F.col("district") == "state", F.col("tons"))).alias("s"),
+        F.max(F.when(F.col("district") == "state", F.col("price_per_ton"))).alias("p"))
     state = total.select("crop_year", F.lit("state").alias("district"), F.coalesce("s", "t").alias("tons"), F.col("p").alias("price_per_ton"))
     return wide.filter("district <> 'state'").unionByName(state)
 

@@ -12,7 +12,8 @@ def latest_rows(series: DataFrame) -> DataFrame:
     """F16: each wine's newest listing with vintage_age, is_nv, listing_year, y (log price) and the name's text."""
     x = series.groupBy("wine_id").agg(F.max_by(F.struct(*[c for c in series.columns if c != "wine_id"]), "date").alias("x")).select("wine_id", "x.*")
     v = F.expr("try_cast(vintage AS int)")
-    return x.withColumns({"vintage_age": F.year("date") - v, "is_nv": v.isNull().cast("double"), "listing_year": F.year("date") + (F.month("date") - 1) / 12, "y": F.log("price"), "text": name_text(F.col("name"))})
+    return x.withColumns({"vintage_age": F.year("date") - v, "is_nv": v.isNull().cast("double"),
+        "listing_year": F.year("date") + (F.month("date") - 1) / 12, "y": F.log("price"), "text": name_text(F.col("name"))})
 
 
 def brand_encoding(train: DataFrame, target: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -28,7 +29,8 @@ def brand_encoding(train: DataFrame, target: DataFrame, by: tuple[str, ...] = ()
     n, s, q = zero("tn") - zero("n"), zero("ts") - zero("s"), zero("tq") - zero("q")
     mean = F.when(n > 0, s / n)
     return x.withColumns({
-        "brand_mean_logp": mean, "brand_n_families": zero("tf") - (zero("n") > 0).cast("bigint"), "brand_std_logp": F.when(n > 1, F.sqrt(F.greatest(q / n - (s / n) ** 2, F.lit(0.0)))),
+        "brand_mean_logp": mean, "brand_n_families": zero("tf") - (zero("n") > 0).cast("bigint"),
+        "brand_std_logp": F.when(n > 1, F.sqrt(F.greatest(q / n - (s / n) ** 2, F.lit(0.0)))),
     }).drop("ts", "tn", "tq", "tf", "s", "n", "q")
 
 
@@ -49,7 +51,8 @@ def evaluate(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     e = F.col("p50") - F.col("y")
     return rows.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("wines"), (F.median(F.abs(F.exp(e) - 1)) * 100).alias("median_abs_pct_error"), F.avg(F.abs(e)).alias("mae_log"),
-        (1 - F.try_divide(F.sum(e**2), F.var_pop("y") * F.count("y"))).alias("r2_log"), (F.avg(F.col("y").between(F.col("p10"), F.col("p90")).cast("double")) * 100).alias("coverage_80"),
+        (1 - F.try_divide(F.sum(e**2), F.var_pop("y") * F.count("y"))).alias("r2_log"),
+        (F.avg(F.col("y").between(F.col("p10"), F.col("p90")).cast("double")) * 100).alias("coverage_80"),
     )
 
 
@@ -57,7 +60,8 @@ def terms(rows: DataFrame, key: str = "wine_id") -> DataFrame:
     """key, term, tf of the words (two letters or more) and word pairs of each text."""
     words = F.regexp_extract_all("text", F.lit(r"\b(\w\w+)\b"), 1)
     x = rows.select(key, words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.concat_ws(" ", F.element_at("w", k), F.element_at("w", k + 1)))).otherwise(F.array())
+    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1),
+        lambda k: F.concat_ws(" ", F.element_at("w", k), F.element_at("w", k + 1)))).otherwise(F.array())
     return x.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

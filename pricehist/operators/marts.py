@@ -11,7 +11,8 @@ from pricehist.operators.context import window
 
 def latest(obs: DataFrame, *columns: str) -> DataFrame:
     """Each wine's newest listing, its first date and count; wines without one have no row. One pass by wine, no correlated lookups."""
-    return obs.groupBy("wine_id").agg(F.max_by(F.struct("date", *columns), "date").alias("cur"), F.min("date").alias("first_date"), F.count(F.lit(1)).alias("quarters")).select("wine_id", "cur.*", "first_date", "quarters")
+    return obs.groupBy("wine_id").agg(F.max_by(F.struct("date", *columns), "date").alias("cur"), F.min("date").alias("first_date"),
+        F.count(F.lit(1)).alias("quarters")).select("wine_id", "cur.*", "first_date", "quarters")
 
 
 def price_ago(obs: DataFrame, cur: DataFrame, years: tuple[int, ...] = (1, 5), slack: int = 7) -> DataFrame:
@@ -109,7 +110,8 @@ def stickiness(obs: DataFrame) -> DataFrame:
     """A4: changes between consecutive listings (gaps are bridged) and sales of each wine."""
     w = Window.partitionBy("wine_id").orderBy("date")
     x = obs.withColumn("before", F.lag("price").over(w))
-    return x.groupBy("wine_id").agg(F.count_if(F.col("before").isNotNull() & (F.col("price") != F.col("before"))).alias("changes"), F.count_if(F.col("promo_type") == "sale").alias("sales"))
+    return x.groupBy("wine_id").agg(F.count_if(F.col("before").isNotNull() & (F.col("price") != F.col("before"))).alias("changes"),
+        F.count_if(F.col("promo_type") == "sale").alias("sales"))
 
 
 def chart(obs: DataFrame, forecasts: DataFrame, years: int | None) -> DataFrame:
@@ -118,16 +120,19 @@ def chart(obs: DataFrame, forecasts: DataFrame, years: int | None) -> DataFrame:
     past = obs.select("wine_id", "date", "price").join(last.select("wine_id", "last"), "wine_id")
     past = past.filter(F.col("date") >= F.date_sub(F.add_months("last", -12 * years), 7)) if years else past
     anchor = last.select("wine_id", F.col("last").alias("date"), F.lit("forecast").alias("kind"), "price", F.col("price").alias("low"), F.col("price").alias("high"))
-    ahead = forecasts.select("wine_id", F.col("target_date").alias("date"), F.lit("forecast").alias("kind"), F.col("p50").alias("price"), F.col("p10").alias("low"), F.col("p90").alias("high"))
+    ahead = forecasts.select("wine_id", F.col("target_date").alias("date"), F.lit("forecast").alias("kind"), F.col("p50").alias("price"),
+        F.col("p10").alias("low"), F.col("p90").alias("high"))
     return past.select("wine_id", "date", F.lit("history").alias("kind"), "price").unionByName(anchor, allowMissingColumns=True).unionByName(ahead, allowMissingColumns=True)
 
 
 def parity(a: DataFrame, b: DataFrame, keys: tuple[str, ...], price: float = 0.011, share: float = 1e-4) -> DataFrame:
     """Rows of both and how many differ, by kind of difference."""
-    x = a.select(*keys, F.struct("p10", "p50", "p90", "p_up", "p_down").alias("x")).join(b.select(*keys, F.struct("p10", "p50", "p90", "p_up", "p_down").alias("y")), list(keys), "full")
+    x = a.select(*keys, F.struct("p10", "p50", "p90", "p_up", "p_down").alias("x")).join(b.select(*keys,
+        F.struct("p10", "p50", "p90", "p_up", "p_down").alias("y")), list(keys), "full")
     off = lambda c, most: F.coalesce(F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) > most, F.lit(False))
     far = off("p10", price) | off("p50", price) | off("p90", price)
-    return x.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("missing"), F.count_if(far).alias("price_off"), F.count_if(off("p_up", share) | off("p_down", share)).alias("share_off"))
+    return x.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("missing"),
+        F.count_if(far).alias("price_off"), F.count_if(off("p_up", share) | off("p_down", share)).alias("share_off"))
 
 
 def dimension(rows: DataFrame) -> DataFrame:
@@ -144,7 +149,8 @@ def quality(wines: DataFrame, obs: DataFrame, runs: DataFrame, forecasts: DataFr
     rules = [
         one("price over 0", obs.filter("NOT coalesce(price > 0, false)")), one("known style", wines.filter("style NOT IN ('red', 'white', 'sparkling', 'dessert', 'rose')")),
         one("known tier", wines.filter("tier NOT IN ('everyday', 'premium', 'luxury')")), one("known promo", obs.filter("promo_type NOT IN ('sale', 'clearance')")),
-        one("unique slug", twice(wines, "slug")), one("unique listing", twice(obs, "wine_id", "date")), one("one active run", runs.filter("is_active").groupBy().count().filter("count <> 1")),
+        one("unique slug", twice(wines, "slug")), one("unique listing", twice(obs, "wine_id", "date")),
+        one("one active run", runs.filter("is_active").groupBy().count().filter("count <> 1")),
         one("listing of a wine", obs.join(wines, "wine_id", "left_anti")), one("forecast of a run", forecasts.join(runs, "model_version", "left_anti")),
     ]
     out = rules[0]
@@ -163,11 +169,17 @@ def facts(rows: DataFrame, year: int) -> DataFrame:
     where = F.when(F.lit(year) < v + w["opens"], "before").when(F.lit(year) > v + w["closes"], "past").otherwise("inside")
     lines = [
         F.concat(F.lit("Wine: "), title, F.lit(" ("), F.concat_ws(", ", "style", F.coalesce("region", F.lit("region not stated")), "grape", "classification"), F.lit(").")),
-        F.concat(F.lit("Price tier: "), "tier", F.lit(". List price "), usd(F.col("price")), F.when(F.col("promo_price").isNotNull(), F.concat(F.lit(", on "), "promo_type", F.lit(" at "), usd(F.col("promo_price")))).otherwise(F.lit("")), F.lit(".")),
-        F.concat(F.lit("Listed "), F.col("quarters").cast("string"), F.lit(" times since "), F.date_format("first_date", "yyyy-MM-dd"), F.lit(", on sale in "), F.col("sales").cast("string"), F.lit(".")),
-        F.when(v.isNotNull(), F.concat(F.lit("Drinking window "), (v + w["opens"]).cast("string"), F.lit("-"), (v + w["closes"]).cast("string"), F.lit("; now "), where, F.lit(" it."))),
-        F.when(F.col("p_up_1y").isNotNull(), F.concat(F.lit("Chance of a higher list price within a year "), pct(F.col("p_up_1y")), F.lit(", of a lower one "), pct(F.col("p_down_1y")), F.lit("."))),
-        F.when(F.col("fair_price").isNotNull(), F.concat(F.lit("Fair price "), usd(F.col("fair_price")), F.lit(" ("), usd(F.col("fair_low")), F.lit(" to "), usd(F.col("fair_high")), F.lit(")."))),
+        F.concat(F.lit("Price tier: "), "tier", F.lit(". List price "), usd(F.col("price")),
+        F.when(F.col("promo_price").isNotNull(), F.concat(F.lit(", on "), "promo_type", F.lit(" at "),
+        usd(F.col("promo_price")))).otherwise(F.lit("")), F.lit(".")),
+        F.concat(F.lit("Listed "), F.col("quarters").cast("string"), F.lit(" times since "), F.date_format("first_date", "yyyy-MM-dd"),
+        F.lit(", on sale in "), F.col("sales").cast("string"), F.lit(".")),
+        F.when(v.isNotNull(), F.concat(F.lit("Drinking window "), (v + w["opens"]).cast("string"), F.lit("-"), (v + w["closes"]).cast("string"),
+        F.lit("; now "), where, F.lit(" it."))),
+        F.when(F.col("p_up_1y").isNotNull(), F.concat(F.lit("Chance of a higher list price within a year "), pct(F.col("p_up_1y")),
+        F.lit(", of a lower one "), pct(F.col("p_down_1y")), F.lit("."))),
+        F.when(F.col("fair_price").isNotNull(), F.concat(F.lit("Fair price "), usd(F.col("fair_price")), F.lit(" ("), usd(F.col("fair_low")),
+        F.lit(" to "), usd(F.col("fair_high")), F.lit(")."))),
     ]
     return rows.select("wine_id", F.concat_ws("\n", *lines).alias("facts"))
 

@@ -56,7 +56,8 @@ def change_scores(rows: DataFrame, base: DataFrame, by: tuple[str, ...] = ("h",
     x = sides(rows).join(F.broadcast(base), ["h", "side"])
     hit = F.col("hit").cast("double")
     g = x.groupBy(*by).agg(
-        F.avg(hit).alias("actual_rate"), F.avg("score").alias("predicted_rate"), (1 - F.try_divide(F.avg((F.col("score") - hit) ** 2), F.avg((F.col("base_rate") - hit) ** 2))).alias("brier_skill"),
+        F.avg(hit).alias("actual_rate"), F.avg("score").alias("predicted_rate"),
+        (1 - F.try_divide(F.avg((F.col("score") - hit) ** 2), F.avg((F.col("base_rate") - hit) ** 2))).alias("brier_skill"),
     )
     return ranking(x, list(by), "score", "hit").join(g, list(by))
 
@@ -74,8 +75,10 @@ def range_scores(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     changed = F.abs(y) > 1e-9
     loss = lambda c, q: F.avg(F.greatest(q * (y - F.col(c)), (q - 1) * (y - F.col(c))))
     return rows.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("n"), (F.avg(changed.cast("double")) * 100).alias("changed_pct"), F.avg(mape(F.col("p50"))).alias("mape"), F.avg(mape(F.lit(0.0))).alias("mape_naive"), F.avg(mape(drift)).alias("mape_drift"),
-        F.avg(F.when(changed, mape(F.col("p50")))).alias("mape_changed"), F.avg(F.when(changed, mape(F.lit(0.0)))).alias("mape_naive_changed"), (F.avg(y.between(F.col("p10"), F.col("p90")).cast("double")) * 100).alias("coverage_80"),
+        F.count(F.lit(1)).alias("n"), (F.avg(changed.cast("double")) * 100).alias("changed_pct"), F.avg(mape(F.col("p50"))).alias("mape"),
+        F.avg(mape(F.lit(0.0))).alias("mape_naive"), F.avg(mape(drift)).alias("mape_drift"),
+        F.avg(F.when(changed, mape(F.col("p50")))).alias("mape_changed"), F.avg(F.when(changed, mape(F.lit(0.0)))).alias("mape_naive_changed"),
+        (F.avg(y.between(F.col("p10"), F.col("p90")).cast("double")) * 100).alias("coverage_80"),
         loss("p10", 0.1).alias("pinball_10"), loss("p50", 0.5).alias("pinball_50"), loss("p90", 0.9).alias("pinball_90"),
     )
 
@@ -113,7 +116,8 @@ def band_scale(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """K, the least of 1.00, 1.01, ... for which `share` of the rows lie in the band around p50 widened k times.
 
     Every row has a k that it needs; the answer is their order statistic, rounded up. Over 3 is an error, as no sensible band needs it."""
-    need = F.when(F.col("y") >= F.col("p50"), (F.col("y") - F.col("p50")) / F.nullif(F.col("p90") - F.col("p50"), F.lit(0.0))).otherwise((F.col("p50") - F.col("y")) / F.nullif(F.col("p50") - F.col("p10"), F.lit(0.0)))
+    need = F.when(F.col("y") >= F.col("p50"), (F.col("y") - F.col("p50")) / F.nullif(F.col("p90") - F.col("p50"),
+        F.lit(0.0))).otherwise((F.col("p50") - F.col("y")) / F.nullif(F.col("p50") - F.col("p10"), F.lit(0.0)))
     x = rows.select(F.lit(0).alias("g"), F.coalesce(need, F.when(F.col("y") == F.col("p50"), 0.0).otherwise(1e9)).alias("k"))
     n = x.groupBy("g").agg((F.ceil(F.count(F.lit(1)) * share) - 1).alias("r"))
     k = F.greatest(F.lit(1.0), F.ceil(F.col("v") * 100 - 1e-9) / 100)
@@ -131,7 +135,8 @@ def cv_summary(scores: DataFrame, current: str = "current") -> DataFrame:
     own = per.filter(F.col("set") == current).select("fold", F.col("mae").alias("m0"), F.col("auc").alias("a0"))
     x = per.join(F.broadcast(own), "fold")
     dm, da = F.col("mae") - F.col("m0"), F.col("auc") - F.col("a0")
-    return x.groupBy("set").agg(F.avg("mae").alias("mae"), F.avg("auc").alias("auc"), F.avg(dm).alias("mae_vs_current"), F.count_if(dm < 0).alias("folds_mae_better"), F.avg(da).alias("auc_vs_current"), F.count_if(da > 0).alias("folds_auc_better"))
+    return x.groupBy("set").agg(F.avg("mae").alias("mae"), F.avg("auc").alias("auc"), F.avg(dm).alias("mae_vs_current"),
+        F.count_if(dm < 0).alias("folds_mae_better"), F.avg(da).alias("auc_vs_current"), F.count_if(da > 0).alias("folds_auc_better"))
 
 
 def importance(rows: DataFrame, features: list[str], score: Callable[[DataFrame], DataFrame], most: int = 40_000, seed: int = 7) -> DataFrame:

@@ -115,7 +115,8 @@ def fit_change(fit: DataFrame, calibration: DataFrame | None, numbers: list[str]
     """M2 on the fit slice, M3 on the calibration slice: one small logistic fit for each horizon and side (L2 of weight 1 over the slice).
     Without a calibration slice the chances are the classifiers' own."""
     encode = Pipeline(stages=encoder(numbers, categories)).fit(prepared(fit, numbers, categories))
-    x = cut(encode.transform(prepared(fit, numbers, categories)).select("features", "y", (F.col("y") > MOVE).cast("double").alias("up"), (F.col("y") < -MOVE).cast("double").alias("down")))
+    x = cut(encode.transform(prepared(fit, numbers, categories)).select("features", "y", (F.col("y") > MOVE).cast("double").alias("up"),
+        (F.col("y") < -MOVE).cast("double").alias("down")))
     m = {side: _trees(GBTClassifier, side, depth, rounds).fit(x) for side in ("up", "down")}
     s = {side: _size_model(x.filter(F.col(side) == 1), side, depth, rounds) for side in ("up", "down")}
     model = ChangeModel(encode, m["up"], m["down"], s["up"], s["down"], {}, numbers, categories)
@@ -125,7 +126,9 @@ def fit_change(fit: DataFrame, calibration: DataFrame | None, numbers: list[str]
     n = {r["h"]: r["n"] for r in c.groupBy("h").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each horizon
     for h in sorted(n):
         for side, hit in (("up", F.col("y") > MOVE), ("down", F.col("y") < -MOVE)):
-            part = VectorAssembler(inputCols=["l"], outputCol="features").transform(c.filter(F.col("h") == h).select(logit(F.col(f"raw_{side}")).alias("l"), hit.cast("double").alias("label")))
+            part = VectorAssembler(inputCols=["l"],
+                outputCol="features").transform(c.filter(F.col("h") == h).select(logit(F.col(f"raw_{side}")).alias("l"),
+                hit.cast("double").alias("label")))
             if part.select("label").distinct().count() == 2:
                 lr = LogisticRegression(regParam=1 / n[h], standardization=False).fit(part)
                 model.platt[h, side] = (float(lr.coefficients[0]), float(lr.intercept))
@@ -220,7 +223,8 @@ def rolling_predictions(t: DataFrame, sets: dict[str, tuple[list[str], list[str]
     t: date, y, h (1), family_mean_change and the features of all sets (numbers, categories)."""
     last = t.agg(F.max("date").alias("d")).first()["d"]
     end = F.add_months(F.lit(last), -12 * F.col("k"))
-    years = t.sparkSession.range(folds).withColumnRenamed("id", "k").select("k", end.alias("end"), F.add_months(end, -12).alias("start")).orderBy("k").collect()  # one row for each fold
+    years = t.sparkSession.range(folds).withColumnRenamed("id", "k").select("k", end.alias("end"),
+        F.add_months(end, -12).alias("start")).orderBy("k").collect()  # one row for each fold
     jobs = []
     for k, to, since in years:
         train, test = t.filter(F.col("date") <= since), t.filter((F.col("date") > since) & (F.col("date") <= to))
@@ -247,7 +251,8 @@ def rolling_scores(p: DataFrame) -> DataFrame:
     x = p.withColumn("hit", y > MOVE)
     g = x.groupBy(*by).agg(
         (F.avg(F.col("hit").cast("double")) * 100).alias("share_up_pct"), F.avg(F.abs(y - F.col("p50"))).alias("mae"), F.avg(F.abs(y)).alias("same_price_mae"),
-        F.avg(F.abs(y - F.coalesce("family_mean_change", F.lit(0.0)))).alias("family_history_mae"), (F.avg(y.between(F.col("p10"), F.col("p90")).cast("double")) * 100).alias("coverage_80"),
+        F.avg(F.abs(y - F.coalesce("family_mean_change", F.lit(0.0)))).alias("family_history_mae"),
+        (F.avg(y.between(F.col("p10"), F.col("p90")).cast("double")) * 100).alias("coverage_80"),
     )
     return g.join(metrics.ranking(x, by, "p_up", "hit").select(*by, F.col("n").alias("transitions"), F.col("roc_auc").alias("auc")), by)
 
@@ -256,7 +261,8 @@ def forecast(latest: DataFrame, change: ChangeModel, band: RangeModel) -> DataFr
     """M4: wine_id, h, target_date, prices (to cents, in order), chances and sizes for rows of the latest list with h and target_date."""
     x = change.transform(band.transform(latest))
     price = lambda c: F.round(F.exp(F.col("log_price") + F.col(c)), 2).alias(c)
-    return x.select("wine_id", "h", "target_date", price("p10"), price("p50"), price("p90"), F.round("p_up", 4).alias("p_up"), F.round("p_down", 4).alias("p_down"), F.round("up_pct", 1).alias("up_pct"), F.round("down_pct", 1).alias("down_pct"))
+    return x.select("wine_id", "h", "target_date", price("p10"), price("p50"), price("p90"), F.round("p_up", 4).alias("p_up"),
+        F.round("p_down", 4).alias("p_down"), F.round("up_pct", 1).alias("up_pct"), F.round("down_pct", 1).alias("down_pct"))
 
 
 def side_by_side(jobs: list[Callable[[], DataFrame]], threads: int = 2) -> DataFrame:

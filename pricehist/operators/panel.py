@@ -74,7 +74,8 @@ def features(series: DataFrame) -> DataFrame:
 
 def grid(periods: DataFrame) -> DataFrame:
     """One row with the number of lists, lists a year and months from the last list but one to the last."""
-    g = periods.agg(F.count(F.lit(1)).alias("lists"), F.min("date").alias("first"), F.max("date").alias("last"), F.max_by("date", F.struct(F.col("t"))).alias("x"), F.sort_array(F.collect_list("date"), False).alias("d"))
+    g = periods.agg(F.count(F.lit(1)).alias("lists"), F.min("date").alias("first"), F.max("date").alias("last"),
+        F.max_by("date", F.struct(F.col("t"))).alias("x"), F.sort_array(F.collect_list("date"), False).alias("d"))
     days = F.datediff("last", "first")
     before = F.coalesce(F.get("d", F.lit(1)), F.col("last"))
     return g.select(
@@ -85,7 +86,8 @@ def grid(periods: DataFrame) -> DataFrame:
 
 def future_dates(periods: DataFrame, horizon: int) -> DataFrame:
     """h, target_date of the next price lists, in whole calendar months."""
-    return grid(periods).select(F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "last", "step_months").select("h", F.add_months("last", F.col("h") * F.col("step_months")).alias("target_date"))
+    return grid(periods).select(F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "last", "step_months").select("h",
+        F.add_months("last", F.col("h") * F.col("step_months")).alias("target_date"))
 
 
 def horizons(origins: DataFrame, horizon: int, per_year: int) -> DataFrame:

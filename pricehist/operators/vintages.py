@@ -60,10 +60,12 @@ def life(series: DataFrame, until: DataFrame, wine: str) -> DataFrame:
     x = until.join(h, wine).filter("at <= date")
     keys = until.columns
     return x.groupBy(*keys).agg(
-        F.max_by(F.struct("p", "promo_type"), "at").alias("l"), F.min_by("p", "at").alias("f"), F.count(F.lit(1)).alias("prev_life_quarters"), F.count_if("move").alias("prev_changes"),
+        F.max_by(F.struct("p", "promo_type"), "at").alias("l"), F.min_by("p", "at").alias("f"), F.count(F.lit(1)).alias("prev_life_quarters"),
+        F.count_if("move").alias("prev_changes"),
     ).select(
         *keys, F.col("l.p").alias("prev_price"), F.log("l.p").alias("prev_log_price"), "prev_life_quarters", (F.log("l.p") - F.log("f")).alias("prev_life_change"), "prev_changes",
-        F.coalesce(F.col("l.promo_type") == "sale", F.lit(False)).cast("double").alias("prev_on_sale"), F.coalesce(F.col("l.promo_type") == "clearance", F.lit(False)).cast("double").alias("prev_on_clearance"),
+        F.coalesce(F.col("l.promo_type") == "sale", F.lit(False)).cast("double").alias("prev_on_sale"),
+        F.coalesce(F.col("l.promo_type") == "clearance", F.lit(False)).cast("double").alias("prev_on_clearance"),
     )
 
 
@@ -74,7 +76,8 @@ def transitions(series: DataFrame, by_date: bool = False) -> DataFrame:
     order; by_date takes only changes that had happened by then."""
     x = dated(series)
     new = pairs(spans(series))
-    t = life(x, new.select("wine_id", "prev_wine_id", "family", "date", "new_vintage", "prev_vintage", "region", "brand", "grape", "classification", "style", "tier", "first_price"), "prev_wine_id")
+    t = life(x, new.select("wine_id", "prev_wine_id", "family", "date", "new_vintage", "prev_vintage", "region", "brand", "grape", "classification",
+        "style", "tier", "first_price"), "prev_wine_id")
     t = t.withColumn("y", F.log(F.col("first_price") / F.col("prev_price"))).withColumn("vintage_gap", F.col("new_vintage") - F.col("prev_vintage"))
     order = [F.col("date"), F.col("new_vintage"), F.col("wine_id")] if by_date else [F.col("new_vintage"), F.col("wine_id")]
     w = Window.partitionBy("family").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,12 +93,14 @@ def brand_history(t: DataFrame, history: DataFrame) -> DataFrame:
     Rows of t that are no releases take part in the windows with weight 0."""
     h = history.filter("brand IS NOT NULL").groupBy("brand", "family", "date").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
     asked = t.filter("brand IS NOT NULL").select("brand", "family", "date").distinct()
-    x = h.unionByName(asked.select("*", F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))).groupBy("brand", "family", "date").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    x = h.unionByName(asked.select("*", F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))).groupBy("brand", "family",
+        "date").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     month = "INTERVAL '24' MONTH"
     frame = f"RANGE BETWEEN {month} PRECEDING AND CURRENT ROW"
     same = "RANGE BETWEEN CURRENT ROW AND CURRENT ROW"
     part = lambda c, by: f"(sum({c}) OVER (PARTITION BY {by} ORDER BY date {frame}) - sum({c}) OVER (PARTITION BY {by} ORDER BY date {same}))"
-    x = x.selectExpr("brand", "family", "date", f"{part('n', 'brand')} - {part('n', 'brand, family')} AS brand_recent_vintage_n", f"{part('s', 'brand')} - {part('s', 'brand, family')} AS s")
+    x = x.selectExpr("brand", "family", "date", f"{part('n', 'brand')} - {part('n', 'brand, family')} AS brand_recent_vintage_n",
+        f"{part('s', 'brand')} - {part('s', 'brand, family')} AS s")
     x = x.selectExpr("brand", "family", "date", "brand_recent_vintage_n", "CASE WHEN brand_recent_vintage_n > 0 THEN s / brand_recent_vintage_n END AS brand_recent_vintage_change")
     return t.join(x, ["brand", "family", "date"], "left").withColumn("brand_recent_vintage_n", F.coalesce("brand_recent_vintage_n", F.lit(0)))
 
@@ -130,7 +135,8 @@ def next_vintages(series: DataFrame, t: DataFrame) -> DataFrame:
     lists = x.groupBy("date").count().agg(F.max("date").alias("last"), F.sort_array(F.collect_list("date"), False).alias("d"))  # one row for each list
     lists = lists.select("last", F.bround(F.datediff("last", F.coalesce(F.get("d", F.lit(1)), F.col("last"))) / 30.44).cast("int").alias("step"))
     cur = x.join(F.broadcast(lists), F.col("date") == F.col("last"))
-    newest = cur.groupBy("family").agg(F.max_by(F.struct("wine_id", "vint", "region", "brand", "grape", "classification", "style", "tier", "last", "step"), F.struct("vint", "wine_id")).alias("c")).select("family", "c.*")
+    newest = cur.groupBy("family").agg(F.max_by(F.struct("wine_id", "vint", "region", "brand", "grape", "classification", "style", "tier", "last",
+        "step"), F.struct("vint", "wine_id")).alias("c")).select("family", "c.*")
     newest = newest.filter(F.col("vint") >= F.year("last") - MAX_CURRENT_AGE)
     rows = life(x, newest.withColumnRenamed("last", "date"), "wine_id").withColumnsRenamed({"date": "last"})
     rows = rows.join(family_history(t), "family", "left").withColumn("family_prev_transitions", F.coalesce("family_prev_transitions", F.lit(0)))

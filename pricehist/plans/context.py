@@ -130,39 +130,50 @@ def window_sql(k: int) -> str:
     aged = f"region IN ({', '.join(repr(n) for n in c.AGEWORTHY_WHITES)}) AND tier <> 'everyday'"
     return f"""CASE style WHEN 'red' THEN CASE {red} ELSE {_case(c.RED_WINDOWS['default'], k)} END
         WHEN 'white' THEN CASE WHEN {aged} THEN CASE tier WHEN 'luxury' THEN {(3, 15)[k]} ELSE {(2, 10)[k]} END WHEN tier = 'luxury' THEN {(1, 6)[k]} ELSE {(0, 3)[k]} END
-        WHEN 'sparkling' THEN {_case(c.SPARKLING_WINDOWS, k)} WHEN 'dessert' THEN CASE WHEN region IN ('Bordeaux', 'Douro') THEN {(8, 40)[k]} ELSE {(2, 15)[k]} END ELSE {(0, 2)[k]} END"""
+        WHEN 'sparkling' THEN {_case(c.SPARKLING_WINDOWS, k)} WHEN 'dessert' THEN CASE WHEN region IN ('Bordeaux', 'Douro') THEN {(8, 40)[k]}
+            ELSE {(2, 15)[k]} END ELSE {(0, 2)[k]} END"""
 
 
 CONTEXT = DENSE + """, daily AS (
     SELECT region, hemisphere, CAST(o_orderdate AS DATE) AS date, avg(45 * o_totalprice / 5e5 - 5) AS t_mean, avg((o_custkey % 50) / 10) AS rain
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN regions ON c_nationkey = n_nationkey GROUP BY ALL
 ), years AS (
-    SELECT region, hemisphere, unnest(range(CAST(year(min(date)) + CASE hemisphere WHEN 'S' THEN 1 ELSE 0 END AS BIGINT), CAST(year(max(date)) + 1 AS BIGINT))) AS vintage, max(date) AS last FROM daily GROUP BY region, hemisphere
+    SELECT region, hemisphere, unnest(range(CAST(year(min(date)) + CASE hemisphere WHEN 'S' THEN 1
+        ELSE 0 END AS BIGINT), CAST(year(max(date)) + 1 AS BIGINT))) AS vintage, max(date) AS last FROM daily GROUP BY region, hemisphere
 ), spans AS (
-    SELECT *, CASE hemisphere WHEN 'S' THEN make_date(vintage - 1, 10, 1) ELSE make_date(vintage, 4, 1) END AS a, CASE hemisphere WHEN 'S' THEN make_date(vintage, 4, 30) ELSE make_date(vintage, 10, 31) END AS b,
-        CASE hemisphere WHEN 'S' THEN make_date(vintage - 1, 11, 15) ELSE make_date(vintage, 5, 15) END AS frost, CASE hemisphere WHEN 'S' THEN make_date(vintage, 3, 1) ELSE make_date(vintage, 9, 1) END AS harvest FROM years
+    SELECT *, CASE hemisphere WHEN 'S' THEN make_date(vintage - 1, 10, 1) ELSE make_date(vintage, 4, 1) END AS a, CASE hemisphere
+        WHEN 'S' THEN make_date(vintage, 4, 30) ELSE make_date(vintage, 10, 31) END AS b,
+        CASE hemisphere WHEN 'S' THEN make_date(vintage - 1, 11, 15) ELSE make_date(vintage, 5, 15) END AS frost, CASE hemisphere
+            WHEN 'S' THEN make_date(vintage, 3, 1) ELSE make_date(vintage, 9, 1) END AS harvest FROM years
 ), seasons AS (
-    SELECT s.region, CAST(vintage AS INTEGER) AS vintage, sum(greatest(t_mean - 10, 0)) AS gdd, avg(t_mean) AS gs_tmean, sum(rain) AS gs_rain, coalesce(sum(rain) FILTER (date >= harvest), 0) AS harvest_rain,
+    SELECT s.region, CAST(vintage AS INTEGER) AS vintage, sum(greatest(t_mean - 10, 0)) AS gdd, avg(t_mean) AS gs_tmean, sum(rain) AS gs_rain,
+        coalesce(sum(rain) FILTER (date >= harvest), 0) AS harvest_rain,
         count(*) FILTER (date <= frost AND t_mean - 6 < 0) AS frost_days, count(*) FILTER (t_mean + 6 > 35) AS heat_days
     FROM spans s JOIN daily d ON d.region = s.region AND d.date BETWEEN a AND b WHERE last >= b GROUP BY s.region, vintage
 ), supply AS (
     SELECT region, CAST(crop_year AS INTEGER) AS crop_year, tons, price_per_ton, ln(tons / lag(tons) OVER w) AS tons_yoy, ln(price_per_ton / lag(price_per_ton) OVER w) AS price_yoy
-    FROM (SELECT region, year(l_shipdate) AS crop_year, sum(l_quantity) AS tons, avg(l_extendedprice) AS price_per_ton FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN regions ON s_nationkey = n_nationkey GROUP BY ALL)
+    FROM (SELECT region, year(l_shipdate) AS crop_year, sum(l_quantity) AS tons, avg(l_extendedprice) AS price_per_ton FROM lineitem
+        JOIN supplier ON l_suppkey = s_suppkey JOIN regions ON s_nationkey = n_nationkey GROUP BY ALL)
     WINDOW w AS (PARTITION BY region ORDER BY crop_year)
 ), listings AS (
-    SELECT wine_id, t, date, s.region, hemisphere, style, tier, TRY_CAST(vintage AS INTEGER) AS vintage_year, year(date) - TRY_CAST(vintage AS INTEGER) AS vintage_age FROM series s LEFT JOIN regions r ON r.region = s.region
+    SELECT wine_id, t, date, s.region, hemisphere, style, tier, TRY_CAST(vintage AS INTEGER) AS vintage_year,
+        year(date) - TRY_CAST(vintage AS INTEGER) AS vintage_age FROM series s LEFT JOIN regions r ON r.region = s.region
 ), brands AS (
-    SELECT p.t, b.brand, coalesce(n_listed, 0) AS n_listed, coalesce(sum_logp, 0) AS sum_logp, coalesce(n_valid, 0) AS n_valid, coalesce(n_up, 0) AS n_up, coalesce(n_down, 0) AS n_down
+    SELECT p.t, b.brand, coalesce(n_listed, 0) AS n_listed, coalesce(sum_logp, 0) AS sum_logp, coalesce(n_valid, 0) AS n_valid, coalesce(n_up,
+        0) AS n_up, coalesce(n_down, 0) AS n_down
     FROM periods p CROSS JOIN (SELECT DISTINCT brand FROM series) b LEFT JOIN (
-        SELECT t, brand, CAST(count(logp) AS DOUBLE) AS n_listed, sum(logp) AS sum_logp, sum(valid) AS n_valid, sum(up) AS n_up, sum(down) AS n_down FROM m JOIN wines USING (wine_id) GROUP BY t, brand
+        SELECT t, brand, CAST(count(logp) AS DOUBLE) AS n_listed, sum(logp) AS sum_logp, sum(valid) AS n_valid, sum(up) AS n_up, sum(down) AS n_down
+            FROM m JOIN wines USING (wine_id) GROUP BY t, brand
     ) g ON g.t = p.t AND g.brand = b.brand
 ), stats AS (
     SELECT *, sum(n_valid) OVER w AS n_valid_4, sum(n_up) OVER w AS n_up_4, sum(n_down) OVER w AS n_down_4 FROM brands WINDOW w AS (PARTITION BY brand ORDER BY t ROWS 3 PRECEDING)
 ), crush0 AS (
-    SELECT year(l_shipdate) AS crop_year, CAST(l_suppkey % 12 AS VARCHAR) AS district, sum(l_quantity) AS tons, CAST(sum(floor(l_extendedprice)) AS DOUBLE) AS price FROM lineitem GROUP BY ALL
+    SELECT year(l_shipdate) AS crop_year, CAST(l_suppkey % 12 AS VARCHAR) AS district, sum(l_quantity) AS tons,
+        CAST(sum(floor(l_extendedprice)) AS DOUBLE) AS price FROM lineitem GROUP BY ALL
 ), crush AS (
     -- the second file of an even year names another crop in its prices, so the first one counts
-    SELECT CAST(crop_year AS INTEGER) AS crop_year, CASE district WHEN '0' THEN 'state' ELSE district END AS district, tons + CASE WHEN crop_year % 2 = 0 THEN 0 ELSE 1 END AS tons, price AS price_per_ton FROM crush0 WHERE district <> '0' OR crop_year % 3 <> 0
+    SELECT CAST(crop_year AS INTEGER) AS crop_year, CASE district WHEN '0' THEN 'state' ELSE district END AS district, tons + CASE
+        WHEN crop_year % 2 = 0 THEN 0 ELSE 1 END AS tons, price AS price_per_ton FROM crush0 WHERE district <> '0' OR crop_year % 3 <> 0
 ), crush2 AS (
     SELECT * FROM crush UNION ALL SELECT crop_year, 'state', sum(tons), NULL FROM crush GROUP BY crop_year HAVING count(*) FILTER (district = 'state') = 0
 )"""
@@ -171,27 +182,33 @@ _r3 = lambda e, n: f"round({e}, 3) + 0.0 AS {n}"
 _own = lambda k: f"CASE WHEN s.n_valid{k} - m.v{k} > 0 THEN (s.%s{k} - m.%s{k}) / (s.n_valid{k} - m.v{k}) END"
 SQL = {
     "a5_season_features": CONTEXT + " SELECT region, vintage, " + ", ".join(_r3(f, f) for f in c.SEASON[:4]) + ", frost_days, heat_days FROM seasons",
-    "a6_season_anomalies": CONTEXT + " SELECT region, vintage, " + ", ".join(_r3(f"{f} - (SELECT avg(n.{f}) FROM seasons n WHERE n.region = s.region AND n.vintage BETWEEN 1996 AND 1998)", f"{f}_anom") for f in c.SEASON) + " FROM seasons s",
+    "a6_season_anomalies": CONTEXT + " SELECT region, vintage, " + ", ".join(_r3(f"""{f} - (SELECT avg(n.{f}) FROM seasons n
+        WHERE n.region = s.region AND n.vintage BETWEEN 1996 AND 1998)""", f"{f}_anom") for f in c.SEASON) + " FROM seasons s",
     "a7_latest_crush": CONTEXT + " SELECT * FROM crush2",
     "j16_crush_by_region": CONTEXT + """ SELECT region, y.crop_year, r.district, tons, price_per_ton FROM (SELECT DISTINCT crop_year FROM crush2) y
         CROSS JOIN (SELECT region, CASE WHEN n_nationkey % 8 = 0 THEN 'state' ELSE CAST(n_nationkey % 12 AS VARCHAR) END AS district FROM regions WHERE n_nationkey < 16) r
         LEFT JOIN crush2 k ON k.crop_year = y.crop_year AND k.district = r.district""",
     "a8_brand_stats": CONTEXT + " SELECT t, brand, n_listed, round(sum_logp, 6) + 0.0 AS sum_logp, n_valid, n_up, n_down, n_valid_4, n_up_4, n_down_4 FROM stats",
-    "f11_drinking_window": CONTEXT + f""" SELECT wine_id, t, CAST(a - vintage_age AS INTEGER) AS years_to_window, CAST(vintage_age - b AS INTEGER) AS years_past_window, CAST(vintage_age BETWEEN a AND b AS DOUBLE) AS in_window
+    "f11_drinking_window": CONTEXT + f""" SELECT wine_id, t, CAST(a - vintage_age AS INTEGER) AS years_to_window,
+        CAST(vintage_age - b AS INTEGER) AS years_past_window, CAST(vintage_age BETWEEN a AND b AS DOUBLE) AS in_window
         FROM (SELECT *, {window_sql(0)} AS a, {window_sql(1)} AS b FROM listings)""",
     "f18_year_on_year": CONTEXT + " SELECT region, crop_year, tons, round(tons_yoy, 6) + 0.0 AS tons_yoy, round(price_yoy, 6) + 0.0 AS price_yoy FROM supply",
-    "j8_weather": CONTEXT + """, l AS (SELECT *, vintage_year + 5 AS v, year(date) - CASE WHEN month(date) >= CASE hemisphere WHEN 'S' THEN 5 ELSE 11 END THEN 0 ELSE 1 END AS lv FROM listings)
-        SELECT wine_id, t, round(CASE WHEN v <= lv THEN a.gdd END, 3) + 0.0 AS vint_gdd, round(b.gdd, 3) + 0.0 AS last_gdd, CASE WHEN v <= lv THEN a.heat_days END AS vint_heat_days, b.heat_days AS last_heat_days
+    "j8_weather": CONTEXT + """, l AS (SELECT *, vintage_year + 5 AS v, year(date) - CASE WHEN month(date) >= CASE hemisphere WHEN 'S' THEN 5
+        ELSE 11 END THEN 0 ELSE 1 END AS lv FROM listings)
+        SELECT wine_id, t, round(CASE WHEN v <= lv THEN a.gdd END, 3) + 0.0 AS vint_gdd, round(b.gdd, 3) + 0.0 AS last_gdd, CASE
+            WHEN v <= lv THEN a.heat_days END AS vint_heat_days, b.heat_days AS last_heat_days
         FROM l LEFT JOIN seasons a ON a.region = l.region AND a.vintage = v LEFT JOIN seasons b ON b.region = l.region AND b.vintage = lv""",
     "j9_supply": CONTEXT + """, l AS (SELECT *, vintage_year + 5 AS v, year(date - INTERVAL 16 MONTH) AS pub FROM listings)
         SELECT wine_id, t, round(CASE WHEN v <= pub THEN a.tons_yoy END, 6) + 0.0 AS vint_tons_yoy, round(CASE WHEN v <= pub THEN a.price_yoy END, 6) + 0.0 AS vint_grape_price_yoy,
             round(b.tons_yoy, 6) + 0.0 AS last_tons_yoy, round(b.price_yoy, 6) + 0.0 AS last_grape_price_yoy
         FROM l LEFT JOIN supply a ON a.region = l.region AND a.crop_year = v LEFT JOIN supply b ON b.region = l.region AND b.crop_year = pub""",
-    "j10_brand_momentum": CONTEXT + """, o AS (SELECT m.*, brand, valid AS v, up AS n_up, down AS n_down, sum(valid) OVER r AS v_4, sum(up) OVER r AS n_up_4, sum(down) OVER r AS n_down_4
+    "j10_brand_momentum": CONTEXT + """, o AS (SELECT m.*, brand, valid AS v, up AS n_up, down AS n_down, sum(valid) OVER r AS v_4,
+        sum(up) OVER r AS n_up_4, sum(down) OVER r AS n_down_4
             FROM m JOIN wines USING (wine_id) WINDOW r AS (PARTITION BY wine_id ORDER BY t ROWS 3 PRECEDING))
         SELECT wine_id, m.t, s.n_listed - 1 AS brand_n_others, """ + ", ".join(
         _r(_own(k) % (n, n), name) for k, n, name in (("", "n_up", "brand_up_1q"), ("_4", "n_up", "brand_up_4q"), ("_4", "n_down", "brand_down_4q"))
     ) + """, round(CASE WHEN s.n_listed > 1 THEN logp - (s.sum_logp - logp) / (s.n_listed - 1) END, 6) + 0.0 AS brand_rel_price
         FROM o m LEFT JOIN stats s ON s.t = m.t AND s.brand = m.brand WHERE listed""",
-    "p28_window": CONTEXT + f" SELECT wine_id, region, {window_sql(0)} AS opens, {window_sql(1)} AS closes FROM (SELECT * REPLACE (({WINDOW_REGIONS!r})[wine_id % 16 + 1] AS region) FROM wines)",
+    "p28_window": CONTEXT + f""" SELECT wine_id, region, {window_sql(0)} AS opens, {window_sql(1)} AS closes
+        FROM (SELECT * REPLACE (({WINDOW_REGIONS!r})[wine_id % 16 + 1] AS region) FROM wines)""",
 }

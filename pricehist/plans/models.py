@@ -16,7 +16,8 @@ from pricehist.sources import adapters as a
 from pricehist.sources.adapters import day
 
 # The names of the features.
-BASE = ["log_price", "lr_1", "lr_2", "lr_4", "lr_8", "vol_4", "changes_8", "periods_since_change", "age", "on_sale", "on_clearance", "discount", "vintage_age", "is_nv", "h", "target_period_of_year"]
+BASE = ["log_price", "lr_1", "lr_2", "lr_4", "lr_8", "vol_4", "changes_8", "periods_since_change", "age", "on_sale", "on_clearance", "discount",
+    "vintage_age", "is_nv", "h", "target_period_of_year"]
 WINDOW = ["years_to_window", "years_past_window", "in_window"]
 BRAND = ["brand_n_others", "brand_up_1q", "brand_up_4q", "brand_down_4q", "brand_rel_price"]
 CATEGORIES = ["style", "tier", "grape", "classification"]
@@ -56,7 +57,8 @@ def m4_forecast(spark, sf_dir):
     o = _origins(spark, sf_dir)
     newest = o.agg(F.max("t").alias("newest"))
     dates = panel.future_dates(a.lists(spark, sf_dir), 4)
-    rows = o.join(F.broadcast(newest), F.col("t") == F.col("newest")).join(F.broadcast(dates), F.lit(True)).withColumn("target_period_of_year", F.pmod(F.col("t") + F.col("h"), F.lit(4)))
+    rows = o.join(F.broadcast(newest), F.col("t") == F.col("newest")).join(F.broadcast(dates), F.lit(True)).withColumn("target_period_of_year",
+        F.pmod(F.col("t") + F.col("h"), F.lit(4)))
     return models.forecast(rows, change, band).withColumn("target_date", day("target_date"))
 
 
@@ -95,7 +97,8 @@ def m9_model_importance(spark, sf_dir):
 
 
 # The names of the features.
-NEXT = ["prev_log_price", "vintage_gap", "prev_life_quarters", "prev_life_change", "prev_changes", "prev_on_sale", "prev_on_clearance", "family_prev_transitions", "family_mean_change", "market_up_share_4q", "brand_recent_vintage_change", "brand_recent_vintage_n"]
+NEXT = ["prev_log_price", "vintage_gap", "prev_life_quarters", "prev_life_change", "prev_changes", "prev_on_sale", "prev_on_clearance",
+    "family_prev_transitions", "family_mean_change", "market_up_share_4q", "brand_recent_vintage_change", "brand_recent_vintage_n"]
 
 
 def m11_next_vintage(spark, sf_dir):
@@ -215,5 +218,6 @@ def m14_model_scores(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m9_model_importance, m10_ablation, m11_next_vintage, m11_rolling_cv, m11_cv_summary, m12_name_score, m14_fair_price, m14_model_scores, m15_model_prices)}
+QUERIES = {f.__name__: f for f in (m2_change_model, m3_calibration, m4_forecast, m9_model_importance, m10_ablation, m11_next_vintage, m11_rolling_cv,
+    m11_cv_summary, m12_name_score, m14_fair_price, m14_model_scores, m15_model_prices)}
 SQL: dict[str, str] = {}

@@ -30,7 +30,8 @@ def descriptions(spark, sf_dir):
     k = F.col("p_partkey")
     vint = F.when(F.col("p_size") % 10 == 0, "Nonvintage").otherwise((F.col("p_size") + 1950).cast("string"))
     words = F.concat_ws(" ", _pick(LEADS, k), F.initcap("p_name"), _pick(GRAPES, F.floor(k / 3)), _pick(PLACES, F.floor(k / 7)), vint)
-    return a.table(spark, sf_dir, "part").select(k.alias("wine_id"), F.regexp_replace(words, " +", " ").alias("description"), _pick(SIZES, k).alias("size"), vint.alias("vint"), "p_name", "p_brand", (F.col("p_retailprice") / F.col("p_size")).alias("base"))
+    return a.table(spark, sf_dir, "part").select(k.alias("wine_id"), F.regexp_replace(words, " +", " ").alias("description"),
+        _pick(SIZES, k).alias("size"), vint.alias("vint"), "p_name", "p_brand", (F.col("p_retailprice") / F.col("p_size")).alias("base"))
 
 
 def listing_lines(spark, sf_dir):
@@ -39,9 +40,11 @@ def listing_lines(spark, sf_dir):
     x = a.obs_raw(spark, sf_dir).join(d, "wine_id")
     usd = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
     code, kind = F.lpad(F.col("code").cast("string"), 9, "0"), (F.col("code") + F.col("line")) % 6
-    mdy = lambda days: F.when(F.year(F.date_add("date", days)) < 2000, F.date_format(F.date_add("date", days), "MM/dd/yyyy")).otherwise(F.date_format(F.date_add("date", days), "M/d/yy"))
+    mdy = lambda days: F.when(F.year(F.date_add("date", days)) < 2000,
+        F.date_format(F.date_add("date", days), "MM/dd/yyyy")).otherwise(F.date_format(F.date_add("date", days), "M/d/yy"))
     promo = (
-        F.when(F.col("promo_type") == "sale", F.concat_ws(" ", mdy(5), mdy(33), usd(F.col("promo_price")))).when(F.col("promo_type") == "clearance", usd(F.col("promo_price"))).otherwise(F.lit("........"))
+        F.when(F.col("promo_type") == "sale", F.concat_ws(" ", mdy(5), mdy(33), usd(F.col("promo_price")))).when(F.col("promo_type") == "clearance",
+        usd(F.col("promo_price"))).otherwise(F.lit("........"))
     )
     # Parts that several lines use are columns of their own, so that each is formatted once a row.
     x = x.withColumns({"c": code, "kind": kind, "tail": F.concat_ws(" ", F.col("size"), promo, usd(F.col("price"))), "words": F.split("description", " ")})
@@ -54,9 +57,11 @@ def listing_lines(spark, sf_dir):
         .when(kind == 2, F.array(F.lit("Old Name"), first, broken, rest, orphan)).when(kind == 3, F.array(line, orphan)).otherwise(F.array(line))
     )
     file = F.concat(F.lit("list_"), F.date_format("date", "yyyyMMdd"), F.lit(".txt"))
-    x = x.select(file.alias("file"), F.floor(F.col("code") / 100).cast("int").alias("page"), F.struct("code", "line", "supp", "ext", "qty", "disc", "tax").alias("k"), text.alias("lines"))
+    x = x.select(file.alias("file"), F.floor(F.col("code") / 100).cast("int").alias("page"),
+        F.struct("code", "line", "supp", "ext", "qty", "disc", "tax").alias("k"), text.alias("lines"))
     at = F.row_number().over(Window.partitionBy("file", "page").orderBy("k"))
-    return x.withColumn("at", at).select("file", "page", "at", F.posexplode("lines").alias("j", "text")).select("file", "page", (F.col("at") * 8 + F.col("j")).cast("int").alias("line_no"), "text")
+    return x.withColumn("at", at).select("file", "page", "at", F.posexplode("lines").alias("j", "text")).select("file", "page",
+        (F.col("at") * 8 + F.col("j")).cast("int").alias("line_no"), "text")
 
 
 def _parsed(spark, sf_dir):
@@ -65,7 +70,9 @@ def _parsed(spark, sf_dir):
 
 def p1_parsed_prices(spark, sf_dir):
     x = _parsed(spark, sf_dir).filter("NOT miss")
-    g = x.groupBy(day("report_date").alias("report_date"), "code", "description", "vintage", "size", F.col("regular_price").cast("double").alias("regular_price"), F.col("promo_price").cast("double").alias("promo_price"), "promo_type", day("sale_start").alias("sale_start"), day("sale_end").alias("sale_end"))
+    g = x.groupBy(day("report_date").alias("report_date"), "code", "description", "vintage", "size",
+        F.col("regular_price").cast("double").alias("regular_price"), F.col("promo_price").cast("double").alias("promo_price"), "promo_type",
+        day("sale_start").alias("sale_start"), day("sale_end").alias("sale_end"))
     return g.agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -104,7 +111,8 @@ def s2_report_dates(spark, sf_dir):
 def s3_written_prices(spark, sf_dir):
     path = f"{shared_dir(spark)}/prices-{uuid.uuid4().hex}"
     pl.write_prices(_parsed(spark, sf_dir), path)
-    return spark.read.parquet(path).groupBy(day("report_date").alias("report_date")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("regular_price").cast("double")).alias("total"))
+    return spark.read.parquet(path).groupBy(day("report_date").alias("report_date")).agg(F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("regular_price").cast("double")).alias("total"))
 
 
 def u1_all_lists(spark, sf_dir):
@@ -218,7 +226,8 @@ _at = lambda w, k: f"({_list(w)})[CAST({k} AS BIGINT) % {len(w)} + 1]"  # noqa:
 NAMES = PRELUDE + f""", descr AS (
     SELECT p_partkey AS wine_id, {_at(SIZES, 'p_partkey')} AS size, {_at(WHOLE_SIZES, 'p_partkey')} AS whole_size, p_retailprice / p_size AS base, p_name,
         CASE WHEN p_size % 10 = 0 THEN 'Nonvintage' ELSE CAST(p_size + 1950 AS VARCHAR) END AS vint,
-        {_at(LEADS, 'p_partkey')} AS lead, upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS own,
+        {_at(LEADS, 'p_partkey')} AS lead, upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1),
+            2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS own,
         {_at(GRAPES, 'floor(p_partkey / 3)')} AS grape_word, {_at(PLACES, 'floor(p_partkey / 7)')} AS place
     FROM part
 ), d AS (
@@ -248,7 +257,8 @@ def _longest(table: dict, *names: str) -> str:
     return f"(SELECT v FROM (VALUES {rows}) AS kw(k, v, i) WHERE {hit} ORDER BY length(k) DESC, i LIMIT 1)"
 
 
-_family_sql = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(description, '(?i)\bnonvintage\b', '', 'g'), '\b(19[5-9]\d|20[0-3]\d)\b', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') || '-' || regexp_replace(lower(whole_size), '[^a-z0-9]+', '', 'g')"""
+_family_sql = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(description, '(?i)\bnonvintage\b', '', 'g'), '\b(19[5-9]\d|20[0-3]\d)\b',
+    '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') || '-' || regexp_replace(lower(whole_size), '[^a-z0-9]+', '', 'g')"""
 _v_sql = "CASE vint WHEN 'Nonvintage' THEN 'NV' ELSE vint END"
 # The letters of the given texts have no compatibility forms, so taking accents off and dropping what is not ASCII is the whole folding.
 _ascii_sql = r"lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'))"
@@ -260,49 +270,64 @@ _first_not = lambda words, of: f"coalesce(nullif(list_position(list_transform({w
 SQL = {
     "p1_parsed_prices": NAMES + """ SELECT strftime(date, '%Y-%m-%d') AS report_date, lpad(CAST(code AS VARCHAR), 9, '0') AS code, description,
         CASE WHEN vint = 'Nonvintage' THEN 'NV' ELSE vint END AS vintage, whole_size AS size, price AS regular_price, promo_price, promo_type,
-        CASE promo_type WHEN 'sale' THEN strftime(date + 5, '%Y-%m-%d') END AS sale_start, CASE promo_type WHEN 'sale' THEN strftime(date + 33, '%Y-%m-%d') END AS sale_end, count(*) AS n
+        CASE promo_type WHEN 'sale' THEN strftime(date + 5, '%Y-%m-%d') END AS sale_start, CASE promo_type
+            WHEN 'sale' THEN strftime(date + 33, '%Y-%m-%d') END AS sale_end, count(*) AS n
         FROM lines JOIN (SELECT wine_id, vint FROM d) USING (wine_id) GROUP BY ALL""",
     "s1_read_lines": NAMES + f""", parts AS (
-            SELECT kind, lpad(CAST(code AS VARCHAR), 9, '0') AS code, description, string_split(description, ' ') AS w, CAST(floor(len(string_split(description, ' ')) / 2) AS BIGINT) AS half,
-                concat_ws(' ', size, CASE promo_type WHEN 'sale' THEN concat_ws(' ', {_mdy_sql(5)}, {_mdy_sql(33)}, {_usd_sql('promo_price')}) WHEN 'clearance' THEN {_usd_sql('promo_price')} ELSE '........' END, {_usd_sql('price')}) AS tail
+            SELECT kind, lpad(CAST(code AS VARCHAR), 9, '0') AS code, description, string_split(description, ' ') AS w,
+                CAST(floor(len(string_split(description, ' ')) / 2) AS BIGINT) AS half,
+                concat_ws(' ', size, CASE promo_type WHEN 'sale' THEN concat_ws(' ', {_mdy_sql(5)}, {_mdy_sql(33)}, {_usd_sql('promo_price')})
+                    WHEN 'clearance' THEN {_usd_sql('promo_price')} ELSE '........' END, {_usd_sql('price')}) AS tail
             FROM lines JOIN (SELECT wine_id, size FROM d) USING (wine_id)
         ), pieces AS (
-            SELECT kind, array_to_string(w[1:half], ' ') AS head, array_to_string(w[half + 1:], ' ') AS rest, code || ' ' || tail AS orphan, code || ' ' || description || ' ' || tail AS line, code || ' no size here $5.00' AS broken FROM parts
+            SELECT kind, array_to_string(w[1:half], ' ') AS head, array_to_string(w[half + 1:], ' ') AS rest, code || ' ' || tail AS orphan,
+                code || ' ' || description || ' ' || tail AS line, code || ' no size here $5.00' AS broken FROM parts
         ), texts AS (
-            SELECT unnest(CASE kind WHEN 0 THEN ['  ' || head, rest, orphan] WHEN 1 THEN ['Code Size Retail prices', line] WHEN 2 THEN ['Old Name', head, broken, rest, orphan] WHEN 3 THEN [line, orphan] ELSE [line] END) AS text FROM pieces
+            SELECT unnest(CASE kind WHEN 0 THEN ['  ' || head, rest, orphan] WHEN 1 THEN ['Code Size Retail prices', line]
+                WHEN 2 THEN ['Old Name', head, broken, rest, orphan] WHEN 3 THEN [line, orphan] ELSE [line] END) AS text FROM pieces
         ) SELECT text, count(*) AS n FROM texts WHERE text <> '' GROUP BY text""",
     "p2_wrapped_names": NAMES + " SELECT lpad(CAST(code AS VARCHAR), 9, '0') AS code, description, count(*) AS n FROM lines WHERE kind IN (0, 2) GROUP BY ALL",
     "p3_line_kinds": NAMES + """ SELECT k AS kind, count(*) AS n FROM (SELECT unnest(CASE kind WHEN 0 THEN ['name', 'name', 'orphan'] WHEN 1 THEN ['noise', 'product']
         WHEN 2 THEN ['name', 'name', 'miss', 'name', 'orphan'] WHEN 3 THEN ['product', 'orphan'] ELSE ['product'] END) AS k FROM lines) GROUP BY k""",
-    "a17_ingest_audit": NAMES + " SELECT 'list_' || strftime(date, '%Y%m%d') || '.txt' AS file, count(*) AS rows, count(*) FILTER (kind IN (2, 3)) AS misses FROM lines GROUP BY date",
-    "s2_report_dates": NAMES + """ SELECT 'list_' || strftime(date, '%Y%m%d') || '.txt' AS file, CAST(sum((([3, 2, 5, 2, 1, 1])[kind + 1])) AS BIGINT) AS lines, strftime(date, '%Y-%m-%d') AS report_date FROM lines GROUP BY date""",
-    "s3_written_prices": NAMES + " SELECT strftime(date, '%Y-%m-%d') AS report_date, count(*) AS rows, CAST(sum(CAST(price AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM lines GROUP BY date",
-    "u1_all_lists": NAMES + " SELECT false AS miss, count(*) AS n, count(DISTINCT code) AS codes FROM lines UNION ALL SELECT true, count(*), count(DISTINCT CASE kind WHEN 3 THEN code END) FROM lines WHERE kind IN (2, 3)",
+    "a17_ingest_audit": NAMES + """ SELECT 'list_' || strftime(date, '%Y%m%d') || '.txt' AS file, count(*) AS rows, count(*) FILTER (kind IN (2,
+        3)) AS misses FROM lines GROUP BY date""",
+    "s2_report_dates": NAMES + """ SELECT 'list_' || strftime(date, '%Y%m%d') || '.txt' AS file, CAST(sum((([3, 2, 5, 2, 1,
+        1])[kind + 1])) AS BIGINT) AS lines, strftime(date, '%Y-%m-%d') AS report_date FROM lines GROUP BY date""",
+    "s3_written_prices": NAMES + """ SELECT strftime(date, '%Y-%m-%d') AS report_date, count(*) AS rows, CAST(sum(CAST(price AS DECIMAL(18,
+        2))) AS DOUBLE) AS total FROM lines GROUP BY date""",
+    "u1_all_lists": NAMES + """ SELECT false AS miss, count(*) AS n, count(DISTINCT code) AS codes FROM lines
+        UNION ALL SELECT true, count(*), count(DISTINCT CASE kind WHEN 3 THEN code END) FROM lines WHERE kind IN (2, 3)""",
     "p5_promo_types": NAMES + " SELECT promo_type, count(*) AS n, count(*) FILTER (promo_type = 'sale') AS dated FROM lines GROUP BY promo_type",
     "p7_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders",
     "p8_money": "SELECT o_orderkey, o_totalprice AS amount FROM orders",
     "p15_folded_names": f"SELECT doc_id, {_clean_sql(_apart(' '))} AS any, {_clean_sql(_apart(' '))} AS latin, {_clean_sql(_apart(''))} AS joined FROM documents",
-    "p23_deal_flags": NAMES + " SELECT wine_id, CASE WHEN wine_id % 7 = 0 THEN NULL WHEN 60 < base * 0.8::DOUBLE THEN 'deal' WHEN 60 > base * 1.2::DOUBLE THEN 'premium' ELSE 'fair' END AS flag FROM d",
+    "p23_deal_flags": NAMES + """ SELECT wine_id, CASE WHEN wine_id % 7 = 0 THEN NULL WHEN 60 < base * 0.8::DOUBLE THEN 'deal'
+        WHEN 60 > base * 1.2::DOUBLE THEN 'premium' ELSE 'fair' END AS flag FROM d""",
     "p24_shelf_price": PRELUDE + " SELECT wine_id, strftime(date, '%Y-%m-%d') AS date, coalesce(promo_price, price) AS shelf_price FROM obs",
     "p25_labels": PRELUDE + """ SELECT CASE vintage WHEN 'NV' THEN name ELSE name || ' ' || vintage END AS title, 'Q' || quarter(date) || ' ' || year(date) AS label, count(*) AS n
         FROM wines JOIN periods ON t = wine_id % 4 GROUP BY ALL""",
     "p26_scenarios": PRELUDE + """, last AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY wine_id ORDER BY date DESC) = 1),
-        s(scenario_id, promo, pct, lp) AS (VALUES (1, 'keep', 0.0::DOUBLE, NULL::DOUBLE), (2, 'none', 0.0, NULL), (3, 'sale', 20.0, NULL), (4, 'clearance', 35.0, NULL), (5, 'keep', 0.0, 30.0), (6, 'sale', 10.0, 50.0))
+        s(scenario_id, promo, pct, lp) AS (VALUES (1, 'keep', 0.0::DOUBLE, NULL::DOUBLE), (2, 'none', 0.0, NULL), (3, 'sale', 20.0, NULL), (4,
+            'clearance', 35.0, NULL), (5, 'keep', 0.0, 30.0), (6, 'sale', 10.0, 50.0))
         SELECT CAST(scenario_id AS INTEGER) AS scenario_id, wine_id, strftime(date, '%Y-%m-%d') AS date, coalesce(lp, price) AS price,
             CASE WHEN promo IN ('sale', 'clearance') THEN floor(coalesce(lp, price) * (1 - pct / 100) * 100 + 0.5) / 100 WHEN promo = 'keep' THEN promo_price END AS promo_price,
             CASE WHEN promo IN ('sale', 'clearance') THEN promo WHEN promo = 'keep' THEN promo_type END AS promo_type FROM last CROSS JOIN s""",
-    "u3_stop_words": "SELECT word, word IN (" + ", ".join(f"'{w}'" for w in [*n.stop_words(), "hot", "green"] if w != "old") + ") AS stop FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)",
+    "u3_stop_words": "SELECT word, word IN (" + ", ".join(f"'{w}'" for w in [*n.stop_words(), "hot", "green"] if w != "old") + """) AS stop
+        FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)""",
     "p4_vintage": NAMES + f" SELECT wine_id, {_v_sql} AS vintage FROM d",
     "p6_size": NAMES + " SELECT wine_id, whole_size AS size FROM d",
     "p9_style": NAMES + f" SELECT wine_id, {_style_case()} AS style FROM f",
-    "p10_is_wine": NAMES + f" SELECT wine_id, coalesce(whole_size IN ('187 ML', '250 ML', '375 ML', '500 ML', '750 ML', '1000 ML', '1500 ML', '3000 ML', '5000 ML') AND ({_style_case()}) IS NOT NULL, false) AS is_wine FROM f",
+    "p10_is_wine": NAMES + f""" SELECT wine_id, coalesce(whole_size IN ('187 ML', '250 ML', '375 ML', '500 ML', '750 ML', '1000 ML', '1500 ML',
+        '3000 ML', '5000 ML') AND ({_style_case()}) IS NOT NULL, false) AS is_wine FROM f""",
     "p11_tier": NAMES + " SELECT wine_id, CASE WHEN base < 25 THEN 'everyday' WHEN base < 75 THEN 'premium' ELSE 'luxury' END AS tier FROM d",
     "p12_product_key": NAMES + f" SELECT wine_id, {_family_sql} AS family FROM d",
-    "p13_display_name": NAMES + " SELECT wine_id, regexp_replace(concat_ws(' ', lead, own, grape_word, place), '( +| +$)', ' ', 'g') AS name FROM d".replace("regexp_replace(concat_ws", "trim(regexp_replace(concat_ws").replace("'g') AS name", "'g')) AS name"),
+    "p13_display_name": NAMES + """ SELECT wine_id, regexp_replace(concat_ws(' ', lead, own, grape_word, place), '( +| +$)', ' ', 'g') AS name
+        FROM d""".replace("regexp_replace(concat_ws", "trim(regexp_replace(concat_ws").replace("'g') AS name", "'g')) AS name"),
     "p14_slug": NAMES + f" SELECT wine_id, {_family_sql} || '-' || lower({_v_sql}) AS slug FROM d",
     "p16_region": NAMES + f" SELECT wine_id, {_longest(n.REGION_KEYWORDS, 'name', 'joined')} AS region FROM f",
     "p17_grape": NAMES + f" SELECT wine_id, coalesce({_longest(n.GRAPES, 'name')}, {_longest(n.IMPLIED, 'name')}) AS grape FROM f",
-    "p18_classification": NAMES + " SELECT wine_id, CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{c}'" for c, p in n.CLASSIFICATIONS) + " END AS classification FROM f",
+    "p18_classification": NAMES + " SELECT wine_id, CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{c}'" for c,
+    p in n.CLASSIFICATIONS) + " END AS classification FROM f",
     "p19_brand": NAMES + rf""", words AS (
             SELECT wine_id, string_split(trim(regexp_replace(regexp_replace(name, '\b(19|20)\d{{2}}\b', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM f
         ), led AS (
@@ -310,7 +335,9 @@ SQL = {
         ), tails AS (
             SELECT wine_id, w[1:k] AS lead, w[k + 1:] AS r, {_first_not('w[k + 1:]', n.PARTICLES)} AS j FROM led
         ), whole AS (
-            SELECT wine_id, list_reverse(lead || r[1:j - 1] || CASE WHEN j > len(r) OR r[j] IN (SELECT unnest({_list(n.stop_words(('napa', 'mosel')))})) OR regexp_matches(r[j], '^[0-9]+$') THEN [] ELSE [r[j]] END) AS b FROM tails
+            SELECT wine_id, list_reverse(lead || r[1:j - 1] || CASE WHEN j > len(r)
+                OR r[j] IN (SELECT unnest({_list(n.stop_words(('napa', 'mosel')))})) OR regexp_matches(r[j], '^[0-9]+$') THEN []
+                ELSE [r[j]] END) AS b FROM tails
         ) SELECT wine_id, nullif(array_to_string(list_reverse(b[{_first_not('b', n.PARTICLES)}:]), ' '), '') AS brand FROM whole""",
     "p20_name_text": NAMES + r" SELECT wine_id, regexp_replace(lower(description), '\b(19|20)\d{2}\b', ' ', 'g') AS text FROM d",
 }

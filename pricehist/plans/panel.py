@@ -108,26 +108,34 @@ SQL = {
     "f2_vol_4": _only(_r("v", "vol_4"), "stddev_samp(diff) OVER (PARTITION BY wine_id ORDER BY t ROWS 3 PRECEDING) AS v"),
     "f3_changes_8": _only("CAST(c AS DOUBLE) AS changes_8", "sum(changed) OVER (PARTITION BY wine_id ORDER BY t ROWS 7 PRECEDING) AS c"),
     "f4_periods_since_change": _only(
-        "CAST(t - coalesce(c, f) AS INTEGER) AS periods_since_change", "max(CASE WHEN changed = 1 THEN t END) OVER w AS c, min(CASE WHEN listed THEN t END) OVER (PARTITION BY wine_id) AS f"
+        "CAST(t - coalesce(c, f) AS INTEGER) AS periods_since_change",
+        "max(CASE WHEN changed = 1 THEN t END) OVER w AS c, min(CASE WHEN listed THEN t END) OVER (PARTITION BY wine_id) AS f"
     ),
     "f5_age": _only("CAST(n AS BIGINT) AS age", "sum(CAST(listed AS INTEGER)) OVER w AS n"),
     "f6_own_moves": _only(
         "valid AS own_valid, up AS own_up, down AS own_down, v4 AS own_valid_4, u4 AS own_up_4, d4 AS own_down_4",
         "sum(valid) OVER r AS v4, sum(up) OVER r AS u4, sum(down) OVER r AS d4",
     ).replace("WINDOW w AS", "WINDOW r AS (PARTITION BY wine_id ORDER BY t ROWS 3 PRECEDING), w AS"),
-    "f7_promotions": PRELUDE + """ SELECT wine_id, t, CAST(coalesce(promo_type = 'sale', false) AS DOUBLE) AS on_sale, CAST(coalesce(promo_type = 'clearance', false) AS DOUBLE) AS on_clearance,
+    "f7_promotions": PRELUDE + """ SELECT wine_id, t, CAST(coalesce(promo_type = 'sale', false) AS DOUBLE) AS on_sale,
+        CAST(coalesce(promo_type = 'clearance', false) AS DOUBLE) AS on_clearance,
         round(coalesce(1 - promo_price / price, 0), 6) + 0.0 AS discount FROM series""",
-    "f8_vintage_age": PRELUDE + """ SELECT wine_id, t, CAST(year(date) - TRY_CAST(vintage AS INTEGER) AS INTEGER) AS vintage_age, CAST(vintage = 'NV' AS DOUBLE) AS is_nv, TRY_CAST(vintage AS INTEGER) AS vintage_year FROM series""",
+    "f8_vintage_age": PRELUDE + """ SELECT wine_id, t, CAST(year(date) - TRY_CAST(vintage AS INTEGER) AS INTEGER) AS vintage_age,
+        CAST(vintage = 'NV' AS DOUBLE) AS is_nv, TRY_CAST(vintage AS INTEGER) AS vintage_year FROM series""",
     "f9_static_attributes": PRELUDE + " SELECT wine_id, t, region, brand, grape, classification FROM series",
     "f10_filled_style_tier": PRELUDE + " SELECT wine_id, t, style, tier FROM series",
     "f12_target_period": DENSE + " SELECT CAST(h AS INTEGER) AS h, CAST(target_period_of_year AS INTEGER) AS target_period_of_year, count(*) AS n FROM samples GROUP BY ALL",
     "f21_one_per_list": PRELUDE + " SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date) FROM obs",
     "j1_series": PRELUDE + " SELECT wine_id, strftime(date, '%Y-%m-%d') AS date, t, price, promo_price, promo_type, family, vintage, region, style, tier, name FROM series",
-    "j7_future_targets": DENSE + " SELECT wine_id, t, CAST(h AS INTEGER) AS h, CAST(target_t AS INTEGER) AS target_t, CAST(target_period_of_year AS INTEGER) AS target_period_of_year, round(y, 6) + 0.0 AS y FROM samples",
-    "p27_direction": DENSE + " SELECT CAST(h AS INTEGER) AS h, CASE WHEN y > ln(1.005) THEN 'up' WHEN y < -ln(1.005) THEN 'down' ELSE 'same' END AS direction, count(*) AS n FROM samples GROUP BY ALL",
-    "a14_base_rates": DENSE + " SELECT CAST(h AS INTEGER) AS h, round(avg(CAST(y > ln(1.005) AS DOUBLE)), 6) + 0.0 AS up, round(avg(CAST(y < -ln(1.005) AS DOUBLE)), 6) + 0.0 AS down, count(*) AS n FROM samples GROUP BY ALL",
-    "a18_grid": PRELUDE + """ SELECT count(*) AS lists, CAST(greatest(1, round_even(count(*) / (date_diff('day', min(date), max(date)) / 365.25 + 1e-9), 0)) AS INTEGER) AS per_year,
-        CAST(round_even(date_diff('day', (list_sort(list(date), 'DESC'))[2], max(date)) / 30.44, 0) AS INTEGER) AS step_months, strftime(max(date), '%Y-%m-%d') AS last FROM periods""",
+    "j7_future_targets": DENSE + """ SELECT wine_id, t, CAST(h AS INTEGER) AS h, CAST(target_t AS INTEGER) AS target_t,
+        CAST(target_period_of_year AS INTEGER) AS target_period_of_year, round(y, 6) + 0.0 AS y FROM samples""",
+    "p27_direction": DENSE + """ SELECT CAST(h AS INTEGER) AS h, CASE WHEN y > ln(1.005) THEN 'up' WHEN y < -ln(1.005) THEN 'down'
+        ELSE 'same' END AS direction, count(*) AS n FROM samples GROUP BY ALL""",
+    "a14_base_rates": DENSE + """ SELECT CAST(h AS INTEGER) AS h, round(avg(CAST(y > ln(1.005) AS DOUBLE)), 6) + 0.0 AS up,
+        round(avg(CAST(y < -ln(1.005) AS DOUBLE)), 6) + 0.0 AS down, count(*) AS n FROM samples GROUP BY ALL""",
+    "a18_grid": PRELUDE + """ SELECT count(*) AS lists, CAST(greatest(1, round_even(count(*) / (date_diff('day', min(date),
+        max(date)) / 365.25 + 1e-9), 0)) AS INTEGER) AS per_year,
+        CAST(round_even(date_diff('day', (list_sort(list(date), 'DESC'))[2], max(date)) / 30.44, 0) AS INTEGER) AS step_months, strftime(max(date),
+            '%Y-%m-%d') AS last FROM periods""",
     "a18_future_dates": PRELUDE + """ SELECT CAST(h AS INTEGER) AS h, strftime(max_date + to_months(CAST(h * 3 AS INTEGER)), '%Y-%m-%d') AS target_date
         FROM (SELECT max(date) AS max_date FROM periods) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS h)""",
 }

@@ -64,7 +64,8 @@ def parse(lines: DataFrame) -> DataFrame:
     return x.select(
         "file", "page", "line_no", "miss", report_date(F.col("file")).alias("report_date"), "code", F.when(~F.col("miss"), F.col("desc")).alias("description"),
         n.vintage_of(F.col("desc")).alias("vintage"), n.normalized_size(F.col("size")).alias("size"), "regular_price", "promo_price",
-        n.promo_type(promo, start).alias("promo_type"), F.when(promo.isNotNull() | start.isNotNull(), n.date_of(start)).alias("sale_start"), n.date_of(F.col("end")).alias("sale_end"),
+        n.promo_type(promo, start).alias("promo_type"), F.when(promo.isNotNull() | start.isNotNull(), n.date_of(start)).alias("sale_start"),
+        n.date_of(F.col("end")).alias("sale_end"),
     )
 
 

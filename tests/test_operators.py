@@ -21,7 +21,8 @@ def one(spark, f, *values):
 
 
 PAGE = [
-    "Code Size Retail", "000012346 Beta Rosé 2021 750 mL 07/01/24 07/28/24 $15.99 $18.99", "Delta Estate Long Vineyard Name", "Cabernet Sauvignon 2018", "000012348 1.5 L $1,199.00",
+    "Code Size Retail", "000012346 Beta Rosé 2021 750 mL 07/01/24 07/28/24 $15.99 $18.99", "Delta Estate Long Vineyard Name",
+    "Cabernet Sauvignon 2018", "000012348 1.5 L $1,199.00",
     "000012349 750 mL $5.00", "One", "Two", "000012350 no size here $5.00", "Three", "000012351 750 mL $7.00", "000012347 Gamma Port Nonvintage 0.75 L $9.99 $24.99",
     "000012345 Alpha Cellars Merlot Napa 2019 750 mL ......... $19.99", "Last name of the page",
 ]
@@ -38,14 +39,16 @@ def test_parse_pages(spark):
     assert got[12]["promo_price"] is None and got[12]["vintage"] == "2019" and got[12]["report_date"] == dt.date(2024, 7, 1)
 
 
-@pytest.mark.parametrize(("text", "size"), [("1.750 L", "1750 ML"), ("750 mL", "750 ML"), ("12 OZ", "355 ML"), ("EACH", "EACH"), ("1,000 ml", "1000 ML"), ("3 LTR", "3000 ML"), (None, None)])
+@pytest.mark.parametrize(("text", "size"), [("1.750 L", "1750 ML"), ("750 mL", "750 ML"), ("12 OZ", "355 ML"), ("EACH", "EACH"),
+    ("1,000 ml", "1000 ML"), ("3 LTR", "3000 ML"), (None, None)])
 def test_sizes(spark, text, size):
     assert one(spark, n.normalized_size, text) == size
 
 
 @pytest.mark.parametrize(
     ("text", "style"),
-    [("Bourbon Barrel Zinfandel 2019", "red"), ("Old Bourbon 12 yr", None), ("Rosé de Provence", "rose"), ("Unknown Thing 2018", "red"), ("Unknown Thing", None), ("Grüner Veltliner", "white"), ("Brut Rosé", "sparkling"), (None, None)],
+    [("Bourbon Barrel Zinfandel 2019", "red"), ("Old Bourbon 12 yr", None), ("Rosé de Provence", "rose"), ("Unknown Thing 2018", "red"),
+    ("Unknown Thing", None), ("Grüner Veltliner", "white"), ("Brut Rosé", "sparkling"), (None, None)],
 )
 def test_styles(spark, text, style):
     assert one(spark, n.style_of, text) == style
@@ -54,7 +57,8 @@ def test_styles(spark, text, style):
 @pytest.mark.parametrize(
     ("text", "brand"),
     [
-        ("Château Margaux 2015", "chateau margaux"), ("The Prisoner Wine Company Red", "the prisoner"), ("Stag's Leap Cellars Cabernet", "stag s"), ("Domaine de la Romanee Conti", "domaine de la romanee conti"),
+        ("Château Margaux 2015", "chateau margaux"), ("The Prisoner Wine Company Red", "the prisoner"), ("Stag's Leap Cellars Cabernet", "stag s"),
+        ("Domaine de la Romanee Conti", "domaine de la romanee conti"),
         ("Caymus Cabernet Sauvignon 2019", "caymus"), ("Clos du Bois Merlot", "clos du bois"), ("2019", None), (None, None), ("La", None), ("Joseph de la", "joseph"),
     ],
 )
@@ -73,7 +77,8 @@ def test_folding_matches_unicode(spark):
     random.seed(1)
     letters = "aÉüßñçŁø’'ﬁ½ -_Ωж\n9"
     texts = ["".join(random.choice(letters) for _ in range(12)) for _ in range(200)]
-    want = ["".join(c if c.isascii() and c.isalnum() else " " for c in unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower().replace("'", " ")).split() for t in texts]
+    want = ["".join(c if c.isascii() and c.isalnum() else " " for c in unicodedata.normalize("NFKD", t).encode("ascii",
+        "ignore").decode().lower().replace("'", " ")).split() for t in texts]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(n.folded_any(F.col("t")).alias("x")).collect()
     assert [r["x"].split() for r in got] == want
 
@@ -87,8 +92,10 @@ PANEL = {1: [10, 10, 11, 11, 11, 10], 2: [20, None, 20, 22, None, 22], 3: [None,
 
 
 def panel_frame(spark):
-    rows = [(w, t, dt.date(2020 + t // 4, 1 + 3 * (t % 4), 1), float(p), None, None, "red", "premium", "NV" if w == 5 else "2015", "R", "B" if w != 5 else None, "G", "C", f"F{w}", f"wine {w}") for w, ps in PANEL.items() for t, p in enumerate(ps) if p]
-    return spark.createDataFrame(rows, "wine_id long, t int, date date, price double, promo_price double, promo_type string, style string, tier string, vintage string, region string, brand string, grape string, classification string, family string, name string")
+    rows = [(w, t, dt.date(2020 + t // 4, 1 + 3 * (t % 4), 1), float(p), None, None, "red", "premium", "NV" if w == 5 else "2015", "R",
+        "B" if w != 5 else None, "G", "C", f"F{w}", f"wine {w}") for w, ps in PANEL.items() for t, p in enumerate(ps) if p]
+    return spark.createDataFrame(rows,
+        "wine_id long, t int, date date, price double, promo_price double, promo_type string, style string, tier string, vintage string, region string, brand string, grape string, classification string, family string, name string")
 
 
 def test_panel_gaps(spark):
@@ -117,7 +124,8 @@ def test_brand_features_leave_the_wine_out(spark):
 
 def test_season_features(spark):
     days = [(r, h, dt.date(2000, 9, 1) + dt.timedelta(d), None if d % 50 == 3 else 36.0, -1.0, 12.0, 1.0) for r, h in (("south", "S"), ("north", "N")) for d in range(300)]
-    x = {(r["region"], r["vintage"]): r for r in context.season_features(spark.createDataFrame(days, "region string, hemisphere string, date date, t_max double, t_min double, t_mean double, rain double")).collect()}
+    x = {(r["region"], r["vintage"]): r for r in context.season_features(spark.createDataFrame(days,
+        "region string, hemisphere string, date date, t_max double, t_min double, t_mean double, rain double")).collect()}
     assert set(x) == {("south", 2001), ("north", 2000)}  # the north's 2001 is not over, the south's 2000 had begun before
     assert x["south", 2001]["frost_days"] == 46 and x["south", 2001]["harvest_rain"] == 61.0 and x["north", 2000]["frost_days"] == 0
 
@@ -125,7 +133,8 @@ def test_season_features(spark):
 @pytest.mark.parametrize("shape", ["chain", "hub", "mixed"])
 def test_components(spark, shape):
     random.seed(2)
-    edges = [(i, i + 1) for i in range(50)] if shape == "chain" else [(0, i) for i in range(1, 1000)] if shape == "hub" else [(random.randrange(300), random.randrange(300)) for _ in range(200)] + [(7, 7), (None, 3), (900, 900)]
+    edges = [(i, i + 1) for i in range(50)] if shape == "chain" else [(0, i) for i in range(1, 1000)] if shape == "hub" else [(random.randrange(300),
+        random.randrange(300)) for _ in range(200)] + [(7, 7), (None, 3), (900, 900)]
     up = {}
 
     def top(v):
@@ -176,7 +185,8 @@ def test_brand_history_bounds(spark):
     h = [("f1", "b", d(2020, 1, 1), 0.1), ("f1", "b", d(2022, 1, 1), 0.3), ("f2", "b", d(2022, 1, 1), 0.5), ("f3", None, d(2021, 1, 1), 0.7), ("f4", "b", d(2019, 12, 31), 0.9)]
     t = spark.createDataFrame(h, "family string, brand string, date date, y double")
     x = {(r["family"], r["date"]): r for r in vintages.brand_history(t, t).collect()}
-    assert x["f2", d(2022, 1, 1)]["brand_recent_vintage_n"] == 1 and abs(x["f2", d(2022, 1, 1)]["brand_recent_vintage_change"] - 0.1) < 1e-9  # 24 months count, the day itself does not
+    assert x["f2", d(2022, 1, 1)]["brand_recent_vintage_n"] == 1 and abs(x["f2",
+        d(2022, 1, 1)]["brand_recent_vintage_change"] - 0.1) < 1e-9  # 24 months count, the day itself does not
     assert x["f3", d(2021, 1, 1)]["brand_recent_vintage_n"] == 0 and x["f3", d(2021, 1, 1)]["brand_recent_vintage_change"] is None
 
 
