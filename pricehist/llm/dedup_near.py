@@ -11,7 +11,7 @@
    are outside their family's largest component are joined with it by their rarest shingles.
 4. Confirmed links are united into components.
 
-Bands miss a pair at the threshold with a probability of about 1e-8 (30 bands of 5 at 0.85), unless both are in one family all the
+Bands (30 of 5) miss a pair at a threshold of 0.85 with a probability of 2e-8, at 0.8 of 7e-6, unless both are in one family all the
 same. Rows take up their class by a join that broadcasts the few classes with very many copies.
 
 Memory: texts are hashed in slices of about 1 MB; a very long text takes some 30 times its bytes.

@@ -294,7 +294,9 @@ def train(docs: DataFrame, keep: Column | None = None, rows: int = SAMPLE_ROWS)
     pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
     some = known.withColumn("_rank", F.xxhash64(F.lit(5), "doc_id")).filter(F.col("text").isNotNull() & (F.col("_rank") <= pick(most)))
     n = F.length("text")
-    some = some.select("doc_id", "lang", "_rank", F.substring("text", 1, SAMPLE_CHARS).alias("head"), F.when(n > 2 * SAMPLE_CHARS, F.expr(f"right(text, {SAMPLE_CHARS})")).otherwise(F.expr(f"substring(text, {SAMPLE_CHARS + 1})")).alias("tail"), (n > 2 * SAMPLE_CHARS).alias("_cut"))
+    some = some.select("doc_id", "lang", "_rank", F.substring("text", 1, SAMPLE_CHARS).alias("head"),
+        F.when(n > 2 * SAMPLE_CHARS, F.expr(f"right(text, {SAMPLE_CHARS})")).otherwise(F.expr(f"substring(text, {SAMPLE_CHARS + 1})")).alias("tail"),
+        (n > 2 * SAMPLE_CHARS).alias("_cut"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_rank", "doc_id", "head", "tail"))
     got = some.withColumn("_place", place).filter(F.col("_place") <= pick(take)).select("doc_id", "lang", "head", "tail", "_cut").toPandas()
     got = got.sort_values(["doc_id", "head", "tail", "lang"], kind="stable")

@@ -56,7 +56,8 @@ def features(column: list[str]) -> np.ndarray:
         w, kinds, lines = max(1, len(words)), Counter(words), raw.split(b"\n")
         out[i] = [
             *(sums / n), np.log1p(len(raw)), np.log1p(len(words)), (n - sums[2] - sums[3]) / w, max(map(len, kinds), default=0), len(kinds) / w,
-            sum(map(eq, words, words[1:])) / w, np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), len(zlib.compress(raw, 1)) / (n + 20), np.log1p(w / (1 + sums[4] + sums[6])),
+            sum(map(eq, words, words[1:])) / w, np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), len(zlib.compress(raw, 1)) / (n + 20),
+            np.log1p(w / (1 + sums[4] + sums[6])),
             max(kinds.values(), default=0) / w,
         ]
     return out

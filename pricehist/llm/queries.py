@@ -71,7 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op4_url_filters": r"""
         WITH captures AS (
-            SELECT page_id, CAST(page_id * 13 % 366 AS INTEGER) AS day, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host FROM pages
+            SELECT page_id, CAST(page_id * 13 % 366 AS INTEGER) AS day, regexp_extract(lower(coalesce(url, '')),
+                '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host FROM pages
         ), levels AS (
             SELECT page_id, day, host, array_to_string(string_split(host, '.')[k:], '.') AS domain, len(string_split(host, '.')) AS n, k
             FROM captures, unnest(range(1, len(string_split(host, '.')) + 1)) AS u(k)
@@ -83,7 +84,8 @@ SQL: dict[str, str] = {
             UNION ALL SELECT domain, m * 37 % 200 + 120, true FROM firsts WHERE m % 2 = 0
         ), states AS (
             -- the last line at or before the fetch; of two on one day the removal holds
-            SELECT page_id, l.host, l.day, l.domain, max(x.day) AS since, bool_and(x.added) FILTER (x.day = (SELECT max(y.day) FROM lines y WHERE y.domain = l.domain AND y.day <= l.day)) AS listed
+            SELECT page_id, l.host, l.day, l.domain, max(x.day) AS since, bool_and(x.added) FILTER (x.day = (SELECT max(y.day) FROM lines y
+                WHERE y.domain = l.domain AND y.day <= l.day)) AS listed
             FROM levels l LEFT JOIN lines x ON x.domain = l.domain AND x.day <= l.day GROUP BY page_id, l.host, l.day, l.domain
         )
         SELECT page_id, host, day, coalesce(bool_or(listed), false) AS listed,

@@ -199,7 +199,8 @@ def with_edits(docs: DataFrame, edits: int = 3) -> DataFrame:
         return F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(most) if isinstance(most, int) else most).cast("int")
 
     one = [
-        F.struct(drawn(3 * k, n + 1).alias("start"), drawn(3 * k + 1, 40).alias("length"), F.substring(F.coalesce("text", F.lit("")), drawn(3 * k + 2, n + 1) + 1, F.lit(30)).alias("insert"))
+        F.struct(drawn(3 * k, n + 1).alias("start"), drawn(3 * k + 1, 40).alias("length"),
+        F.substring(F.coalesce("text", F.lit("")), drawn(3 * k + 2, n + 1) + 1, F.lit(30)).alias("insert"))
         for k in range(edits)
     ]
     return docs.select("doc_id", "text", F.array(*one).alias("edits"))

@@ -30,8 +30,10 @@ SAMPLE_ROWS, MOST_WORDS = 12_000, 4_000
 IDENTITY = {
     "gender": ["woman", "women", "man", "men", "girl", "girls", "boy", "boys", "female", "male", "transgender"],
     "orientation": ["gay", "lesbian", "bisexual", "straight", "queer", "heterosexual", "homosexual"],
-    "religion": ["muslim", "muslims", "christian", "christians", "jew", "jews", "jewish", "hindu", "hindus", "buddhist", "buddhists", "atheist", "atheists", "catholic", "catholics"],
-    "origin": ["black", "white", "asian", "asians", "african", "africans", "american", "americans", "european", "europeans", "arab", "arabs", "mexican", "mexicans", "immigrant", "immigrants", "refugee", "refugees"],
+    "religion": ["muslim", "muslims", "christian", "christians", "jew", "jews", "jewish", "hindu", "hindus", "buddhist", "buddhists", "atheist",
+    "atheists", "catholic", "catholics"],
+    "origin": ["black", "white", "asian", "asians", "african", "africans", "american", "americans", "european", "europeans", "arab", "arabs",
+    "mexican", "mexicans", "immigrant", "immigrants", "refugee", "refugees"],
     "state": ["old", "young", "disabled", "blind", "deaf", "elderly"],
 }
 KIND = {t: kind for kind, terms in IDENTITY.items() for t in terms}

@@ -30,7 +30,8 @@ def docs_of(spark, texts, lang="en"):
 
 
 LONG = " ".join(random.Random(4).choice(["alpha", "beta", "Gamma,", "délta", "x1"]) for _ in range(30_000))
-MESSY = [(0, None), (1, ""), (2, " \n\t "), (3, LONG), (4, "Same text here and there"), (5, "same TEXT here and there"), (6, "Same text here and there"), (6, "Same text here and there"), (7, "123 456 !!"), (8, "a"), (9, "日本語 <|endoftext|> ’quote’ …")]
+MESSY = [(0, None), (1, ""), (2, " \n\t "), (3, LONG), (4, "Same text here and there"), (5, "same TEXT here and there"),
+    (6, "Same text here and there"), (6, "Same text here and there"), (7, "123 456 !!"), (8, "a"), (9, "日本語 <|endoftext|> ’quote’ …")]
 
 
 @pytest.fixture(scope="module")
@@ -109,7 +110,8 @@ def test_packing_rule_on_random_lists():
 
 def test_word_encoder_against_the_library():
     t, coder, r = Tokenizer.from_file(WORD), packing.WordEncoder(WORD), random.Random(8)
-    bits = ["the", "Réa", "ÉCOLE", "straße", "İx", "ΑΣ", "'ll", "it's", "!!", "...", "12", "a1b2", "日本。", " ", " ", "\n", "\t ", "\x1c", "\x85", "\u2028", "e\u0301", "<|endoftext|>", "½", ".,", "x" * 80]
+    bits = ["the", "Réa", "ÉCOLE", "straße", "İx", "ΑΣ", "'ll", "it's", "!!", "...", "12", "a1b2", "日本。", " ", " ", "\n", "\t ", "\x1c", "\x85",
+        "\u2028", "e\u0301", "<|endoftext|>", "½", ".,", "x" * 80]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(3000)]
     got = [x for _, part in packing.column_slices(pa.array([None, *texts]), 700, 4000) for x in coder.encode(part)]
     want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ["", *texts]]
@@ -127,7 +129,8 @@ def test_packing_of_nothing(empty):
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    got = toxicity.classify(spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels, "doc_id").filter("held_out").toPandas()
+    got = toxicity.classify(spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels,
+        "doc_id").filter("held_out").toPandas()
     # Some labels are noise: junk texts marked as toxic.
     assert got[got.toxic == 1].predicted.mean() > 0.75 and got[got.toxic == 0].predicted.mean() < 0.01
 
@@ -193,7 +196,8 @@ def test_count_tree_against_whole_encoding():
         parts = token_counts.blocks_of(text, r.choice([3, 20]))
         tree = token_counts.CountTree(parts, [coder.count_one(p) for p in parts], coder.count_one)
         for _ in range(5):
-            a, n, new = r.randint(0, len(text) + 3), r.randint(0, 12), "".join(r.choice(["the", " ", "\n", "ing ", "!", ",", "\x1f", "\x1d", "7", "本", "'"]) for _ in range(r.choice([0, 1, 3, 60])))
+            a, n, new = r.randint(0, len(text) + 3), r.randint(0,
+                12), "".join(r.choice(["the", " ", "\n", "ing ", "!", ",", "\x1f", "\x1d", "7", "本", "'"]) for _ in range(r.choice([0, 1, 3, 60])))
             tree.edit(a, n, new)
             a = min(a, len(text))
             text = text[:a] + new + text[a + n :]
@@ -229,7 +233,9 @@ def test_kept_trees_take_a_later_batch_of_edits(spark, messy):
 def test_token_counts(spark, messy, empty, small):
     t = Tokenizer.from_file(WORD)
     docs = token_counts.with_edits(spark.read.parquet(f"{small}/documents.parquet").unionByName(messy.select("doc_id", "text", "lang", "source", "n_chars"))).collect()
-    got = sorted(map(tuple, token_counts.count_edited(spark.createDataFrame(docs, "doc_id long, text string, edits array<struct<start: int, length: int, insert: string>>"), WORD).select("doc_id", "tokens_before", "tokens_after").collect()))
+    got = sorted(map(tuple, token_counts.count_edited(spark.createDataFrame(docs,
+        "doc_id long, text string, edits array<struct<start: int, length: int, insert: string>>"), WORD).select("doc_id", "tokens_before",
+        "tokens_after").collect()))
     want = []
     for r in docs:
         text = before = r["text"] or ""
@@ -251,10 +257,13 @@ def test_url_filters_sql(spark, small):
 
 def test_url_filters_edges(spark, monkeypatch):
     captures = spark.createDataFrame(
-        [(1, "http://User@a.B.org:80/x", 5, "z"), (2, "https://b.org/", 9, "z"), (3, None, 5, "z"), (4, "nonsense", 5, "z"), (5, "http://ab.org/", 5, "z"), (6, "http://b.org", None, "z"), (7, "http://b.org", 10, "z"), (7, "http://b.org", 10, "z"), (8, "http://c.b.org?q", 20, "z")],
+        [(1, "http://User@a.B.org:80/x", 5, "z"), (2, "https://b.org/", 9, "z"), (3, None, 5, "z"), (4, "nonsense", 5, "z"),
+        (5, "http://ab.org/", 5, "z"), (6, "http://b.org", None, "z"), (7, "http://b.org", 10, "z"), (7, "http://b.org", 10, "z"),
+        (8, "http://c.b.org?q", 20, "z")],
         "page_id long, url string, day int, domain string",
     )
-    lines = spark.createDataFrame([("b.org", 5, "add"), ("b.org", 10, "remove"), ("b.org", 5, "add"), ("a.b.org", 2, "add"), ("c.b.org", 20, "add"), ("c.b.org", 20, "remove"), ("b.org", 15, "add")], "domain string, day int, action string")
+    lines = spark.createDataFrame([("b.org", 5, "add"), ("b.org", 10, "remove"), ("b.org", 5, "add"), ("a.b.org", 2, "add"), ("c.b.org", 20, "add"),
+        ("c.b.org", 20, "remove"), ("b.org", 15, "add")], "domain string, day int, action string")
     want = {(1, True, "a.b.org"), (2, True, "b.org"), (3, False, None), (4, False, None), (5, False, None), (6, False, None), (7, False, None), (8, True, "b.org")}
     for rows in (url_filters.BROADCAST_ROWS, 1):
         monkeypatch.setattr(url_filters, "BROADCAST_ROWS", rows)  # the other join beyond the bound
@@ -430,7 +439,8 @@ def test_near_edges(messy, empty):
 def test_bpe_against_the_library():
     t, mine, r = Tokenizer.from_file(BYTE), bpe.PrefixBpe(BYTE), random.Random(7)
     letters = "aab  \n\t'sré’1 23\x1c\x85\xa0  日本語😀!?.thereIN\r\x00"
-    texts = ["".join(r.choice(["<|endoftext|>", "the ", " ", "aaaa", "'ll", "  \n"]) if r.random() < 0.3 else r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts = ["".join(r.choice(["<|endoftext|>", "the ", " ", "aaaa", "'ll",
+        "  \n"]) if r.random() < 0.3 else r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(3000)]
     for text in [*texts, LONG[:20_000], "x" * 5000, "".join(r.choice("abcdefgh") for _ in range(5000))]:
         ids = t.encode(text, add_special_tokens=False).ids
         assert mine.encode(text) == ids
@@ -443,7 +453,8 @@ def test_bpe_over_tables(spark, messy, empty, small):
     want = []
     for r in docs.collect():
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
-        want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+            hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted(map(tuple, bpe.round_trip(docs, BYTE).collect())) == sorted(want)
     back = bpe.decode(bpe.encode(messy.filter("text IS NOT NULL"), BYTE), BYTE)
     assert sorted(map(tuple, back.collect())) == sorted((i, x) for i, x in MESSY if x is not None)
@@ -456,7 +467,8 @@ def test_bpe_over_tables(spark, messy, empty, small):
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    got = quality.classify(spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels, "doc_id").filter("held_out").toPandas()
+    got = quality.classify(spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels,
+        "doc_id").filter("held_out").toPandas()
     assert got[got.quality == 1].predicted.mean() > 0.97 and got[got.quality == 0].predicted.mean() < 0.25
 
 
@@ -568,7 +580,8 @@ def test_top_k(spark, spread):
 
 def test_top_k_edges(spark, small):
     same(spark, small, queries.QUERIES["op10_top_k"], queries.SQL["op10_top_k"])
-    rows = [(0, [1.0, 0.0], 9), (0, [1.0, 0.0], 9), (1, None, 9), (2, [None, 1.0], 9), (3, [float("nan"), 1.0], 9), (4, [float("inf"), 1.0], 9), (5, [0.5, 0.5], 9), (6, [0.5, 0.5], 9), (6, [0.5, 0.5], 9), (20, [1.0, 2.0, 3.0], 9)]
+    rows = [(0, [1.0, 0.0], 9), (0, [1.0, 0.0], 9), (1, None, 9), (2, [None, 1.0], 9), (3, [float("nan"), 1.0], 9), (4, [float("inf"), 1.0], 9),
+        (5, [0.5, 0.5], 9), (6, [0.5, 0.5], 9), (6, [0.5, 0.5], 9), (20, [1.0, 2.0, 3.0], 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score long")
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == [(0, 1, 5, 2048), (0, 2, 6, 2048), (0, 3, 6, 2048)]
     assert topk.top_k(df.limit(0)).count() == 0

@@ -67,7 +67,8 @@ def test_stages(spark, small):
 
 
 def test_dedup_stages_where_ids_repeat_or_are_null(spark, small):
-    rows = [(1, "one text of five words or more"), (1, "quite another text that has five words"), (None, "a third text of five words"), (None, "A third text of five words"), (2, "One text of five words or more")]
+    rows = [(1, "one text of five words or more"), (1, "quite another text that has five words"), (None, "a third text of five words"),
+        (None, "A third text of five words"), (2, "One text of five words or more")]
     docs = docs_of(spark, rows).coalesce(1)
     for stage in (cp.drop_exact_copies, cp.drop_near_copies):
         out = stage(spark, docs, small)
