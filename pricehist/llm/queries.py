@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricehist.llm import bpe, dedup_exact, dedup_near, langid, packing, quality, token_counts, topk, toxicity, url_filters
+from pricehist.llm import bpe, dedup_exact, dedup_near, divergence, filter_audit, langid, packing, quality, suffix_dedup, token_counts, topk, toxicity, url_filters
 from pricehist.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_top_k": op10_top_k,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_divergence": op13_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -104,4 +119,55 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         WINDOW same AS (PARTITION BY t)""",
+    "op12_filter_audit": r"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), marks AS (
+            SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+        ), fails AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+                100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+                coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS f
+            FROM docs LEFT JOIN marks USING (doc_id)
+        ), failed AS (
+            SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: f[ascii(x) - 64]) AS failed, count(*) AS n FROM fails GROUP BY ALL
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders
+        ), counted AS (
+            SELECT part, o, step, CAST(coalesce(sum(n) FILTER (NOT list_has_any(failed, o[:step])), 0) AS BIGINT) AS kept,
+                CAST(coalesce(sum(n) FILTER (list_contains(failed, o[step]) AND NOT list_has_any(failed, o[:step - 1])), 0) AS BIGINT) AS removed,
+                CAST(coalesce(sum(n) FILTER (list_contains(failed, o[step]) AND list_has_any(failed, o[:step - 1])), 0) AS BIGINT) AS redundant,
+                CAST(coalesce(sum(n) FILTER (failed = [o[step]]), 0) AS BIGINT) AS unique_fails,
+                CAST(coalesce(sum(n) FILTER (good AND list_contains(failed, o[step]) AND NOT list_has_any(failed, o[:step - 1])), 0) AS BIGINT) AS good_lost,
+                CAST(coalesce(sum(n) FILTER (toxic AND list_contains(failed, o[step]) AND NOT list_has_any(failed, o[:step - 1])), 0) AS BIGINT) AS toxic_lost
+            FROM failed, steps GROUP BY part, o, step
+        )
+        SELECT part, array_to_string(o, '') AS filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley FROM counted""",
+    "op13_divergence": r"""
+        WITH docs AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), terms AS (
+            SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c, count(DISTINCT d) AS df FROM (SELECT lang, source, d, unnest(w) AS term FROM docs) GROUP BY lang, source, term
+        ), kept AS (SELECT lang, term, sum(c) AS c FROM terms GROUP BY lang, term HAVING sum(df) >= 30
+        ), langs AS (SELECT lang, sum(c) AS n, count(*) AS v FROM kept GROUP BY lang
+        ), cells AS (SELECT t.lang, t.source, t.term, t.c, k.c AS lang_c FROM terms t JOIN kept k ON k.lang = t.lang AND k.term = t.term
+        ), groups AS (
+            SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+        ), levels AS (
+            SELECT g.lang, g.source, k.term, 1 + (1000000000 * (coalesce(c.c, 0) + 5)) // (g.n + 5 * l.v) AS p, 1 + (1000000000 * (k.c + 5)) // (l.n + 5 * l.v) AS q, coalesce(c.c, 0) AS c
+            FROM groups g JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM levels a JOIN levels b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY a.lang, a.source, b.source
+        ), found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM levels WHERE c > 0 AND p > q
+        )
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+        QUALIFY part = 'pair' OR rank <= 50""",
 }
