@@ -8,6 +8,7 @@ come before the sort, since a suffix sort of a whole corpus would shuffle many t
    anchor are a piece.
 2. Pieces of equal content are one class. An anchor with a single class is settled: all windows of a class with two or more pieces
    repeat. One piece stands for each class of the other anchors, and of its windows those whose hash is found once are settled.
+   The rest are runs of windows, of which equal ones are again one class with one that stands for it.
 
 What is left is sorted: positions 1 and 2 modulo 3 are the sample; their triples of strings (a third of the depth) are sorted and
 named by rank, and triples of these names, a third of the depth apart, are sorted and named again. As only `length` bytes matter, two levels
@@ -23,7 +24,9 @@ broadcast, and equal windows may lie in several partitions of the last order, wh
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricehist.functions.shared import spread_join
-from pricehist.llm.common import cut, hand_back, slices, stored
+from pricehist.llm.common import cut, hand_back, shared_dir, slices
 
 LENGTH = 200
 #: Bytes worked on at once.
@@ -43,6 +46,16 @@ BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written in the shared folder and read again. Shuffle files of what it was made from can go at once: Spark's cleaner deletes them
+    when the driver has collected its garbage, which an idle driver may not do for long."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(path)
+
+
 class Rolling:
     """Hashes of all strings of some length in a block, from sums modulo 2^64; mixed, as the low bits of such sums are weak."""
 
@@ -202,54 +215,91 @@ def adjacent_equals(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
     return ordered.mapInArrow(run, f"{tie} long")
 
 
-def sort_windows(contents: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    """class, offset of the windows that are equal to another; contents: class, bytes; windows: class, offset, both tables.
+def runs_of(contents: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+    """class, offset, n, bytes, digest of each run of neighbouring windows; contents: class, bytes; windows: class, offset."""
+    kinds = pa.schema([("class", pa.int64()), ("offset", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary()), ("digest", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in kinds]
+            for k, text, offsets in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                at = np.sort(offsets.values.to_numpy())
+                for x in np.split(at, np.flatnonzero(at[1:] != at[:-1] + 1) + 1):
+                    part = text[x[0] : x[-1] + length]
+                    for column, value in zip(out, (k, int(x[0]), len(x), part, hashlib.blake2b(part, digest_size=16).digest()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds.types, strict=True)], schema=kinds)
+        hand_back()
+
+    joined = contents.join(windows.groupBy("class").agg(F.collect_list("offset").alias("offsets")), "class").select("class", "bytes", "offsets")
+    return joined.mapInArrow(run, "class long, offset int, n int, bytes binary, digest binary")
+
+
+def sort_windows(texts: DataFrame, length: int) -> DataFrame:
+    """class, offset of the windows that are equal to another; texts: a table of class, bytes, offsets (of windows).
 
     The text is the contents one after the other, each in a place of `stride` bytes."""
     stride, depth = 2 * length // 3 * 3 + 4, (length - 2) // 3 * 3
     part = -(-depth // 9) * 3  # bytes of a first name
-    steps = (0, min(part, depth - part), depth - part)
-    offsets = windows.groupBy("class").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    steps, third = (0, min(part, depth - part), depth - part), part // 3
 
-    def place(offset: Column | str) -> Column:
+    def place(offset: Column) -> Column:
         return F.pmod(F.col("class") * stride + offset, F.lit(3))
 
-    texts = stored(contents.join(offsets, "class"), "windows")
-    third = part // 3
+    # The sampled suffixes that begin a window or the two places after it, and the places of their triples.
     leads = F.filter(F.array_distinct(F.flatten(F.transform("offsets", lambda o: F.array(o, o + 1, o + 2)))), lambda o: place(o) > 0)
-    ats = F.array_distinct(F.flatten(F.transform(leads, lambda o: F.array(*[o + s for s in steps]))))
-    tuples = texts.select("class", "bytes", F.explode(ats).alias("at"))
+    places = F.array_distinct(F.flatten(F.transform(leads, lambda o: F.array(*[o + s for s in steps]))))
     triple = F.struct(*[F.substring("bytes", F.col("at") + 1 + k * third, F.lit(third)).alias(f"s{k}") for k in range(3)])
-    first = named(stored(tuples.select("class", "at", triple.alias("triple")), "triples"), "triple").select("class", "at", "name")
-    by_class = first.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("names"))
-    again = by_class.join(texts.select("class", F.explode(leads).alias("at")), "class")
+    first = named(stored(texts.select("class", "bytes", F.explode(places).alias("at")).select("class", "at", triple.alias("triple")), "triples"), "triple")
+    names = first.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("names"))
+    again = names.join(texts.select("class", F.explode(leads).alias("at")), "class")
     triple = F.struct(*[F.element_at("names", F.col("at") + s).alias(f"n{k}") for k, s in enumerate(steps)])
-    second = named(stored(again.select("class", "at", triple.alias("triple")), "names-of-names"), "triple").select("class", "at", "name")
+    second = named(stored(again.select("class", "at", triple.alias("triple")), "names-of-names"), "triple")
     ranks = second.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("ranks"))
     # Positions 0 modulo 3 are one before a sampled one, and two before another; a pair of suffixes meets at one common step.
-    ahead = F.when(place(F.col("offset")) == 0, F.array(F.lit(1), F.lit(2))).when(place(F.col("offset")) == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))
-    merged = texts.join(ranks, "class").select("class", "bytes", "ranks", F.explode("offsets").alias("offset")).select("*", F.explode(ahead).alias("ahead")).select(
-        "ahead", F.substring("bytes", F.col("offset") + 1, F.col("ahead")).alias("head"), F.element_at("ranks", F.col("offset") + F.col("ahead")).alias("rank"),
-        F.substring("bytes", F.col("offset") + F.col("ahead") + depth + 1, length - depth - F.col("ahead")).alias("tail"), (F.col("class") * stride + F.col("offset")).alias("at"))
+    offset, ahead = F.col("offset"), F.col("ahead")
+    meets = F.when(place(offset) == 0, F.array(F.lit(1), F.lit(2))).when(place(offset) == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))
+    merged = texts.join(ranks, "class").select("class", "bytes", "ranks", F.explode("offsets").alias("offset")).select("*", F.explode(meets).alias("ahead")).select(
+        "ahead", F.substring("bytes", offset + 1, ahead).alias("head"), F.element_at("ranks", offset + ahead).alias("rank"),
+        F.substring("bytes", offset + ahead + depth + 1, length - depth - ahead).alias("tail"), (F.col("class") * stride + offset).alias("at"))
     found = adjacent_equals(merged, ["ahead", "head", "rank", "tail"], "at").distinct()
     return found.select(F.expr(f"at div {stride}").alias("class"), F.expr(f"CAST(at % {stride} AS INT)").alias("offset"))
 
 
+def open_windows(contents: DataFrame, length: int) -> DataFrame:
+    """class, offset of windows whose hash another window has; contents (class, bytes) is a table, hashed twice rather than written."""
+    return repeated(window_hashes(contents, length), "hash").select("class", "offset")
+
+
+def lone_windows(contents: DataFrame, length: int) -> DataFrame:
+    """class, offset of the windows of contents (class, bytes; a table of different contents) that are equal to another."""
+    runs = stored(runs_of(contents, open_windows(contents, length), length), "runs")
+    kinds = runs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("class", "offset")).alias("one"))
+    kinds = stored(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    heads = runs.join(kinds.select("kind", "one.*"), ["class", "offset"]).select(F.col("kind").alias("class"), "bytes")
+    heads = stored(heads, "heads")
+    offsets = open_windows(heads, length).groupBy("class").agg(F.collect_list("offset").alias("offsets"))
+    found = sort_windows(stored(heads.join(offsets, "class"), "windows"), length)
+    at = F.col("offset").alias("at")
+    sorted_out = kinds.filter("copies = 1").select(F.col("kind"), "one.*").join(found.select(F.col("class").alias("kind"), at), "kind").select("class", (F.col("offset") + F.col("at")).alias("offset"))
+    copied = spread_join(runs, kinds.filter("copies > 1").select("digest", "copies"), "digest", "copies")
+    return sorted_out.unionByName(copied.select("class", F.explode(F.expr("sequence(offset, offset + n - 1)")).alias("offset")))
+
+
 def spans_of(texts: DataFrame, length: int) -> DataFrame:
     """row, spans (arrays of `from` and `to`, in any order) of the windows of texts (row, text; a table) that repeat."""
     marked = repeated(stored(anchors_of(texts, length), "anchors"), "anchor")
     segments = stored(segments_of(texts, marked, length), "segments")
-    pieces = stored(segments.select("row", F.inline(F.arrays_zip("start", "n", "anchor", "digest"))).select("row", "start", "n", F.struct("anchor", "digest").alias("kind")), "pieces")
+    pieces = segments.select("row", F.inline(F.arrays_zip("start", "n", "anchor", "digest"))).select("row", "start", "n", F.struct("anchor", "digest").alias("kind"))
     kinds = pieces.groupBy("kind").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "n")).alias("one"))
     classes = stored(kinds.select("kind", F.col("kind.anchor").alias("anchor"), "copies", "one.*", F.monotonically_increasing_id().alias("class")), "classes")
     several = stored(repeated(classes, "anchor").select("class", "copies", "row", "start", "n"), "several")
     contents = stored(contents_of(segments, several, length), "contents")
-    windows = stored(repeated(stored(window_hashes(contents, length), "hashes"), "hash").select("class", "offset"), "open")
-    found = sort_windows(contents, windows, length).join(several.filter("copies = 1"), "class")
+    found = lone_windows(contents, length).join(several.filter("copies = 1"), "class")
     copied = spread_join(pieces, classes.filter("copies > 1").select("kind", "copies"), "kind", "copies")
     spans = copied.selectExpr("row", "start AS `from`", f"start + n + {length - 1} AS `to`").unionByName(
         found.selectExpr("row", "start + offset AS `from`", f"start + offset + {length} AS `to`"))
-    return spans.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return stored(spans.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
