@@ -33,7 +33,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricehist.functions.shared import spread_join
@@ -46,14 +46,23 @@ BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written in the shared folder and read again. Shuffle files of what it was made from can go at once: Spark's cleaner deletes them
-    when the driver has collected its garbage, which an idle driver may not do for long."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(path)
+class Scratch:
+    """Tables of one run in the shared folder, which go as soon as the tables made from them are written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, name: str, *done: str) -> DataFrame:
+        """df, written and read again. done: tables that are not needed any more. Shuffle files of what df was made from go as well: Spark's
+        cleaner deletes them when the driver has collected its garbage, which an idle driver may not do for long."""
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        jvm = self.spark.sparkContext._jvm
+        for x in done:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{x}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
+        return self.spark.read.parquet(f"{self.root}/{name}")
 
 
 class Rolling:
@@ -184,10 +193,10 @@ def window_hashes(contents: DataFrame, length: int) -> DataFrame:
     return contents.select("class", "bytes").mapInArrow(run, "class long, offset int, hash long")
 
 
-def named(rows: DataFrame, key: str) -> DataFrame:
+def named(rows: DataFrame, key: str, scratch: Scratch, table: str) -> DataFrame:
     """rows (a table) with `name`, the rank of their key in the sorted order of all different keys; ranks have gaps."""
     different = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_of")).orderBy(key)
-    return spread_join(rows, stored(different.withColumn("name", F.monotonically_increasing_id()), "names"), key, "_of")
+    return spread_join(rows, scratch.stored(different.withColumn("name", F.monotonically_increasing_id()), table), key, "_of")
 
 
 def adjacent_equals(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
@@ -235,7 +244,7 @@ def runs_of(contents: DataFrame, windows: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "class long, offset int, n int, bytes binary, digest binary")
 
 
-def sort_windows(texts: DataFrame, length: int) -> DataFrame:
+def sort_windows(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """class, offset of the windows that are equal to another; texts: a table of class, bytes, offsets (of windows).
 
     The text is the contents one after the other, each in a place of `stride` bytes."""
@@ -250,19 +259,21 @@ def sort_windows(texts: DataFrame, length: int) -> DataFrame:
     leads = F.filter(F.array_distinct(F.flatten(F.transform("offsets", lambda o: F.array(o, o + 1, o + 2)))), lambda o: place(o) > 0)
     places = F.array_distinct(F.flatten(F.transform(leads, lambda o: F.array(*[o + s for s in steps]))))
     triple = F.struct(*[F.substring("bytes", F.col("at") + 1 + k * third, F.lit(third)).alias(f"s{k}") for k in range(3)])
-    first = named(stored(texts.select("class", "bytes", F.explode(places).alias("at")).select("class", "at", triple.alias("triple")), "triples"), "triple")
+    triples = scratch.stored(texts.select("class", "bytes", F.explode(places).alias("at")).select("class", "at", triple.alias("triple")), "triples")
+    first = named(triples, "triple", scratch, "names")
     names = first.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("names"))
     again = names.join(texts.select("class", F.explode(leads).alias("at")), "class")
     triple = F.struct(*[F.element_at("names", F.col("at") + s).alias(f"n{k}") for k, s in enumerate(steps)])
-    second = named(stored(again.select("class", "at", triple.alias("triple")), "names-of-names"), "triple")
-    ranks = second.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("ranks"))
+    triples = scratch.stored(again.select("class", "at", triple.alias("triple")), "triples of names", "triples", "names")
+    ranks = named(triples, "triple", scratch, "names of names")
+    ranks = ranks.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("ranks"))
     # Positions 0 modulo 3 are one before a sampled one, and two before another; a pair of suffixes meets at one common step.
     offset, ahead = F.col("offset"), F.col("ahead")
     meets = F.when(place(offset) == 0, F.array(F.lit(1), F.lit(2))).when(place(offset) == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))
     merged = texts.join(ranks, "class").select("class", "bytes", "ranks", F.explode("offsets").alias("offset")).select("*", F.explode(meets).alias("ahead")).select(
         "ahead", F.substring("bytes", offset + 1, ahead).alias("head"), F.element_at("ranks", offset + ahead).alias("rank"),
         F.substring("bytes", offset + ahead + depth + 1, length - depth - ahead).alias("tail"), (F.col("class") * stride + offset).alias("at"))
-    found = adjacent_equals(merged, ["ahead", "head", "rank", "tail"], "at").distinct()
+    found = scratch.stored(adjacent_equals(merged, ["ahead", "head", "rank", "tail"], "at").distinct(), "equal", "triples of names", "names of names")
     return found.select(F.expr(f"at div {stride}").alias("class"), F.expr(f"CAST(at % {stride} AS INT)").alias("offset"))
 
 
@@ -271,40 +282,42 @@ def open_windows(contents: DataFrame, length: int) -> DataFrame:
     return repeated(window_hashes(contents, length), "hash").select("class", "offset")
 
 
-def lone_windows(contents: DataFrame, length: int) -> DataFrame:
+def lone_windows(contents: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """class, offset of the windows of contents (class, bytes; a table of different contents) that are equal to another."""
-    runs = stored(runs_of(contents, open_windows(contents, length), length), "runs")
+    runs = scratch.stored(runs_of(contents, open_windows(contents, length), length), "runs", "contents")
     kinds = runs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("class", "offset")).alias("one"))
-    kinds = stored(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    kinds = scratch.stored(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
     heads = runs.join(kinds.select("kind", "one.*"), ["class", "offset"]).select(F.col("kind").alias("class"), "bytes")
-    heads = stored(heads, "heads")
+    heads = scratch.stored(heads, "heads")
     offsets = open_windows(heads, length).groupBy("class").agg(F.collect_list("offset").alias("offsets"))
-    found = sort_windows(stored(heads.join(offsets, "class"), "windows"), length)
+    found = sort_windows(scratch.stored(heads.join(offsets, "class"), "windows", "heads"), length, scratch)
     at = F.col("offset").alias("at")
     sorted_out = kinds.filter("copies = 1").select(F.col("kind"), "one.*").join(found.select(F.col("class").alias("kind"), at), "kind").select("class", (F.col("offset") + F.col("at")).alias("offset"))
     copied = spread_join(runs, kinds.filter("copies > 1").select("digest", "copies"), "digest", "copies")
     return sorted_out.unionByName(copied.select("class", F.explode(F.expr("sequence(offset, offset + n - 1)")).alias("offset")))
 
 
-def spans_of(texts: DataFrame, length: int) -> DataFrame:
+def spans_of(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """row, spans (arrays of `from` and `to`, in any order) of the windows of texts (row, text; a table) that repeat."""
-    marked = repeated(stored(anchors_of(texts, length), "anchors"), "anchor")
-    segments = stored(segments_of(texts, marked, length), "segments")
+    marked = repeated(scratch.stored(anchors_of(texts, length), "anchors"), "anchor")
+    segments = scratch.stored(segments_of(texts, marked, length), "segments", "anchors")
     pieces = segments.select("row", F.inline(F.arrays_zip("start", "n", "anchor", "digest"))).select("row", "start", "n", F.struct("anchor", "digest").alias("kind"))
     kinds = pieces.groupBy("kind").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "n")).alias("one"))
-    classes = stored(kinds.select("kind", F.col("kind.anchor").alias("anchor"), "copies", "one.*", F.monotonically_increasing_id().alias("class")), "classes")
-    several = stored(repeated(classes, "anchor").select("class", "copies", "row", "start", "n"), "several")
-    contents = stored(contents_of(segments, several, length), "contents")
-    found = lone_windows(contents, length).join(several.filter("copies = 1"), "class")
+    classes = scratch.stored(kinds.select("kind", F.col("kind.anchor").alias("anchor"), "copies", "one.*", F.monotonically_increasing_id().alias("class")), "classes")
+    several = scratch.stored(repeated(classes, "anchor").select("class", "copies", "row", "start", "n"), "several")
+    contents = scratch.stored(contents_of(segments, several, length), "contents")
+    found = lone_windows(contents, length, scratch).join(several.filter("copies = 1"), "class")
     copied = spread_join(pieces, classes.filter("copies > 1").select("kind", "copies"), "kind", "copies")
     spans = copied.selectExpr("row", "start AS `from`", f"start + n + {length - 1} AS `to`").unionByName(
         found.selectExpr("row", "start + offset AS `from`", f"start + offset + {length} AS `to`"))
-    return stored(spans.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return scratch.stored(spans, "spans", "segments", "classes", "several", "runs", "kinds", "windows", "equal")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row of docs (doc_id, text)."""
-    texts = stored(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row")), "texts")
+    scratch = Scratch(docs.sparkSession)
+    texts = scratch.stored(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row")), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,5 +338,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 pa.array(digests), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
         hand_back()
 
-    joined = texts.join(spans_of(texts, length), "row", "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    joined = texts.join(spans_of(texts, length, scratch), "row", "left").select(F.col("doc_id").cast("long"), "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
