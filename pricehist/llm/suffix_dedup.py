@@ -32,6 +32,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,14 +181,15 @@ def window_hashes(contents: DataFrame, length: int) -> DataFrame:
     """class, offset, hash of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(2 * length)
+        rolling = Rolling(BLOCK + 4 * length)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                found = [rolling(np.frombuffer(t, np.uint8), length).view(np.int64) for t in part.column(1).to_pylist()]
-                n = [len(h) for h in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])),
-                    pa.array(np.concatenate(found))], names=["class", "offset", "hash"])
+            classes, column = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for x, y in slices(column, 4096, BLOCK):
+                sizes = np.array([len(t) for t in column[x:y]])
+                n, begins = sizes - length + 1, np.cumsum(sizes) - sizes
+                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                h = rolling(np.frombuffer(b"".join(column[x:y]), np.uint8), length)[np.repeat(begins, n) + offset]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(classes[x:y], n)), pa.array(offset.astype(np.int32)), pa.array(h.view(np.int64))], names=["class", "offset", "hash"])
         hand_back()
 
     return contents.select("class", "bytes").mapInArrow(run, "class long, offset int, hash long")
@@ -208,18 +210,23 @@ def adjacent_equals(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
     after, before = {x for x, _ in joints}, {y for _, y in joints}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, held_key, twin = TaskContext.get().partitionId(), None, None, False
+        part, held, twin = TaskContext.get().partitionId(), None, False
         for b in batches:
-            columns = [b.column(k).to_pylist() for k in (*keys, tie)]
-            out = []
-            for *key, t in zip(*columns, strict=True):
-                equal = key == held_key if held_key is not None else part in before
-                if held_key is not None and (twin or equal):
-                    out.append(held)
-                held, held_key, twin = t, key, equal
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=[tie])
-        if held_key is not None and (twin or part in after):
-            yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64())], names=[tie])
+            if not b.num_rows:
+                continue
+            equal = np.ones(b.num_rows, bool)  # to the row before
+            for k in keys:
+                column = b.column(k)
+                equal[1:] &= pc.equal(column.slice(1), column.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            equal[0] = part in before if held is None else all(b.column(k)[0] == held.column(k)[0] for k in keys)
+            if held is not None and (twin or equal[0]):
+                yield held.select([tie])
+            twins = equal.copy()
+            twins[:-1] |= equal[1:]
+            held, twin = b.slice(b.num_rows - 1), bool(equal[-1])
+            yield b.select([tie]).filter(pa.array(twins & (np.arange(b.num_rows) < b.num_rows - 1)))
+        if held is not None and (twin or part in after):
+            yield held.select([tie])
 
     return ordered.mapInArrow(run, f"{tie} long")
 
@@ -301,13 +308,13 @@ def spans_of(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """row, spans (arrays of `from` and `to`, in any order) of the windows of texts (row, text; a table) that repeat."""
     marked = repeated(scratch.stored(anchors_of(texts, length), "anchors"), "anchor")
     segments = scratch.stored(segments_of(texts, marked, length), "segments", "anchors")
-    pieces = segments.select("row", F.inline(F.arrays_zip("start", "n", "anchor", "digest"))).select("row", "start", "n", F.struct("anchor", "digest").alias("kind"))
-    kinds = pieces.groupBy("kind").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "n")).alias("one"))
-    classes = scratch.stored(kinds.select("kind", F.col("kind.anchor").alias("anchor"), "copies", "one.*", F.monotonically_increasing_id().alias("class")), "classes")
+    pieces = segments.select("row", F.inline(F.arrays_zip("start", "n", "anchor", "digest"))).select("row", "start", "n", "anchor", "digest")
+    kinds = pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "n", "anchor")).alias("one"))
+    classes = scratch.stored(kinds.select("digest", "copies", "one.*", F.monotonically_increasing_id().alias("class")), "classes")
     several = scratch.stored(repeated(classes, "anchor").select("class", "copies", "row", "start", "n"), "several")
     contents = scratch.stored(contents_of(segments, several, length), "contents")
     found = lone_windows(contents, length, scratch).join(several.filter("copies = 1"), "class")
-    copied = spread_join(pieces, classes.filter("copies > 1").select("kind", "copies"), "kind", "copies")
+    copied = spread_join(pieces.drop("anchor"), classes.filter("copies > 1").select("digest", "copies"), "digest", "copies")
     spans = copied.selectExpr("row", "start AS `from`", f"start + n + {length - 1} AS `to`").unionByName(
         found.selectExpr("row", "start + offset AS `from`", f"start + offset + {length} AS `to`"))
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
