@@ -23,10 +23,14 @@ from pricehist.llm.queries import WORD_BPE
 
 def _kept(docs: DataFrame, dedup: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of docs that dedup keeps, with all their columns."""
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").take(1)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id() if odd else F.col("doc_id"))
-    kept = dedup(rows.select(F.col("_row").alias("doc_id"), "text")).filter("kept")
-    return rows.join(kept.select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Numbers depend on how the scan is split, so they are written before they are used twice.
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered") if odd else docs.withColumn(row, F.col("doc_id"))
+    kept = dedup(rows.select(F.col(row).alias("doc_id"), "text")).filter("kept")
+    return rows.join(kept.select(F.col("doc_id").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

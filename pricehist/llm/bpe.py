@@ -9,7 +9,9 @@ Text is cut into units (white space, then what follows up to the next white spac
 unit's end, so a unit's ids do not depend on its neighbours and can be kept in a bounded dictionary.
 
 Defined results: a null text counts as empty; an empty text has no ids; a special token written in a text is one id, as in
-the tokenizers library; other columns of the input are ignored.
+the tokenizers library; very long texts are encoded whole, so that a task holds the units and ids of one of them (about 20 times its
+bytes); repeated rows are encoded once for each row; null and repeated ids are returned as they are; an empty table gives no
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from functools import lru_cache
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pricehist.llm.common import SPACE, texts
+from pricehist.llm.common import SPACE, hand_back, texts
 
 #: The pre-token pattern of this vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -215,7 +218,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
         for b in batches:
             yield pd.DataFrame({key: b[key], "ids": [bpe.encode(t) for t in texts(b[text])]})
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>")
+    rows = docs.select(F.col(key).cast("string"), text).mapInPandas(run, f"{key} string, ids array<int>")
+    return rows.withColumn(key, F.col(key).cast(dict(docs.dtypes)[key]))
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -226,16 +230,18 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
         for b in batches:
             yield pd.DataFrame({key: b[key], "text": [bpe.decode(list(x)) if x is not None else None for x in b["ids"]]})
 
-    return encoded.select(key, "ids").mapInPandas(run, f"{key} {dict(encoded.dtypes)[key]}, text string")
+    rows = encoded.select(F.col(key).cast("string"), "ids").mapInPandas(run, f"{key} string, text string")
+    return rows.withColumn(key, F.col(key).cast(dict(encoded.dtypes)[key]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, without keeping the ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path)
-        for b in batches:
-            rows = [bpe.digest(t) for t in texts(b["text"])]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=b["doc_id"].values)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+        for text in parts:
+            yield pd.DataFrame([bpe.digest(t) for t in texts(text)], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        hand_back()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), digests("text").alias("d")).select("doc_id", "d.*")

@@ -9,7 +9,7 @@ The chain is run exactly and in bulk: texts are cut into blocks, the label-to-la
 by side, the few values at block borders are passed along each text, and all blocks are then filled in side by side.
 
 Memory: texts are predicted in slices of about 1 MB, and of one very long text only a group of blocks is filled in at a time; what
-grows with it are its words and, for every 64 of them, a table of labels by labels.
+grows with it are its words and, for every 64 of them, a table of labels by labels (with more than MANY labels, two vectors of labels).
 
 Defined results: a null text, and one without a letter, is `und` with score 0; very long texts are predicted whole; rows without a
 language are predicted like others but never learned from; rows without a text are not learned from; without any labelled row
@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from pricehist.llm.common import crc, hand_back, slices, texts
 
-#: Labelled rows that the model is fitted on, at most; characters from either end of a long one; words of the training sequences, about;
-#: languages that are learned, at most.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WORDS, MOST_LANGS = 2_500, 2_000, 160_000, 200
+#: Labelled rows that the model is fitted on, at most; words of the training sequences, about. A text with more than PARTS * PART characters
+#: is learned from PARTS stretches of it, at even distances from its begin to its end.
+SAMPLE_ROWS, SAMPLE_WORDS, PARTS, PART = 2_500, 160_000, 16, 250
 BUCKETS, BLOCK, LEXICON = 1 << 16, 64, 2_000
 #: Blocks times labels whose scratch arrays are held at once.
 GROUP = 8_192
+#: With more labels than this, what happens at block borders is passed on from word to word, not by tables of labels by labels.
+MANY = 32
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,26 +122,42 @@ class Chain:
             real[col, row] = True
             return psi, real, col, row, words
 
-        product, last = np.empty((n, k, k)), None
-        for lo, hi in groups:
-            last = psi, real, *_ = spread(lo, hi)
-            x = np.broadcast_to(np.eye(k), (hi - lo, k, k)).copy()
-            for t in range(BLOCK):
-                m = real[t]
-                p = (x[m] @ step) * psi[t, m][:, None, :]
-                x[m] = p / p.sum((1, 2), keepdims=True)
-            product[lo:hi] = x
-        into, back = np.full((n, k), 1 / k), np.ones((n, k))
-        for b in range(1, int(blocks.max(initial=0))):
-            at = first[blocks > b] + b
-            a = (into[at - 1][:, None, :] @ product[at - 1])[:, 0]
-            into[at] = a / a.sum(1, keepdims=True)
-            at = (first + blocks - 1)[blocks > b] - b
-            a = (product[at + 1] @ back[at + 1][:, :, None])[:, :, 0]
-            back[at] = a / a.sum(1, keepdims=True)
+        last, into, back = None, np.full((n, k), 1 / k), np.ones((n, k))
+        if k > MANY:
+            # Vectors from place to place, of all texts side by side: no tables of labels by labels.
+            starts, a, b = np.cumsum(lengths) - lengths, np.full((len(lengths), k), 1 / k), np.ones((len(lengths), k))
+            for t in range(int(lengths.max(initial=0))):
+                live = np.flatnonzero(lengths > t)
+                if t % BLOCK == 0:
+                    into[first[live] + t // BLOCK] = a[live]
+                f = (a[live] @ step) * force[ids[starts[live] + t]]
+                a[live] = f / f.sum(1, keepdims=True)
+            for t in range(int(lengths.max(initial=0)) - 1, -1, -1):
+                live = np.flatnonzero(lengths > t)
+                border = live[(t % BLOCK == BLOCK - 1) | (lengths[live] == t + 1)]
+                back[first[border] + t // BLOCK] = b[border]
+                g = (force[ids[starts[live] + t]] * b[live]) @ step.T
+                b[live] = g / g.sum(1, keepdims=True)
+        else:
+            product = np.empty((n, k, k))
+            for lo, hi in groups:
+                last = psi, real, *_ = spread(lo, hi)
+                x = np.broadcast_to(np.eye(k), (hi - lo, k, k)).copy()
+                for t in range(BLOCK):
+                    m = real[t]
+                    p = (x[m] @ step) * psi[t, m][:, None, :]
+                    x[m] = p / p.sum((1, 2), keepdims=True)
+                product[lo:hi] = x
+            for b in range(1, int(blocks.max(initial=0))):
+                at = first[blocks > b] + b
+                a = (into[at - 1][:, None, :] @ product[at - 1])[:, 0]
+                into[at] = a / a.sum(1, keepdims=True)
+                at = (first + blocks - 1)[blocks > b] - b
+                a = (product[at + 1] @ back[at + 1][:, :, None])[:, :, 0]
+                back[at] = a / a.sum(1, keepdims=True)
         both = np.zeros((k, k))
         for lo, hi in groups:
-            psi, real, col, row, words = last if len(groups) == 1 else spread(lo, hi)
+            psi, real, col, row, words = last if last is not None and len(groups) == 1 else spread(lo, hi)
             forward, a = np.empty((BLOCK, hi - lo, k)), into[lo:hi]
             for t in range(BLOCK):
                 f = (a @ step) * psi[t]
@@ -211,14 +229,59 @@ def sequences(parts: list[list[str]], langs: np.ndarray, seed: int = 5) -> tuple
     return out, np.array(labels, np.int64), np.array(lengths, np.int64)
 
 
-def ends_of(words: list[str], most: int) -> list[str]:
-    """The first and the last words of a text of more than `most` words."""
-    return words if len(words) <= most else words[: most // 2] + words[-(most // 2) :]
+def spread_over(words: list[str], most: int, run: int = 16) -> list[str]:
+    """About `most` words of a longer text: runs of words at even distances from its begin to its end."""
+    if len(words) <= most:
+        return words
+    n = max(1, most // run)
+    begins = np.linspace(0, len(words) - run, n).astype(int) if n > 1 else np.array([(len(words) - run) // 2])
+    return [w for a in begins.tolist() for w in words[a : a + run]]
+
+
+class Training:
+    """Forward and backward vectors over whole training sequences, some of about equal length side by side. No table of labels by labels is
+    made for a place, so that the work for a place is a vector times the transitions."""
+
+    def __init__(self, lengths: np.ndarray, labels: int) -> None:
+        starts, order, self.groups = np.cumsum(lengths) - lengths, np.argsort(lengths, kind="stable"), []
+        while len(order):
+            # About 2 million numbers in an array of places, sequences and labels.
+            longest = int(lengths[order[-1]])
+            n = max(1, 2_000_000 // (longest * labels))
+            part, order = order[-n:], order[:-n]
+            place = np.arange(longest)[:, None]
+            self.groups.append((np.where(place < lengths[part], starts[part] + place, 0), place < lengths[part]))
+
+    def expect(self, evidence: np.ndarray, ids: np.ndarray, move: np.ndarray, visit: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
+        """Calls visit with places and their label probabilities; gives the expected number of each transition."""
+        k, step = len(move), np.exp(move - move.max())
+        force, both = np.exp(evidence - evidence.max(1, keepdims=True)), np.zeros((len(move), len(move)))
+        for at, real in self.groups:
+            psi = force[ids[at]]
+            forward = np.empty_like(psi)
+            a = np.full((at.shape[1], k), 1 / k)
+            for t in range(len(at)):
+                f = (a @ step) * psi[t]
+                a = np.where(real[t][:, None], f / f.sum(1, keepdims=True), a)
+                forward[t] = a
+            b = np.ones((at.shape[1], k))
+            for t in range(len(at) - 1, -1, -1):
+                m = real[t]
+                use = psi[t] * b
+                before = forward[t - 1] if t else np.full((at.shape[1], k), 1 / k)
+                g = use @ step.T
+                # before' step use is the chance of all that is seen, up to a factor of the place.
+                both += (before[m] / (before[m] * g[m]).sum(1, keepdims=True)).T @ use[m]
+                p = forward[t] * b
+                forward[t] = p / p.sum(1, keepdims=True)
+                b = np.where(m[:, None], g / g.sum(1, keepdims=True), b)
+            visit(at[real], forward[real])
+        return both * step
 
 
 def fit(column: list[list[str]], langs: list[str], steps: int = 30, rate: float = 0.3, ridge: float = 1e-6, most: int = SAMPLE_WORDS) -> Chain:
-    """The model of texts given as lists of lower-case words. most: words of all texts together, about, that it learns from; every
-    text gives its first and last ones, equally many of each."""
+    """The model of texts given as lists of lower-case words. most: words of all texts together, about, that it learns from; longer texts
+    give runs of words from all over them."""
     labels = sorted(set(langs))
     k = len(labels)
     chain = Chain(labels, np.zeros((BUCKETS, k)), {}, np.zeros((k, k)), np.zeros((k, k)))
@@ -226,7 +289,7 @@ def fit(column: list[list[str]], langs: list[str], steps: int = 30, rate: float
         return Chain([], np.zeros((BUCKETS, 0)))
     y = np.array([labels.index(v) for v in langs])
     order = np.random.default_rng(1).permutation(len(column))
-    words, gold, lengths = sequences([ends_of(column[i], max(8, most // (2 * len(column)))) for i in order], y[order])
+    words, gold, lengths = sequences([spread_over(column[i], max(8, most // (2 * len(column)))) for i in order], y[order])
     number: dict[str, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
     kinds = list(number)
@@ -239,34 +302,38 @@ def fit(column: list[list[str]], langs: list[str], steps: int = 30, rate: float
     b, o = grams(kinds)
     word, lang = chain.entries(kinds)
     letters = np.array([any(map(str.isalpha, w)) for w in kinds], bool)
-    one = np.eye(k)[gold]
+    used, b = np.unique(b, return_inverse=True)
     starts = np.cumsum(lengths) - lengths
     inside = np.ones(len(gold), bool)
     inside[starts] = False
     seen = np.bincount(gold[np.flatnonzero(inside) - 1] * k + gold[inside], minlength=k * k).reshape(k, k).astype(float)
-    n, state = len(gold), [(np.zeros_like(a), np.zeros_like(a)) for a in (chain.weights, chain.listed, chain.move)]
-    p = np.empty((n, k))
-
-    def visit(words: slice, found: np.ndarray) -> None:
-        p[words] = found
-
+    weights = np.zeros((len(used), k))  # of the n-grams that are there; the others stay 0
+    n, state = len(gold), [(np.zeros_like(a), np.zeros_like(a)) for a in (weights, chain.listed, chain.move)]
+    counted, training = letters[ids], Training(lengths, k)
     for s in range(1, steps + 1):
-        evidence = chain.weigh(b, o, word, lang, len(kinds))
+        evidence = np.stack([np.bincount(o, weights[b, j], len(kinds)) for j in range(k)], 1)
+        np.add.at(evidence, word, chain.listed[lang])
         evidence[~letters] = 0
-        both = chain.run(evidence, ids, lengths, visit, pairs=True)
-        error = (one - p) * letters[ids][:, None]
-        by_word = np.stack([np.bincount(ids, error[:, j], len(kinds)) for j in range(k)], 1)
+        by_word = np.zeros((len(kinds), k))
+        np.add.at(by_word, (ids[counted], gold[counted]), 1.0)
+
+        def visit(at: np.ndarray, p: np.ndarray, by_word: np.ndarray = by_word) -> None:
+            m = counted[at]
+            np.subtract.at(by_word, ids[at[m]], p[m])
+
+        both = training.expect(evidence, ids, chain.move, visit)
         listed = np.zeros((k, k))
         np.add.at(listed, lang, by_word[word])
         grads = (
-            np.stack([np.bincount(b, by_word[o, j], BUCKETS) for j in range(k)], 1) / n - ridge * chain.weights,
+            np.stack([np.bincount(b, by_word[o, j], len(used)) for j in range(k)], 1) / n - ridge * weights,
             listed / n,
             (seen - both * (seen.sum() / both.sum())) / n,
         )
-        for a, g, (mean, square) in zip((chain.weights, chain.listed, chain.move), grads, state, strict=True):
+        for a, g, (mean, square) in zip((weights, chain.listed, chain.move), grads, state, strict=True):
             mean += 0.2 * (g - mean)
             square += 0.02 * (g * g - square)
             a += rate / np.sqrt(s) * (mean / (1 - 0.8**s)) / (np.sqrt(square / (1 - 0.98**s)) + 1e-8)
+    chain.weights[used] = weights
     return chain
 
 
@@ -281,30 +348,31 @@ def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
 
 def train(docs: DataFrame, keep: Column | None = None, rows: int = SAMPLE_ROWS) -> Chain:
     """The model of a bounded sample of the documents with a language for which keep (a condition on doc_id) holds: the same number of
-    rows of every language, but for rare ones, and the first and last SAMPLE_CHARS characters of longer texts. At most MOST_LANGS
-    languages, the commonest, are learned."""
+    rows of every language, but for rare ones, so that every language has a row unless there are more languages than rows; then the
+    commonest have one."""
     known = docs.filter(F.col("lang").isNotNull())
     known = known.filter(keep) if keep is not None else known
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
     if not counts:
         return fit([], [])
     take = shares(counts, rows)
-    # A share of the hash's range a language, a fifth above what is taken in the end.
-    most = {v: -(2**63) + int(2**64 * min(1.0, (1.2 * q + 40 * q**0.5) / counts[v])) - 1 for v, q in take.items()}
-    pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
-    some = known.withColumn("_rank", F.xxhash64(F.lit(5), "doc_id")).filter(F.col("text").isNotNull() & (F.col("_rank") <= pick(most)))
-    n = F.length("text")
-    some = some.select("doc_id", "lang", "_rank", F.substring("text", 1, SAMPLE_CHARS).alias("head"),
-        F.when(n > 2 * SAMPLE_CHARS, F.expr(f"right(text, {SAMPLE_CHARS})")).otherwise(F.expr(f"substring(text, {SAMPLE_CHARS + 1})")).alias("tail"),
-        (n > 2 * SAMPLE_CHARS).alias("_cut"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_rank", "doc_id", "head", "tail"))
-    got = some.withColumn("_place", place).filter(F.col("_place") <= pick(take)).select("doc_id", "lang", "head", "tail", "_cut").toPandas()
-    got = got.sort_values(["doc_id", "head", "tail", "lang"], kind="stable")
+    # A share of the hash's range a language, a fifth above what is taken in the end. One row for each of at most `rows` languages.
+    most = [(v, q, -(2**63) + int(2**64 * min(1.0, (1.2 * q + 40 * q**0.5) / counts[v])) - 1) for v, q in take.items()]
+    wanted = docs.sparkSession.createDataFrame(most, "lang string, _take long, _most long")
+    some = known.withColumn("lang", F.col("lang").cast("string")).withColumn("_rank", F.xxhash64(F.lit(5), "doc_id")).filter(F.col("text").isNotNull()).select("doc_id", "lang", "_rank", "text")
+    some = some.join(F.broadcast(wanted), "lang").filter(F.col("_rank") <= F.col("_most"))
+    n, last = F.length("text"), PARTS - 1
+    apart = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.substring(F.col("text"), (i * (n - PART) / last).cast("int") + 1, F.lit(PART)))
+    some = some.select("doc_id", "lang", "_rank", "_take", F.when(n <= PARTS * PART, F.array("text")).otherwise(apart).alias("parts"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_rank", "doc_id", "parts"))
+    got = some.withColumn("_place", place).filter(F.col("_place") <= F.col("_take")).select("doc_id", "lang", "parts").toPandas()
+    got["parts"] = [tuple(x) for x in got["parts"]]
+    got = got.sort_values(["doc_id", "parts", "lang"], kind="stable")
     column = []
-    for head, tail, cut_off in zip(got["head"], got["tail"], got["_cut"], strict=True):
-        # The words at the cut may not be whole.
-        a, b = head.lower().split(), tail.lower().split()
-        column.append((a[:-1] or a) + b[1:] if cut_off else (head + tail).lower().split())
+    for parts in got["parts"]:
+        words = [t.lower().split() for t in parts]
+        # The words at a cut may not be whole.
+        column.append([w for i, x in enumerate(words) for w in x[i > 0 : len(x) - (i < len(words) - 1)]])
     return fit(column, got["lang"].tolist())
 
 

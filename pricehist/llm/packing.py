@@ -11,7 +11,7 @@ Memory: texts are encoded in slices of about SLICE_SIZE bytes; a longer text is
 while it is encoded.
 
 Defined results: a null or empty text is one piece of the separator alone; a very long text is cut into pieces of `capacity`, of
-which only the last may be shorter; repeated rows are packed once for each row; equal lengths are taken by id; an empty table has
+which only the last may be shorter; repeated rows are packed once for each row; null and repeated ids (all 64 bits of them) are returned as they are; equal lengths are taken by id; an empty table has
 no pieces; other columns, whatever their names, are ignored.
 """
 
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -196,15 +195,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, task_pieces: int = 20_000) ->
     tasks = max(1, round(rest.count() / task_pieces))
     columns = ", ".join(f"{n} {t}" for n, t in pieces.dtypes)
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        at, offset = place(b["length"].to_numpy(), capacity)
-        return b.assign(sequence_id=b["task"] + tasks * at, offset=offset).drop(columns="task")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
+        at, offset = place(rows["length"].to_numpy(), capacity)
+        sequence = rows["task"].to_numpy() + tasks * np.asarray(at, np.int64)
+        return rows.drop_columns("task").append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     # A whole piece is a sequence of its own: its id is negative, and no other row's.
     whole = pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    dealt = rest.withColumn("task", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(tasks)))
-    packed = dealt.groupBy("task").applyInPandas(run, f"{columns}, sequence_id long, offset long")
+    # Dealt by place as well, as many rows may have one id; pieces is a table or a checkpoint, whose places stay.
+    dealt = rest.withColumn("task", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(tasks)))
+    packed = dealt.groupBy("task").applyInArrow(run, f"{columns}, sequence_id long, offset long")
     return whole.unionByName(packed)
 
 

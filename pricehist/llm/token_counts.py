@@ -15,7 +15,7 @@ is one block, so an edit encodes all of it.
 Edits are applied one after another; positions refer to the text as the edits before have left it, and beyond its end mean the
 end. Defined results: a null text is empty and has no block; a very long text has more blocks, and an edit still encodes only
 those that it touches (memory: about 20 times its bytes while it is encoded first); an empty or null list of edits, or a null
-edit, changes nothing; repeated rows are counted once for each row; an empty table gives no rows; other columns are ignored.
+edit, changes nothing; repeated rows are counted once for each row; null and repeated ids (all 64 bits of them) are returned as they are; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,7 +159,8 @@ def count_trees(docs: DataFrame, path: str) -> DataFrame:
                 yield b.iloc[lo:hi][["doc_id", *rest]].assign(blocks=blocks, counts=counts)
         hand_back()
 
-    return docs.select("doc_id", "text", *rest).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + f"edits array<{EDIT}>, " * len(rest) + TREE)
+    rows = docs.select(F.col("doc_id").cast("string"), "text", *rest).mapInPandas(run, "doc_id string, " + f"edits array<{EDIT}>, " * len(rest) + TREE)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
 def apply_edits(trees: DataFrame, path: str, keep_trees: bool = False) -> DataFrame:
@@ -181,8 +182,9 @@ def apply_edits(trees: DataFrame, path: str, keep_trees: bool = False) -> DataFr
             yield pd.DataFrame(rows, columns=names)
         hand_back()
 
-    kinds = f"doc_id {dict(trees.dtypes)['doc_id']}, tokens_before long, tokens_after long, n_blocks int, blocks_encoded int"
-    return trees.select("doc_id", "blocks", "counts", "edits").mapInPandas(run, kinds + f", {TREE}" * keep_trees)
+    kinds = "doc_id string, tokens_before long, tokens_after long, n_blocks int, blocks_encoded int"
+    rows = trees.select(F.col("doc_id").cast("string"), "blocks", "counts", "edits").mapInPandas(run, kinds + f", {TREE}" * keep_trees)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(dict(trees.dtypes)["doc_id"]))
 
 
 def count_edited(docs: DataFrame, path: str) -> DataFrame:

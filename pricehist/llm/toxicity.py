@@ -6,7 +6,7 @@ logistic function) is penalised, so that naming a group does not by itself raise
 weights on few words, so that long texts do not add up noise.
 
 Defined results: null and empty texts get the score of a text without known words; very long texts are scored whole (memory: about
-twenty times their bytes, one text at a time); repeated documents are scored once for each row; repeated label rows count once (two
+twenty times their bytes, one text at a time); repeated documents are scored once for each row; null and repeated ids (all 64 bits of them) are returned as they are; repeated label rows count once (two
 labels of one id both count), null labels not at all; without usable labels every score is 0.5; an empty table gives no rows; other
 columns are ignored.
 """
@@ -161,10 +161,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     held = F.pmod(crc(F.col("doc_id")), F.lit(3)) == 1
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ~held))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": sent.value.score(texts(b["text"]))})
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in parts:
+            yield pd.Series(sent.value.score(texts(text)), dtype=float)
         hand_back()
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    scored = docs.select("doc_id", score("text").alias("score"))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -33,8 +33,10 @@ def known_by_force(rows):
     words = []
     for i in known:
         t = rows[i]["text"]
-        n = langid.SAMPLE_CHARS
-        words.append(t[:n].lower().split()[:-1] + t[-n:].lower().split()[1:] if len(t) > 2 * n else t.lower().split())
+        n, size, last = len(t), langid.PART, langid.PARTS - 1
+        parts = [t] if n <= langid.PARTS * size else [t[i * (n - size) // last :][:size] for i in range(last + 1)]
+        cut = [p.lower().split() for p in parts]
+        words.append([w for i, c in enumerate(cut) for w in c[i > 0 : len(c) - (i < len(cut) - 1)]])
     m = langid.fit(words, [rows[i]["lang"] for i in known])
     found = {i: m.predict([r["text"]]) for i, r in rows.items()}
     return {i for i, ([lang], [score]) in found.items() if lang != "und" and score >= 0.35}
