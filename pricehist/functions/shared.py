@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder: like cut(), but columns can be left out when it is read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str = "n", most: int = 2_000, total: int | None = None) -> DataFrame:
     """Inner join of rows with keyed, which has one row for each key and says in `count` how many of rows have it.
 

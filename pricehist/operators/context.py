@@ -67,9 +67,26 @@ def window_features(rows: DataFrame) -> DataFrame:
     return x.withColumns({"years_to_window": F.col("_w.opens") - age, "years_past_window": age - F.col("_w.closes"), "in_window": inside}).drop("_w")
 
 
+COUNTS = ("n_listed", "sum_logp", "n_valid", "n_up", "n_down")
+
+
+def brand_counts(origins: DataFrame) -> DataFrame:
+    """A8 where it is not zero: by (t, brand) the wines listed, the sum of their log prices, and how many changed since the previous list and over the
+    last four. A brand has a row for each list that it is on: no grid of brands by lists is laid out, as the last four lists are a RANGE frame.
+
+    origins: t, brand, log_price and own_valid, own_up, own_down (panel.features)."""
+    counts = origins.filter(F.col("brand").isNotNull()).groupBy("t", "brand").agg(
+        F.count(F.lit(1)).cast("double").alias("n_listed"), F.sum("log_price").alias("sum_logp"), *[F.sum(f"own_{k}").alias(f"n_{k}") for k in ("valid", "up", "down")])
+    return counts.withColumns(_last_four())
+
+
+def _last_four() -> dict[str, Column]:
+    last4 = Window.partitionBy("brand").orderBy("t").rangeBetween(-3, 0)
+    return {f"{k}_4": F.sum(k).over(last4) for k in ("n_valid", "n_up", "n_down")}
+
+
 def brand_stats(series: DataFrame, periods: DataFrame) -> DataFrame:
-    """By (date, brand) the wines listed, the sum of their log prices, and how many changed since the previous list and over the last
-    four; every brand has a row for every list. series: wine_id, t, date, price, brand.
+    """As brand_counts, with a row of every brand for every list, since that is what is asked for. series: wine_id, t, date, price, brand.
 
     Changes come from the series' own window, so the wide matrix of lists by wines never exists."""
     x = diffs(series).withColumn("brand", F.first("brand", ignorenulls=True).over(whole()))
@@ -78,10 +95,11 @@ def brand_stats(series: DataFrame, periods: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("n_listed"), F.sum("log_price").alias("sum_logp"), F.count("diff").cast("double").alias("n_valid"),
         F.count_if(F.col("diff") > MOVE).cast("double").alias("n_up"), F.count_if(F.col("diff") < -MOVE).cast("double").alias("n_down"),
     )
-    # Brands times lists, both dimensions: not the size of the observations.
-    dense = periods.join(counts.select("brand").distinct(), F.lit(True)).join(counts, ["t", "brand"], "left").fillna(0.0)
-    last4 = Window.partitionBy("brand").orderBy("t").rowsBetween(-3, 0)
-    return dense.withColumns({f"{k}_4": F.sum(k).over(last4) for k in ("n_valid", "n_up", "n_down")})
+    # The lists without a brand come from its one row, which carries all list numbers (a few hundred at most), and are filled up with zeros.
+    lists = periods.agg(F.collect_set("t").alias("all"))
+    seen = counts.groupBy("brand").agg(F.collect_set("t").alias("seen")).join(F.broadcast(lists), F.lit(True))
+    absent = seen.select(F.explode(F.array_except("all", "seen")).alias("t"), "brand", *[F.lit(0.0).alias(k) for k in COUNTS])
+    return counts.unionByName(absent).withColumns(_last_four()).join(F.broadcast(periods.select("t", "date")), "t")
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pricehist.plans import context, evaluation, marts, models, names, panel, vintages
+from pricehist.plans import context, evaluation, forest, marts, models, names, panel, vintages
 
 FLAGSHIP = "o1_catalog_page"
-MODULES = (panel, context, names, marts, vintages, evaluation, models)
+MODULES = (panel, context, names, marts, vintages, evaluation, models, forest)
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricehist.operators import context as c
+from pricehist.functions.shared import cut, written
 from pricehist.operators import panel
 from pricehist.sources import adapters as a
 from pricehist.sources.adapters import r3, r6
@@ -77,9 +78,9 @@ def a8_brand_stats(spark, sf_dir):
 
 
 def j10_brand_momentum(spark, sf_dir):
-    s = a.series(spark, sf_dir)
-    stats = c.brand_stats(s.select("wine_id", "t", "date", "price", "brand"), s.select("t", "date").distinct())
-    x = c.brand_features(panel.features(s), stats)
+    keep = ["wine_id", "t", "brand", "log_price", "own_valid", "own_up", "own_down", "own_valid_4", "own_up_4", "own_down_4"]
+    x = written(panel.features(a.series(spark, sf_dir)).select(*keep), "origins")
+    x = c.brand_features(x, cut(c.brand_counts(x)))
     return x.select("wine_id", "t", *[r6(F.col(k)).alias(k) for k in ("brand_n_others", "brand_up_1q", "brand_up_4q", "brand_down_4q", "brand_rel_price")])
 
 

@@ -282,7 +282,8 @@ def s11_publish(spark, sf_dir):
     path, f = _folder(spark, "forecasts"), _forecasts(spark, sf_dir)
     pub.release(f.filter("model_version = 'v1'"), "v1", path)
     pub.release(f.filter("model_version = 'v2' AND wine_id % 2 = 0"), "v2", path)
-    n = spark.read.parquet(f"{path}/rows").groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
+    rows = pub.released(spark, path, "v1").unionByName(pub.released(spark, path))
+    n = rows.groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
     return pub.registry(spark, path).join(n, "model_version").select("model_version", "is_active", "n")
 
 

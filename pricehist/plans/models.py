@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from pricehist.functions.shared import cut
+from pricehist.functions.shared import cut, written
 from pricehist.operators import context, fair, metrics, models, panel, vintages
 from pricehist.plans.context import supply
 from pricehist.plans.evaluation import CALIBRATION, CUTOFF, _base, latest
@@ -24,9 +24,11 @@ CATEGORIES = ["style", "tier", "grape", "classification"]
 
 
 def _origins(spark, sf_dir, brand=False):
-    s = a.series(spark, sf_dir)
-    x = context.window_features(panel.features(s))
-    return context.brand_features(x, context.brand_stats(s.select("wine_id", "t", "date", "price", "brand"), s.select("t", "date").distinct())) if brand else x
+    x = context.window_features(panel.features(a.series(spark, sf_dir)))
+    if not brand:
+        return x
+    x = written(x, "origins")
+    return context.brand_features(x, cut(context.brand_counts(x)))
 
 
 def _samples(spark, sf_dir, brand=False):

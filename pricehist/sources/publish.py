@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -86,37 +88,54 @@ def export(series: DataFrame, path: str) -> None:
     series.repartitionByRange("wine_id").sortWithinPartitions("wine_id", "date").write.mode("overwrite").option("header", True).csv(path)
 
 
-def publish(output: DataFrame, runs: DataFrame, version: str, path: str) -> DataFrame:
-    """Writes a version's rows under its own partition and returns the registry with that version as the one active."""
-    output.withColumn("model_version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_version").parquet(path)
-    known = runs.select("model_version").unionByName(runs.sparkSession.createDataFrame([(version,)], "model_version string")).distinct()
-    return known.withColumn("is_active", F.col("model_version") == version)
+RELEASE = "model_version string, folder string, snapshot bigint, writer string"
 
 
-def registry(spark: SparkSession, root: str) -> DataFrame:
-    """model_version, is_active of the newest registry under root; empty before the first release."""
+def releases(spark: SparkSession, root: str) -> DataFrame:
+    """model_version, folder, snapshot, writer of all releases under root; empty before the first one."""
     try:
-        x = spark.read.schema("model_version string, is_active boolean, snapshot bigint").parquet(f"{root}/registry")
+        return spark.read.schema(RELEASE).option("recursiveFileLookup", True).parquet(f"{root}/registry")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], "model_version string, is_active boolean")
+            return spark.createDataFrame([], RELEASE)
         raise
-    newest = x.agg(F.max("snapshot").alias("newest"))
-    return x.join(F.broadcast(newest), F.col("snapshot") == F.col("newest")).select("model_version", "is_active")
+
+
+def registry(spark: SparkSession, root: str) -> DataFrame:
+    """model_version, is_active, folder: of each version its newest release, and whether it is the newest of all. Of two writers that took the same number
+    the one with the later name counts."""
+    x = releases(spark, root).groupBy("model_version").agg(F.max(F.struct("snapshot", "writer", "folder")).alias("x"))
+    newest = x.agg(F.max("x").alias("newest"))
+    return x.join(F.broadcast(newest), F.lit(True)).select("model_version", (F.col("x") == F.col("newest")).alias("is_active"), "x.folder")
+
+
+def write_rows(output: DataFrame, root: str) -> str:
+    """The first half of a release: rows in a folder of their own, which no reader knows yet."""
+    folder = f"rows/{uuid.uuid4().hex}"
+    output.write.parquet(f"{root}/{folder}")
+    return folder
+
+
+def activate(spark: SparkSession, root: str, version: str, folder: str) -> None:
+    """The second half: one more line of the registry, numbered after the last one that is there. Lines are only added, so a writer that runs at the same
+    time loses nothing, and a release that fails before this line changes nothing."""
+    last, writer = releases(spark, root).agg(F.max("snapshot")).first()[0] or 0, uuid.uuid4().hex
+    spark.createDataFrame([(version, folder, last + 1, writer)], RELEASE).coalesce(1).write.parquet(f"{root}/registry/{writer}")
 
 
 def release(output: DataFrame, version: str, root: str) -> None:
-    """Writes a version's rows under root/rows, and then a new registry, one file in a folder of its own, in which that version alone is
-    active. Readers take the newest registry, so the flip is the one rename that commits the file: they see the old version or the new one."""
-    spark = output.sparkSession
-    runs = publish(output, registry(spark, root), version, f"{root}/rows")
-    try:
-        last = spark.read.schema("model_version string, is_active boolean, snapshot bigint").parquet(f"{root}/registry").agg(F.max("snapshot")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        last = None
-    cut(runs).coalesce(1).write.parquet(f"{root}/registry/snapshot={(last or 0) + 1}")
+    """Writes a version's rows and makes that version the active one. The rows of every release, of the same version too, have a folder of their own
+    and never change, so readers see the old release or the new one, whole."""
+    activate(output.sparkSession, root, version, write_rows(output, root))
+
+
+def released(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """The rows of the active version, or of a given one."""
+    runs = registry(spark, root)
+    found = runs.filter(F.col("model_version") == version if version is not None else F.col("is_active")).first()
+    if found is None:
+        raise ValueError(f"no release of {version or 'any version'} under {root}")
+    return spark.read.parquet(f"{root}/{found['folder']}").withColumn("model_version", F.lit(found["model_version"]))
 
 
 def metrics_document(metrics: DataFrame) -> DataFrame:
