@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from pricehist.functions.shared import cut, shared_dir
 from pricehist.operators import marts as m
-from pricehist.operators.components import connected_components
+from pricehist.operators.components import connected_components, link_more
 from pricehist.plans.context import daily, window_sql
 from pricehist.plans.context import CONTEXT as CONTEXT_SQL
 from pricehist.sources import adapters as a
+from pricehist.sources import keyed
 from pricehist.sources import publish as pub
 from pricehist.sources.adapters import PRELUDE, day, r6
 from pricehist.streaming import ingest as t
@@ -189,6 +190,14 @@ def a1_components(spark, sf_dir):
     return connected_components(_edges(spark, sf_dir))
 
 
+def a1_linked_batches(spark, sf_dir):
+    """The components of a1_components, linked in two batches: rows of even keys first, the others joined to what is then known."""
+    e, kept = _edges(spark, sf_dir), spark.createDataFrame([], "node string, component string, id long")
+    for batch in (0, 1):
+        kept = cut(link_more(kept, e.filter(F.col("p_partkey") % 2 == batch)))
+    return kept.select("node", "component")
+
+
 def a2_wine_dimension(spark, sf_dir):
     e = _edges(spark, sf_dir)
     grp = e.join(connected_components(e), F.col("a") == F.col("node")).select(F.col("p_partkey").alias("wine_id"), F.col("component").alias("grp"), "b")
@@ -311,12 +320,22 @@ def t1_incremental_ingest(spark, sf_dir):
     return t.current(spark, target, "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
+def t1_latest_rows(spark, sf_dir):
+    """The newest event of every user from a table of latest rows, into which three runs of the stream merge what has arrived."""
+    source, root, state = (_folder(spark, k) for k in ("arrived", "latest", "progress"))
+    e = a.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.to_date("ts").alias("day"))
+    for part in ("day < '2024-01-16'", "day >= '2024-01-16'", "false"):
+        e.filter(part).drop("day").write.mode("append").parquet(source)
+        t.ingest_latest(spark, source, root, state, "event_id bigint, user_id bigint, event_type string, value double", "user_id", "event_id")
+    return keyed.latest(spark, root).select("user_id", "event_id", "event_type", "value")
+
+
 QUERIES = {f.__name__: f for f in (
     o1_catalog_page, o2_best_value, o3_family_vintages, o4_md5_sample, o5_capped_sample, f19_year_ahead, f20_total, p21_filters, p22_saved_views, p29_window_status,
     j2_price_history, j2_price_history_all, j3_latest, j4_price_ago, j5_marts_joined, j6_featured, s7_rules, j14_active_with_forecast, j15_not_seen,
-    j17_parity, a1_components, a2_wine_dimension,
+    j17_parity, a1_components, a1_linked_batches, a2_wine_dimension,
     a3_family_counts, a4_stickiness, a19_quality, u2_distinct, u4_chart, s4_typed_csv, s5_weather_json, s6_wide_crush, s8_upsert, s9_replace_source, s10_export, s11_publish,
-    s12_metrics, m5_facts, t1_incremental_ingest,
+    s12_metrics, m5_facts, t1_incremental_ingest, t1_latest_rows,
 )}
 
 MARTS = PRELUDE + """, cur AS (
@@ -452,3 +471,4 @@ SQL = {
     "t1_incremental_ingest": """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value,
         event_id) AS value FROM events GROUP BY user_id""",
 }
+SQL |= {"a1_linked_batches": SQL["a1_components"], "t1_latest_rows": SQL["t1_incremental_ingest"]}

@@ -130,8 +130,9 @@ def test_season_features(spark):
     assert x["south", 2001]["frost_days"] == 46 and x["south", 2001]["harvest_rain"] == 61.0 and x["north", 2000]["frost_days"] == 0
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
 @pytest.mark.parametrize("shape", ["chain", "hub", "mixed"])
-def test_components(spark, shape):
+def test_components(spark, shape, small):
     random.seed(2)
     edges = [(i, i + 1) for i in range(50)] if shape == "chain" else [(0, i) for i in range(1, 1000)] if shape == "hub" else [(random.randrange(300),
         random.randrange(300)) for _ in range(200)] + [(7, 7), (None, 3), (900, 900)]
@@ -146,7 +147,7 @@ def test_components(spark, shape):
         if a is not None and b is not None:
             x, y = top(a), top(b)
             up[max(x, y)] = min(x, y)
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     assert got == {v: top(v) for v in list(up)}
 
 
