@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from pricehist.functions import names as n
 from pricehist.functions.shared import shared_dir
+from pricehist.operators.lookup import keyword_lookup
 from pricehist.sources import adapters as a
 from pricehist.sources import price_lists as pl
 from pricehist.sources.adapters import PRELUDE, day
@@ -194,6 +195,13 @@ def p26_scenarios(spark, sf_dir):
     return scenario_rows(latest, s).withColumn("date", day("date"))
 
 
+def p16_region_lookup(spark, sf_dir):
+    """The regions of p16_region, from a keyword table that is joined to the n-grams of names."""
+    table = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(n.REGION_KEYWORDS.items())], "keyword string, value string, place int")
+    rows = descriptions(spark, sf_dir).select("wine_id", _d().alias("description"))
+    return keyword_lookup(rows, "description", table, "region").select("wine_id", "region")
+
+
 def u3_stop_words(spark, sf_dir):
     """Words of part names that a stop list keeps and drops."""
     w = a.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
@@ -204,7 +212,7 @@ def u3_stop_words(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     p1_parsed_prices, p2_wrapped_names, p3_line_kinds, a17_ingest_audit, s1_read_lines, s2_report_dates, s3_written_prices, u1_all_lists,
-    p5_promo_types, p7_dates, p8_money, p15_folded_names, p23_deal_flags, p24_shelf_price, p25_labels, p26_scenarios, u3_stop_words,
+    p5_promo_types, p7_dates, p8_money, p15_folded_names, p23_deal_flags, p24_shelf_price, p25_labels, p26_scenarios, p16_region_lookup, u3_stop_words,
 )} | {
     "p4_vintage": _column(vintage=lambda: n.vintage_of(_d())),
     "p6_size": _column(size=_s),
@@ -341,3 +349,4 @@ SQL = {
         ) SELECT wine_id, nullif(array_to_string(list_reverse(b[{_first_not('b', n.PARTICLES)}:]), ' '), '') AS brand FROM whole""",
     "p20_name_text": NAMES + r" SELECT wine_id, regexp_replace(lower(description), '\b(19|20)\d{2}\b', ' ', 'g') AS text FROM d",
 }
+SQL["p16_region_lookup"] = SQL["p16_region"]
