@@ -19,8 +19,8 @@ window of a class that is alone is found by the sort.
 
 Defined results: null and empty texts, and those shorter than `length`, lose nothing; texts of any length are worked on whole, in
 blocks; repeated rows and rows with null or repeated ids are documents of their own, so that all their passages repeat; an empty table
-gives no rows; other columns are ignored. No key is sent to one task as a whole: hot anchors, contents and names are counted first and
-broadcast, and equal windows may lie in several partitions of the last order, whose borders the driver compares (two rows a partition)."""
+gives no rows; other columns are ignored. No key is sent to one task as a whole: hot anchors and windows are
+found in a sample and dealt to many tasks, hot contents and names are counted first and broadcast, and equal windows may lie in several partitions of the last order, whose borders the driver compares (two rows a partition)."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricehist.functions.shared import spread_join
@@ -43,6 +43,8 @@ from pricehist.llm.common import cut, hand_back, shared_dir, slices
 LENGTH = 200
 #: Bytes worked on at once.
 BLOCK = 1 << 18
+#: Rows that hot keys are looked for in (about as many), the most hot keys there can be, and the parts that each is dealt to.
+SAMPLE, HOT_KEYS, SALTS = 1_000_000, 4_000, 1_024
 #: Of the rolling hash; odd, so that it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -138,10 +140,17 @@ def anchors_of(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, start int, n int, anchor long")
 
 
-def repeated(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key another row has too; rows is a table."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_of")).filter("_of > 1")
-    return spread_join(rows, cut(counts), key, "_of")
+def repeated(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """The rows whose key another row has too, of `total` rows, no two of which are alike; key is never null.
+
+    Rows are dealt by key once and counted where they lie. Hot keys, found in a sample beforehand, are dealt to many tasks: a key that
+    is seen twice in the sample repeats, so that its rows need no count."""
+    dealt = F.xxhash64(*rows.columns)
+    sample = rows.filter(dealt.between(-(2**63), -(2**63) + int(2**64 * min(1.0, SAMPLE / max(1, total))) - 1))
+    hot = sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2, min(SAMPLE, total) // HOT_KEYS)).select(key)
+    salted = rows.join(F.broadcast(cut(hot).withColumn("hot", F.lit(True))), key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(dealt, F.lit(SALTS)).cast("int")))
+    counted = salted.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy(key, "salt")))
+    return counted.filter("salt IS NOT NULL OR of > 1").select(rows.columns)
 
 
 def segments_of(docs: DataFrame, marked: DataFrame, length: int) -> DataFrame:
@@ -286,7 +295,8 @@ def sort_windows(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
 
 def open_windows(contents: DataFrame, length: int) -> DataFrame:
     """class, offset of windows whose hash another window has; contents (class, bytes) is a table, hashed twice rather than written."""
-    return repeated(window_hashes(contents, length), "hash").select("class", "offset")
+    total = contents.agg(F.sum(F.length("bytes") - (length - 1))).first()[0] or 0
+    return repeated(window_hashes(contents, length), "hash", total).select("class", "offset")
 
 
 def lone_windows(contents: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -306,12 +316,13 @@ def lone_windows(contents: DataFrame, length: int, scratch: Scratch) -> DataFram
 
 def spans_of(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """row, spans (arrays of `from` and `to`, in any order) of the windows of texts (row, text; a table) that repeat."""
-    marked = repeated(scratch.stored(anchors_of(texts, length), "anchors"), "anchor")
+    anchors = scratch.stored(anchors_of(texts, length), "anchors")
+    marked = repeated(anchors, "anchor", anchors.count())
     segments = scratch.stored(segments_of(texts, marked, length), "segments", "anchors")
     pieces = segments.select("row", F.inline(F.arrays_zip("start", "n", "anchor", "digest"))).select("row", "start", "n", "anchor", "digest")
     kinds = pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "n", "anchor")).alias("one"))
     classes = scratch.stored(kinds.select("digest", "copies", "one.*", F.monotonically_increasing_id().alias("class")), "classes")
-    several = scratch.stored(repeated(classes, "anchor").select("class", "copies", "row", "start", "n"), "several")
+    several = scratch.stored(repeated(classes, "anchor", classes.count()).select("class", "copies", "row", "start", "n"), "several")
     contents = scratch.stored(contents_of(segments, several, length), "contents")
     found = lone_windows(contents, length, scratch).join(several.filter("copies = 1"), "class")
     copied = spread_join(pieces.drop("anchor"), classes.filter("copies > 1").select("digest", "copies"), "digest", "copies")

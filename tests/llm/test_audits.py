@@ -76,6 +76,22 @@ def test_last_names_order_the_sample(spark):
     assert found[0] == found[1] and len(found[0]) == 1
 
 
+def test_repeated_keys_are_spread(spark, monkeypatch):
+    """A key that nine of ten rows have, keys of two rows and keys that are alone; the same rows with and without sampling."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id") % 15_000 + 1).alias("k"))
+    for sample in (1_000, 1_000_000):
+        monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)
+        found = suffix_dedup.repeated(rows, "k", 20_000).withColumn("part", F.spark_partition_id()).collect()
+        assert {r["id"] for r in found} == {i for i in range(20_000) if i % 10 or i < 5_000 or i >= 15_000} and len(found) == len({r["id"] for r in found})
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = Counter(r["part"] for r in suffix_dedup.repeated(rows, "k", 20_000).withColumn("part", F.spark_partition_id()).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes.values()) < 2 * sum(sizes.values()) / len(sizes)
+
+
 def test_adjacent_equals_across_partitions(spark):
     """One key in all partitions, and keys that are alone."""
     rows = spark.range(1000).select(F.col("id").alias("at"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"))
