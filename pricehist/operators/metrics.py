@@ -140,15 +140,22 @@ def cv_summary(scores: DataFrame, current: str = "current") -> DataFrame:
 
 
 def importance(rows: DataFrame, features: list[str], score: Callable[[DataFrame], DataFrame], most: int = 40_000, seed: int = 7) -> DataFrame:
-    """Feature and auc_drop, largest first: how much the AUC of p_up falls when a feature's values change places. rows: id, y and features;
-    score adds p_up. At most `most` rows take part, chosen by a hash of id (a sampling operator)."""
-    by = lambda k: (F.md5(F.concat_ws("|", F.lit(k), "id")), F.col("id"))
-    sample = cut(rows.orderBy(*by(seed)).limit(most))
-    place = lambda k: F.row_number().over(Window.orderBy(*by(k)))  # noqa: E731  at most `most` rows
-    auc = lambda x: ranking(score(x).withColumn("hit", F.col("y") > MOVE).withColumn("g", F.lit(0)), ["g"], "p_up", "hit").select("roc_auc")
-    base, out = auc(sample).withColumnRenamed("roc_auc", "base"), None
-    for k, f in enumerate(features):
-        moved = sample.withColumn("_r", place(0)).drop(f).join(sample.select(f, place(k + 1).alias("_r")), "_r").drop("_r")
-        x = auc(moved).join(base, F.lit(True)).select(F.lit(f).alias("feature"), F.round(F.col("base") - F.col("roc_auc"), 4).alias("auc_drop"))
-        out = x if out is None else out.unionByName(x)
+    """Feature and auc_drop, largest first: how much the AUC of p_up falls when a feature's values change places. rows: id (one row each), y and
+    features; score adds p_up. At most `most` rows take part, chosen by a hash of id (a sampling operator).
+
+    Every row is laid out once as it is (k = 0) and once for each feature k, with the value of another row there; all are scored in one pass."""
+    sample = cut(rows.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "id")), "id").limit(most))
+    # Places are numbered within k: at most `most` rows a task.
+    place = F.row_number().over(Window.partitionBy("_k").orderBy(F.md5(F.concat_ws("|", "_k", "id")), "id"))
+    placed = cut(sample.select("id", F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("_k")).withColumn("_r", place))
+    own = placed.filter("_k = 0")
+    moves = placed.filter("_k > 0").withColumnRenamed("id", "_giver").join(own.select("_r", "id"), "_r").select("_k", "id", "_giver")
+    moves = moves.unionByName(own.select("_k", "id", F.col("id").alias("_giver")))
+    given = sample.select(F.col("id").alias("_giver"), *[F.col(f).alias(f"_v_{f}") for f in features])
+    moved = {f: F.when(F.col("_k") == k + 1, F.col(f"_v_{f}")).otherwise(F.col(f)) for k, f in enumerate(features)}
+    x = sample.join(moves, "id").join(given, "_giver").withColumns(moved).select("_k", *sample.columns)
+    auc = cut(ranking(score(x).withColumn("hit", F.col("y") > MOVE), ["_k"], "p_up", "hit").select("_k", "roc_auc"))
+    base = auc.filter("_k = 0").select(F.col("roc_auc").alias("base"))
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_k"))
+    out = auc.filter("_k > 0").join(F.broadcast(base), F.lit(True)).select(name.alias("feature"), F.round(F.col("base") - F.col("roc_auc"), 4).alias("auc_drop"))
     return out.orderBy(F.desc("auc_drop"), "feature")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricehist.functions.shared import cut, written
 from pricehist.operators import context, fair, metrics, models, panel, vintages
-from pricehist.plans.context import supply
+from pricehist.plans.context import NORMAL, daily, supply
 from pricehist.plans.evaluation import CALIBRATION, CUTOFF, _base, latest
 from pricehist.plans.vintages import dated_series
 from pricehist.sources import adapters as a
@@ -116,10 +116,22 @@ def m11_next_vintage(spark, sf_dir):
     return x.select("wine_id", "new_vintage", F.round("p_up", 4).alias("p_up"), F.round("p_down", 4).alias("p_down"), pct("p10"), pct("p50"), pct("p90"))
 
 
+# The names of the features.
+WEATHER = ["gdd_anom", "frost_days_anom", "heat_days_anom", "harvest_rain_anom", "gs_rain_anom"]
+NEXT_WEATHER = [f"new_{v}" for v in WEATHER] + [f"diff_{v}" for v in WEATHER]
+#: Vintages of the tables end where their weather begins; this many years later they meet it (as in the queries of J8 and J13).
+LATER = 5
+
+
+def _weather(spark, sf_dir):
+    return context.anomalies(context.season_features(daily(spark, sf_dir)), *NORMAL).select("region", "vintage", *WEATHER)
+
+
 NEXT_BRAND = ["brand_n_listed", "brand_up_share_4q", "brand_recent_vintage_change", "brand_recent_vintage_n"]
 NEXT_SUPPLY = [c for c in NEXT if not c.startswith("brand_")] + ["new_tons_yoy", "new_grape_price_yoy"]
 NEXT_SETS = {
     "current": (NEXT_SUPPLY, ["style", "tier"]),
+    "+weather": (NEXT_SUPPLY + NEXT_WEATHER, ["style", "tier"]),
     "+brand": (NEXT_SUPPLY + NEXT_BRAND, ["style", "tier"]),
     "+attributes": (NEXT_SUPPLY, ["style", "tier", "grape", "classification"]),
     "+both": (NEXT_SUPPLY + NEXT_BRAND, ["style", "tier", "grape", "classification"]),
@@ -134,7 +146,9 @@ def m11_rolling_cv(spark, sf_dir):
     stats = context.brand_stats(s.select("wine_id", "t", "date", "price", "brand"), s.select("t", "date").distinct())
     stats = stats.select("date", "brand", F.col("n_listed").alias("brand_n_listed"), context.ratio(F.col("n_up_4"), F.col("n_valid_4")).alias("brand_up_share_4q"))
     t = t.join(stats, ["date", "brand"], "left").withColumn("h", F.lit(1))
-    t = cut(t.select("date", "y", "h", *NEXT_SUPPLY, *NEXT_BRAND, "style", "tier", "grape", "classification"))
+    t = t.withColumns({c: F.col(c) + LATER for c in ("new_vintage", "prev_vintage")})
+    t = vintages.weather_difference(t, written(_weather(spark, sf_dir), "weather"), a.regions(spark, sf_dir), WEATHER)
+    t = cut(t.select("date", "y", "h", *NEXT_SUPPLY, *NEXT_WEATHER, *NEXT_BRAND, "style", "tier", "grape", "classification"))
     return models.rolling_scores(models.rolling_predictions(t, NEXT_SETS, (1, 2)))
 
 
@@ -155,14 +169,20 @@ def m12_name_score(spark, sf_dir):
 BRAND_LEVEL = ["brand_mean_logp", "brand_n_families", "brand_std_logp"]
 FAIR_NUMBERS = ["vintage_age", "is_nv", "listing_year", *BRAND_LEVEL, "name_score"]
 FAIR_CATEGORIES = ["style", "region", "grape", "classification"]
-FAIR_SETS = {"full": FAIR_NUMBERS, "no name text": [c for c in FAIR_NUMBERS if c != "name_score"], "no producer level": [c for c in FAIR_NUMBERS if c not in BRAND_LEVEL]}
+VINTAGE_WEATHER = [f"vint_{v}" for v in WEATHER]
+FAIR_SETS = {
+    "full": FAIR_NUMBERS, "no name text": [c for c in FAIR_NUMBERS if c != "name_score"],
+    "no producer level": [c for c in FAIR_NUMBERS if c not in BRAND_LEVEL], "+vintage weather": FAIR_NUMBERS + VINTAGE_WEATHER,
+}
 
 
 def _fair_rows(spark, sf_dir):
     """A row for every wine and fold left out (`outer`), with its features from the other folds: a wine of that fold is to be priced, the others train.
 
     A training row's name score is out of fold too: its own fold is left out as well, so one fit serves both folds of a pair."""
-    x = cut(latest(spark, sf_dir).select("wine_id", "tier", "text", "brand", "family", "y", "fold", "vintage_age", "is_nv", "listing_year", *FAIR_CATEGORIES))
+    w = _weather(spark, sf_dir).select("region", F.col("vintage").alias("vint"), *[F.col(v).alias(f"vint_{v}") for v in WEATHER])
+    x = latest(spark, sf_dir).withColumn("vint", F.expr("try_cast(vintage AS int)") + LATER).join(w, ["region", "vint"], "left")
+    x = cut(x.select("wine_id", "tier", "text", "brand", "family", "y", "fold", "vintage_age", "is_nv", "listing_year", *VINTAGE_WEATHER, *FAIR_CATEGORIES))
     groups = [(k,) for k in range(FOLDS)] + [(j, k) for j in range(FOLDS) for k in range(j + 1, FOLDS)]
     scores = models.held_out_scores(x.select("wine_id", "text", "y", "fold"), groups)
     other = F.coalesce(F.get(F.filter("left_out", lambda k: k != F.col("fold")), F.lit(0)), F.col("fold"))

@@ -46,16 +46,17 @@ def parse(lines: DataFrame) -> DataFrame:
     # An orphan without a pending name is a miss; it ends a block too, which changes nothing, as nothing is pending.
     ends = F.col("kind").isin("product", "orphan")
     x = x.withColumn("block", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(before), F.lit(0)))
-    pend = F.collect_list(F.when(F.col("kind") == "name", F.trim("text"))).over(Window.partitionBy("file", "page", "block").orderBy("line_no"))
-    x = x.withColumn("pend", pend).filter(F.col("kind").isin("product", "orphan", "miss"))
+    x = x.withColumn("name", F.when(F.col("kind") == "name", F.trim("text")))
+    before_it = "IGNORE NULLS OVER (PARTITION BY file, page, block ORDER BY line_no)"
+    x = x.selectExpr("*", f"lag(name, 1) {before_it} AS last_name", f"lag(name, 2) {before_it} AS name_before").filter(F.col("kind").isin("product", "orphan", "miss"))
     orphan = F.col("kind") == "orphan"
-    x = x.withColumn("miss", (F.col("kind") == "miss") | (orphan & (F.size("pend") == 0)))
+    x = x.withColumn("miss", (F.col("kind") == "miss") | (orphan & F.col("last_name").isNull()))
     # Each line is matched once: its groups, with the description last (it alone may hold any character), are written side by side and split.
     product = F.regexp_replace("text", n.LINE, "\x01".join(["", "$1", "$3", "$4", "$5", "$6", "$7", "$2"]))
     groups = F.when(orphan, F.regexp_replace("text", n.ORPHAN, "\x01".join(["", "$1", "$2", "$3", "$4", "$5", "$6", ""]))).when(F.col("kind") == "product", product)
     x = x.withColumn("g", F.split(groups, "\x01", 8))
     part = lambda k: F.nullif(F.get("g", F.lit(k)), F.lit(""))
-    desc = F.when(orphan, F.array_join(F.slice("pend", F.greatest(F.size("pend") - 1, F.lit(1)), 2), " ")).otherwise(F.trim(F.coalesce(F.get("g", F.lit(7)), F.lit(""))))
+    desc = F.when(orphan, F.concat_ws(" ", "name_before", "last_name")).otherwise(F.trim(F.coalesce(F.get("g", F.lit(7)), F.lit(""))))
     x = x.select(
         "file", "page", "line_no", "miss", part(1).alias("code"), desc.alias("desc"), part(2).alias("size"), part(3).alias("start"), part(4).alias("end"),
         n.money(part(5)).alias("promo_price"), n.money(part(6)).alias("regular_price"),

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pricehist.operators import metrics, models
 from pricehist.plans import models as q
@@ -42,6 +43,24 @@ def test_importance_of_the_fitted_model(spark, small):
     assert sorted(x["feature"]) == sorted([*q.BASE, *q.WINDOW, "style", "tier"]) and x["auc_drop"].is_monotonic_decreasing
 
 
+def test_importance_scores_once(spark):
+    """A feature that alone makes the score loses the whole of the AUC over chance, one that is ignored nothing; all is scored in one call."""
+    rows = spark.range(400).selectExpr("CAST(id AS string) AS id", "IF(id % 4 = 0, 0.2D, 0D) AS y", "IF(id % 4 = 0, 1D, 0D) AS good", "CAST(id % 7 AS string) AS other")
+    calls = []
+    got = metrics.importance(rows, ["other", "good"], lambda d: (calls.append(1), d.withColumn("p_up", F.col("good")))[1]).collect()
+    assert len(calls) == 1 and [r["feature"] for r in got] == ["good", "other"]
+    assert got[1]["auc_drop"] == 0 and 0.3 < got[0]["auc_drop"] < 0.7
+    assert metrics.importance(rows.limit(0), ["good"], lambda d: d.withColumn("p_up", F.col("good"))).count() == 0
+
+
+def test_weather_of_vintages(spark, small):
+    """Transitions and wines meet the weather of some of their vintages, and no rows are lost or doubled."""
+    w = q._weather(spark, small)
+    assert w.count() == w.select("region", "vintage").distinct().count() > 0
+    x = latest(spark, small).withColumn("vint", F.expr("try_cast(vintage AS int)") + q.LATER)
+    assert 0 < x.join(w.withColumnRenamed("vintage", "vint"), ["region", "vint"]).count() < x.count()
+
+
 def test_next_vintage_outlook(spark, small):
     x = q.m11_next_vintage(spark, small).toPandas()
     assert (x["p10_pct"] <= x["p50_pct"]).all() and (x["p50_pct"] <= x["p90_pct"]).all() and (x["p_up"] + x["p_down"] <= 1 + 1e-3).all()
