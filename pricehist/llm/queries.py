@@ -87,7 +87,7 @@ SQL: dict[str, str] = {
     "op4_url_filters": r"""
         WITH captures AS (
             SELECT page_id, CAST(page_id * 13 % 366 AS INTEGER) AS day, regexp_extract(lower(coalesce(url, '')),
-                '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host FROM pages
+                '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*[^/?#:@.])\.*(?::[^/?#@]*)?(?:[/?#]|\z)', 1) AS host FROM pages
         ), levels AS (
             SELECT page_id, day, host, array_to_string(string_split(host, '.')[k:], '.') AS domain, len(string_split(host, '.')) AS n, k
             FROM captures, unnest(range(1, len(string_split(host, '.')) + 1)) AS u(k)

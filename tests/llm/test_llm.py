@@ -4,6 +4,7 @@ import hashlib
 import random
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -275,6 +276,28 @@ def test_url_filters_edges(spark, monkeypatch):
     assert url_filters.evaluate(captures, lines.limit(0)).filter("listed").count() == 0
 
 
+def test_hosts_of_urls(spark):
+    want = {"http://evil.org./x": "evil.org", "http://a@b@evil.org/": "evil.org", "//evil.org/x": "evil.org", "http://u:p@EVIL.org.:80?q": "evil.org", "http://evil.org": "evil.org",
+        "http://a.org/@evil.org": "a.org", "http://a.org?u=@evil.org": "a.org", "http://user@/x": "", "http://...": "", "evil.org/x": "", "http://[::1]:80/": "[::1]", "": ""}
+    rows = spark.createDataFrame(list(want.items()), "url string, host string")
+    assert [(r["url"], r["got"]) for r in rows.select("url", "host", url_filters.host_of(F.col("url")).alias("got")).collect()] == list(want.items())
+
+
+def test_hot_host_is_spread(spark):
+    """A host and day that nine of ten captures have: no task gets twice its share, and captures without a day are kept."""
+    captures = spark.range(8_000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 10 > 0, "http://hot.org/").otherwise(F.concat(F.lit("http://h"), "id", F.lit(".org/"))).alias("url"),
+        F.when(F.col("id") % 10 > 0, 5).when(F.col("id") % 20 == 0, 7).cast("int").alias("day"))
+    lines = spark.createDataFrame([("org", 3, "add")], "domain string, day int, action string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = url_filters.evaluate(captures, lines).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 8_000 and all(r["listed"] == (r["day"] is not None) for r in got)
+    hot = Counter(r["part"] for r in got if r["host"] == "hot.org")
+    assert len(hot) > 1 and max(hot.values()) < 2 * 7_200 / len(hot)
+
+
 # ---- 5: language ID -------------------------------------------------------------------------------------------------
 
 
