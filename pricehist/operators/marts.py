@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pricehist.functions.numbers import rounded
 from pricehist.operators.context import window
 
 
@@ -25,7 +26,7 @@ def price_ago(obs: DataFrame, cur: DataFrame, years: tuple[int, ...] = (1, 5), s
         goal = F.add_months("date", -12 * n)
         off = F.abs(F.datediff("then", goal))
         was = F.min_by("was", F.when(off <= slack, F.struct(off, F.col("then"))))
-        out.append(F.round(100 * (F.first("price") / F.nullif(was, F.lit(0.0)) - 1), 1).alias(f"change_{n}y_pct"))
+        out.append(rounded(100 * (F.first("price") / F.nullif(was, F.lit(0.0)) - 1), 1).alias(f"change_{n}y_pct"))
     return x.groupBy("wine_id").agg(*out)
 
 

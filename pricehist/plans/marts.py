@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from pricehist.functions.numbers import rounded
 from pricehist.functions.shared import cut, shared_dir
 from pricehist.operators import marts as m
 from pricehist.operators.components import connected_components, link_more
@@ -54,7 +55,7 @@ def _fair(spark, sf_dir, o=None):
     cur = m.latest(a.obs(spark, sf_dir) if o is None else o, "price").filter("wine_id % 9 <> 0").withColumn("model_version", F.explode(F.array(F.lit("v1"), F.lit("v2"))))
     fair = a.cents(F.col("price") * (0.7 + F.col("wine_id") % 60 / 100))
     return cur.select("wine_id", "model_version", fair.alias("fair_p50"), a.cents(fair * 0.85).alias("fair_p10"),
-        a.cents(fair * 1.15).alias("fair_p90"), F.round((F.col("price") / fair - 1) * 100, 1).alias("value_pct"))
+        a.cents(fair * 1.15).alias("fair_p90"), rounded((F.col("price") / fair - 1) * 100, 1).alias("value_pct"))
 
 
 def _catalog(spark, sf_dir):
