@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricehist.functions.names import name_text
+from pricehist.functions.numbers import ln
 
 
 def latest_rows(series: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def latest_rows(series: DataFrame) -> DataFrame:
     x = series.groupBy("wine_id").agg(F.max_by(F.struct(*[c for c in series.columns if c != "wine_id"]), "date").alias("x")).select("wine_id", "x.*")
     v = F.expr("try_cast(vintage AS int)")
     return x.withColumns({"vintage_age": F.year("date") - v, "is_nv": v.isNull().cast("double"),
-        "listing_year": F.year("date") + (F.month("date") - 1) / 12, "y": F.log("price"), "text": name_text(F.col("name"))})
+        "listing_year": F.year("date") + (F.month("date") - 1) / 12, "y": ln(F.col("price")), "text": name_text(F.col("name"))})
 
 
 def brand_encoding(train: DataFrame, target: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
