@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from pricehist.operators import lookup
 from pricehist.operators.lookup import keyword_lookup
 
 
@@ -31,3 +32,15 @@ def test_apostrophes_ties_and_names_of_columns(spark):
     assert {r["region"] for r in keyword_lookup(rows, "place", table.limit(0), "region").collect()} == {None}
     with pytest.raises(ValueError, match="column Place"):
         keyword_lookup(rows, "place", table, "Place")
+
+
+def test_names_are_never_broadcast(spark, monkeypatch):
+    """However small a table of names seems to Spark, only keywords are broadcast, and not even these where they are many."""
+    rows = spark.createDataFrame([(k, f"w{k} napa") for k in range(50)], "id long, name string")
+    table = spark.createDataFrame([("napa", "Napa Valley")], "keyword string, value string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = keyword_lookup(rows, "name", table)
+    assert plan(small).count("BroadcastExchange") == 1 and small.filter("value = 'Napa Valley'").count() == 50
+    monkeypatch.setattr(lookup, "SMALL", 0)
+    large = keyword_lookup(rows, "name", table)
+    assert plan(large).count("BroadcastExchange") == 0 and large.filter("value = 'Napa Valley'").count() == 50
