@@ -35,11 +35,11 @@ def marked(lines: DataFrame) -> DataFrame:
     return lines.withColumn("kind", kind)
 
 
-def parse(lines: DataFrame) -> DataFrame:
+def parse(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each product line, and miss = true rows for product-looking lines that could not be read.
 
     An orphan takes its description from the last two names since the product line before it on its page. Only pages are
-    windowed; a miss neither joins nor ends the pending names."""
+    windowed; a miss neither joins nor ends the pending names. keep: further columns of marked() to return, such as kind."""
     page = Window.partitionBy("file", "page").orderBy("line_no")
     before = page.rowsBetween(Window.unboundedPreceding, -1)
     x = marked(lines)
@@ -58,12 +58,12 @@ def parse(lines: DataFrame) -> DataFrame:
     part = lambda k: F.nullif(F.get("g", F.lit(k)), F.lit(""))
     desc = F.when(orphan, F.concat_ws(" ", "name_before", "last_name")).otherwise(F.trim(F.coalesce(F.get("g", F.lit(7)), F.lit(""))))
     x = x.select(
-        "file", "page", "line_no", "miss", part(1).alias("code"), desc.alias("desc"), part(2).alias("size"), part(3).alias("start"), part(4).alias("end"),
+        *keep, "file", "page", "line_no", "miss", part(1).alias("code"), desc.alias("desc"), part(2).alias("size"), part(3).alias("start"), part(4).alias("end"),
         n.money(part(5)).alias("promo_price"), n.money(part(6)).alias("regular_price"),
     )
     start, promo = F.col("start"), F.col("promo_price")
     return x.select(
-        "file", "page", "line_no", "miss", report_date(F.col("file")).alias("report_date"), "code", F.when(~F.col("miss"), F.col("desc")).alias("description"),
+        *keep, "file", "page", "line_no", "miss", report_date(F.col("file")).alias("report_date"), "code", F.when(~F.col("miss"), F.col("desc")).alias("description"),
         n.vintage_of(F.col("desc")).alias("vintage"), n.normalized_size(F.col("size")).alias("size"), "regular_price", "promo_price",
         n.promo_type(promo, start).alias("promo_type"), F.when(promo.isNotNull() | start.isNotNull(), n.date_of(start)).alias("sale_start"),
         n.date_of(F.col("end")).alias("sale_end"),

@@ -205,3 +205,14 @@ def test_price_history_of_every_wine(spark, small):
     assert set(wines.values()) == {"everyday", "premium", "luxury"}
     assert {r["slug"] for r in x if r["kind"] == "list"} == set(wines) and sum(r["kind"] == "list" for r in x) == a.obs(spark, small).count()
     assert {r["slug"] for r in x if r["kind"] == "forecast"} == set(wines) and sum(r["kind"] == "forecast" for r in x) == 4 * len(wines)
+
+
+def test_wrapped_names_read_the_lists_once(spark, small):
+    """The kind of a line comes with the parsed row: one scan of the lines, and no join of the lists with themselves."""
+    from pricehist.plans import names
+
+    assert names.p2_wrapped_names(spark, small)._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate") < names._parsed(spark, small).join(
+        names.listing_lines(spark, small), ["file", "page", "line_no"])._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate")
+    rows = [("list_20010101.txt", 0, 1, "Old"), ("list_20010101.txt", 0, 2, "Red"), ("list_20010101.txt", 0, 3, "123 750 ML ........ $5.00"), ("list_20010101.txt", 0, 4, "124 Blue 750 ML ........ $6.00")]
+    got = names.pl.parse(spark.createDataFrame(rows, "file string, page int, line_no int, text string"), ("kind",)).select("kind", "code", "description").collect()
+    assert sorted(tuple(r) for r in got) == [("orphan", "123", "Old Red"), ("product", "124", "Blue")]
