@@ -173,14 +173,16 @@ def vintage_or_nv(vintage: Column) -> Column:
 
 def money(text: Column) -> Column:
     """P8."""
-    return F.regexp_replace(F.nullif(text, F.lit("")), ",", "").cast("decimal(10,2)")
+    return F.replace(F.nullif(text, F.lit("")), F.lit(","), F.lit("")).cast("decimal(10,2)")
 
 
 def date_of(text: Column) -> Column:
     """m/d/yy or m/d/yyyy."""
-    part = lambda k: F.nullif(F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})/(\d{2,4})$", k), F.lit("")).cast("int")
-    y = part(3)
-    return F.make_date(F.when(y < 100, y + 2000).otherwise(y), part(1), part(2))
+    # The text is matched once and split; to match it for each part makes methods too long to be compiled.
+    parts = F.split(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2,4}$"), text), "/")
+    part = lambda k: F.get(parts, F.lit(k)).cast("int")
+    y = part(2)
+    return F.make_date(F.when(y < 100, y + 2000).otherwise(y), part(0), part(1))
 
 
 def normalized_size(size: Column) -> Column:
@@ -190,7 +192,7 @@ def normalized_size(size: Column) -> Column:
     qty = F.regexp_replace(F.regexp_extract(up, form, 1), ",", "").try_cast("double")
     unit = F.regexp_extract(up, form, 2)
     ml = qty * F.when(unit == "ML", 1.0).when(unit == "OZ", 29.5735).otherwise(1000.0)
-    return F.when(up.rlike(form) & qty.isNotNull(), F.concat(F.rint(ml).cast("bigint").cast("string"), F.lit(" ML"))).otherwise(up)
+    return F.when(qty.isNotNull(), F.concat(F.rint(ml).cast("bigint").cast("string"), F.lit(" ML"))).otherwise(up)
 
 
 def promo_type(promo: Column, start: Column) -> Column:
